@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_quotes, html_extract, packing, quality_rules, token_count, url_filter, warc
+from . import chat_quotes, decontaminate, html_extract, packing, quality_rules, token_count, url_filter, warc
 from .storage import table
 
 
@@ -15,6 +15,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
@@ -40,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op3_token_counts, op4_warc, op5_url_filter, op8_quality_rules, op9_chat_quotes, op10_packing)}
+    return {f.__name__: f for f in (op1_html_text, op2_decontamination, op3_token_counts, op4_warc, op5_url_filter, op8_quality_rules, op9_chat_quotes, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
