@@ -67,8 +67,8 @@ def incident_measures(incidents: DataFrame, pre_s: float, post_s: float, low_fs:
         _share(has_sop & has_maint & has_video).alias("pct_fully_multimodal"),
         F.avg(F.size("sop_chunk_ids")).alias("mean_sop_chunks"),
         F.avg(F.size("maintenance_chunk_ids")).alias("mean_maint_chunks"),
-        ((n - F.count_distinct("incident_id")) / n).alias("pct_duplicate_incident_id"),
-        (F.sum(F.size(spans) - F.size(sound)) / F.greatest(F.lit(1), F.sum(F.size(spans)))).alias("pct_bad_span"),
+        F.coalesce(F.try_divide(n - F.count_distinct("incident_id"), n), F.lit(0.0)).alias("pct_duplicate_incident_id"),
+        F.coalesce(F.sum(F.size(spans) - F.size(sound)) / F.greatest(F.lit(1), F.sum(F.size(spans))), F.lit(0.0)).alias("pct_bad_span"),
         F.avg(F.least(covered / F.when(duration == 0, 1.0).otherwise(duration), F.lit(1.0))).alias("mean_sensor_span_frac"),
         F.avg(F.size(spans)).alias("mean_sensor_span_count"),
         _share(F.size(spans) > 0).alias("pct_with_sensor_span"),

@@ -70,7 +70,7 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, path, text of the md, markdown and txt files below a folder."""
     from ..functions.scalars import document_id
 
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("value").alias("text"), _below(root, F.url_decode("_metadata.file_path")).alias("path"))
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), _below(root, F.url_decode("_metadata.file_path")).alias("path"))
     kept = rows.where(F.col("path").rlike(r"(?i)\.(md|markdown|txt)$"))
     return kept.select(document_id(F.col("path")).alias("doc_id"), "path", "text")
 
