@@ -7,8 +7,10 @@
 3. Texts that share a prefix shingle, and could agree in length, form a list; its smallest text leads it.
    Frequent shingles' lists are joined to their leader by Spark, whose skew handling splits them; the sketch
    proves all other lists to be short, and tasks find their leaders among sorted entries.
-4. All texts of a leader's lists meet in the leader's group, in blocks of ``BLOCK_TEXTS``.  A block's sets,
-   in global order, are stored in a trie.  The leader's set runs through it, sharing the overlap of common
+4. All texts of a leader's lists meet in the leader's group, in blocks of ``BLOCK_TEXTS``, first by bitmaps of
+   about a bit for each shingle: a shingle flips its bit, so two sets differ in no fewer shingles than their
+   bitmaps in bits, and texts whose bitmaps are too far from all others of a block go no further.  The sets of
+   the rest, in global order, are stored in a trie for each block.  The leader's set runs through it, sharing the overlap of common
    beginnings and leaving out subtrees that can't reach the overlap needed by what remains; then so does each
    text that the leader didn't match.  Texts of a group of many blocks that their leader didn't match also run
    through the tries of the other blocks, so no link is lost however large a group is.
@@ -98,23 +100,57 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.
             yield batch.column(0).to_pylist(), shingle_sets(batch.column(1))
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """A power of two of bits, as many as shingles or more: each shingle flips one, picked by its middle bits."""
+    bits = max(64, 1 << int(max(1, len(own)) - 1).bit_length())
+    flips = np.bincount(((own >> U64(20)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def hopeful(sizes: list[int], bitmaps: list[bytes], percent: int = PERCENT) -> np.ndarray:
+    """Which sets of a block may be similar to another: those that bitmaps and sizes don't part from all."""
+    n = np.asarray(sizes, np.int64)
+    ok, by_bits = np.zeros(len(n), bool), {}
+    for k, b in enumerate(bitmaps):
+        by_bits.setdefault(len(b), []).append(k)
+    for width, rows in by_bits.items():
+        rows = np.asarray(rows)
+        own = np.stack([np.frombuffer(bitmaps[k], np.uint8) for k in rows])
+        # similar sets differ in size by less than half, so the next width is the only other to look at
+        sides = [(rows, own, own)]
+        if 2 * width in by_bits:
+            wider = np.asarray(by_bits[2 * width])
+            halves = np.stack([np.frombuffer(bitmaps[k], np.uint8) for k in wider])
+            sides.append((wider, halves[:, :width] ^ halves[:, width:], own))
+        for others, other, mine in sides:
+            for i, k in enumerate(rows):
+                least = np.bitwise_count(other ^ mine[i]).sum(axis=1, dtype=np.int64)
+                both = n[others] + n[k]
+                # overlap is (both - difference) / 2; similar: (100 + percent) * overlap >= percent * both
+                near = ((100 + percent) * (both - least) >= 2 * percent * both) & (others != k)
+                if near.any():
+                    ok[k] = True
+                    ok[others[near]] = True
+    return ok
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """A row for each text (doc_id, n, f1, f2), and rows with slices of the count sketch (slice, counts)."""
-    schema = "doc_id long, n long, f1 long, f2 long, slice int, counts binary"
+    """A row for each text (doc_id, n, f1, f2, bits), and rows with slices of the count sketch (slice, counts)."""
+    schema = "doc_id long, n long, f1 long, f2 long, bits binary, slice int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-        names = ["doc_id", "n", "f1", "f2", "slice", "counts"]
+        types = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "f1", "f2", "bits", "slice", "counts"]
         for ids, sets in _batches(batches):
             every = np.concatenate(sets) if sets else np.zeros(0, U64)
             counts += np.bincount((every & U64(len(counts) - 1)).astype(np.int64), minlength=len(counts)).astype(np.int32)
             marks = [fingerprint(x) for x in sets]
             none = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, [len(x) for x in sets], [m[0] for m in marks], [m[1] for m in marks], none, none), types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, [len(x) for x in sets], [m[0] for m in marks], [m[1] for m in marks], [bitmap(x) for x in sets], none, none), types, strict=True)], names=names)
         for k in range(0, len(counts), SLICE):
             if counts[k : k + SLICE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, k // SLICE, counts[k : k + SLICE].tobytes()), types, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, None, k // SLICE, counts[k : k + SLICE].tobytes()), types, strict=True)], names=names)
 
     return saved(docs.select("doc_id", "text").mapInArrow(run, schema), "ngram-described")
 
@@ -362,27 +398,71 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def similar_links(docs: DataFrame, order: Order, percent: int = PERCENT, block_texts: int = BLOCK_TEXTS) -> DataFrame:
-    """a, b: doc_ids of similar texts, enough of them to span all links."""
+def _grouped(pairs: DataFrame, leads: DataFrame, block_texts: int) -> tuple[DataFrame, DataFrame]:
+    """(leader, n_blocks), and leader, doc_id, n_blocks, block of all members; leaders of ``leads`` are in every
+    block of their group."""
+    groups = pairs.groupBy("leader").agg(F.count("*").alias("size")).select("leader", F.ceil(F.col("size") / block_texts).alias("n_blocks"))
+    groups = saved(groups, "ngram-groups")
+    members = pairs.join(groups, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), "n_blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block")
+    lead = groups.join(leads, "leader", "left_semi").select("leader", F.col("leader").alias("doc_id"), "n_blocks", every)
+    return groups, members.select("leader", "doc_id", "n_blocks", "block").unionByName(lead)
+
+
+def near_by_bitmap(members: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """leader, doc_id of the members whose bitmap is near another's in their block; all of groups of many blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, sizes, maps, out = None, [], [], [], []
+
+        def finish() -> None:
+            if now is not None:
+                ok = hopeful(sizes, maps, percent) if now[2] == 1 else np.ones(len(names), bool)
+                out.extend((now[0], names[k]) for k in np.flatnonzero(ok))
+
+        for batch in batches:
+            for leader, block, n_blocks, name, n, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if now is None or now[:2] != (leader, block):
+                    finish()
+                    now, names, sizes, maps = (leader, block, n_blocks), [], [], []
+                names.append(name)
+                sizes.append(n)
+                maps.append(own)
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["leader", "doc_id"])
+                out.clear()
+        finish()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["leader", "doc_id"])
+
+    rows = members.join(bits, "doc_id").select("leader", "block", "n_blocks", "doc_id", "n", "bits")
+    return rows.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(run, "leader long, doc_id long")
+
+
+def similar_links(docs: DataFrame, order: Order, named: DataFrame, bits: DataFrame, percent: int = PERCENT, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+    """a, b: doc_ids of similar texts, enough of them to span all links between classes.
+
+    ``named``: doc_id and rep, the doc_id that stands for its class; ``bits``: doc_id (of a rep), n, bits.
+    """
     pairs = short_lists(prefixes(docs, order, False, percent), percent).unionByName(long_lists(prefixes(docs, order, True, percent)))
     pairs = saved(pairs.distinct(), "ngram-pairs")
-    large = pairs.groupBy("leader").agg(F.count("*").alias("size")).withColumn("n_blocks", F.ceil(F.col("size") / block_texts)).select("leader", "n_blocks")
-    large = saved(large, "ngram-groups")
-    members = pairs.join(large, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), "n_blocks"))
-    lead = large.select("leader", F.col("leader").alias("doc_id"), "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
-    rows = members.select("leader", "doc_id", "n_blocks", "block").unionByName(lead)
-    wanted = pairs.select("doc_id").unionByName(large.select(F.col("leader").alias("doc_id"))).distinct()
-    sets = saved(token_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), order), "ngram-sets")
+    for side in ("leader", "doc_id"):
+        pairs = pairs.join(named.select(F.col("doc_id").alias(side), F.col("rep").alias("__rep")), side).drop(side).withColumnRenamed("__rep", side)
+    pairs = saved(pairs.where("leader <> doc_id").distinct(), "ngram-pairs")
+    _, members = _grouped(pairs, pairs.select("leader"), block_texts)
+    near = saved(near_by_bitmap(members, bits, percent).distinct(), "ngram-near")
+    groups, rows = _grouped(near.where("leader <> doc_id"), near.where("leader = doc_id").select("leader"), block_texts)
+    sets = saved(token_sets(docs.select("doc_id", "text").join(near.select("doc_id").distinct(), "doc_id", "left_semi"), order), "ngram-sets")
     found = saved(joined(rows.join(sets, "doc_id").withColumn("asks", F.lit(None).cast("boolean")), percent), "ngram-links")
     links = found.where("b IS NOT NULL").select("a", "b")
     rest = found.where("b IS NULL").select("leader", F.col("a").alias("doc_id")).distinct()
     if rest.isEmpty():
         return links
     # texts that the leader of many blocks doesn't match meet the other blocks
-    rest = saved(rest.join(large, "leader"), "ngram-rest")
+    rest = saved(rest.join(groups, "leader"), "ngram-rest")
     ask = rest.withColumn("own", F.pmod(F.xxhash64("doc_id"), "n_blocks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).where("block <> own")
     ask = ask.select("leader", "doc_id", "n_blocks", "block", F.lit(True).alias("asks"))
-    told = members.join(rest.select("leader").distinct(), "leader", "left_semi").select("leader", "doc_id", "n_blocks", "block", F.lit(False).alias("asks"))
+    told = rows.where("doc_id <> leader").join(rest.select("leader").distinct(), "leader", "left_semi").select("leader", "doc_id", "n_blocks", "block", F.lit(False).alias("asks"))
     return links.unionByName(joined(ask.unionByName(told).join(sets, "doc_id"), percent).select("a", "b"))
 
 
@@ -391,12 +471,15 @@ def classes(docs: DataFrame, percent: int = PERCENT, block_texts: int = BLOCK_TE
     about = described(docs)
     order = learned_order(about)
     rows = about.where("slice IS NULL").select("doc_id", "n", "f1", "f2")
-    same = saved(rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
-    named = rows.join(same, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
+    same = about.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
+    same = saved(same, "ngram-classes")
+    named = rows.join(same.drop("bits"), ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     named = saved(named, "ngram-named")
-    links = saved(similar_links(docs, order, percent, block_texts), "ngram-spanning")
-    # links run between classes
+    known = named.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "rep").distinct()
+    bits = same.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "n", "bits")
+    links = saved(similar_links(docs, order, known, bits, percent, block_texts), "ngram-spanning")
+    # a doc_id with several texts has several classes: a link of one is a link of all
     for side in ("a", "b"):
-        links = links.join(named.select(F.col("doc_id").alias(side), F.col("rep").alias(f"{side}_rep")), side)
+        links = links.join(known.select(F.col("doc_id").alias(side), F.col("rep").alias(f"{side}_rep")), side)
     found = components(links.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
     return named.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
