@@ -123,7 +123,9 @@ class Lines(HTMLParser):
         return j
 
     def handle_data(self, data: str) -> None:
-        self.pending.append(data)
+        # parts inside a block, such as scripts and buttons, leave it without parting it
+        if not any(why and tag not in BLOCKS for tag, _, why in self.stack):
+            self.pending.append(data)
 
 
 def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
