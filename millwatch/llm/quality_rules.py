@@ -50,7 +50,8 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
     row = found.row[first]
     order = np.lexsort((window, row))
     a, r = window[order], row[order]
-    same = np.concatenate(([False], (a[1:] == a[:-1]) & (r[1:] == r[:-1])))
+    same = np.zeros(len(a), bool)
+    same[1:] = (a[1:] == a[:-1]) & (r[1:] == r[:-1])
     again = same.copy()
     again[:-1] |= same[1:]
     hit = np.zeros(len(found.hash), bool)
