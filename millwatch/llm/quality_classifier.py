@@ -35,6 +35,8 @@ MOST_LABELLED, MOST_POOL, LEAST_LABELS = 6000, 3000, 20
 #: Bits of a text feature's number, bytes of a gram, features of form, and buckets of page features.
 BITS, GRAM, FORMS, FORM = 18, 6, 70, 512
 ROUNDS, SURE = 3, 0.99
+#: Text worked on at once: a byte takes some 60 bytes of memory.
+BATCH_BYTES = 3 << 20
 _GRAM_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -210,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in w.small_batches(big, 1):
+            for batch in w.small_batches(big, 1, BATCH_BYTES):
                 rows = text_features(batch.column(1))
                 found = [rows.features[a:b].tobytes() for a, b in zip(rows.first, rows.first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(c)) for c in columns] + [pa.array(found, pa.binary())], names=[*columns, "features"])
@@ -241,7 +243,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in w.small_batches(big, at["text"]):
+            for batch in w.small_batches(big, at["text"], BATCH_BYTES):
                 text, page = text_features(batch.column(at["text"])), page_features(*[batch.column(at[c]).to_pylist() for c in ("source", "lang", "n_chars")])
                 good, by_text, by_page = shared.value.good.probability(text, page)
                 toxic = shared.value.toxic.probability(text, page)[0]
