@@ -87,14 +87,15 @@ def matched_once(incidents: DataFrame, clips: DataFrame, seed: int = 13, pool: s
     return direct.select(*columns).unionByName(spare.withColumn("alignment_method", method).select(*columns))
 
 
-def retrieved(families: DataFrame, chunks: DataFrame, family_topics: Mapping[str, Sequence[str]], k: int) -> DataFrame:
+def retrieved(families: DataFrame, chunks: DataFrame, family_topics: Mapping[str, Sequence[str]], k: int, others: Sequence[str] = ()) -> DataFrame:
     """failure_family, doc_type, chunk_ids: the k best chunks of each type for each family, by shared topics, then
-    length, then chunk_id. Families are few and distinct; chunks are ranked once for each of them."""
-    wanted = F.coalesce(F.element_at(F.create_map(*[x for f, t in family_topics.items() for x in (F.lit(f), F.array(*map(F.lit, t)))]), F.col("failure_family")), F.array().cast("array<string>"))
-    asked = families.select("failure_family").distinct().withColumn("topics", wanted)
-    # a row of all families goes along with each chunk: their labels are a closed list
-    row = asked.agg(F.collect_list(F.struct("failure_family", "topics")).alias("families"))
-    pairs = chunks.select("chunk_id", "doc_type", "topic_tags", "n_tokens").join(F.broadcast(row)).select("*", F.explode("families").alias("f")).select("chunk_id", "doc_type", "n_tokens", F.col("f.failure_family").alias("failure_family"), F.size(F.array_intersect("topic_tags", "f.topics")).alias("shared"))
+    length, then chunk_id. Families are a closed list, those of ``family_topics`` and ``others`` without topics; each
+    chunk is ranked once for each family that ``families`` has."""
+    asked = {**{f: [] for f in others}, **family_topics}
+    row = lambda f, t: F.struct(F.lit(f).alias("failure_family"), F.array(*map(F.lit, t)).cast("array<string>").alias("topics"))
+    every = F.explode(F.array(*[row(f, t) for f, t in asked.items()])).alias("f")
+    pairs = chunks.select("chunk_id", "doc_type", "n_tokens", "topic_tags", every).select("chunk_id", "doc_type", "n_tokens", "f.failure_family", F.size(F.array_intersect("topic_tags", "f.topics")).alias("shared"))
+    pairs = pairs.join(families.select("failure_family").distinct(), "failure_family", "left_semi")
     order = Window.partitionBy("failure_family", "doc_type").orderBy(F.desc("shared"), F.desc("n_tokens"), "chunk_id")
     best = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("nth", "chunk_id"))), lambda x: x["chunk_id"])

@@ -71,6 +71,17 @@ def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ts.resampled(samples(spark, sf_dir), FS, 40.0))
 
 
+def resample_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples(spark, sf_dir).withColumn("time_s", F.col("i") / F.lit(FS) + F.col("i") % 3 / 1000)
+    return rounded(ts.resampled_uneven(rows, 40.0))
+
+
+def quality_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    path = F.concat(F.lit("file:/runs/"), F.lower("p_type"), F.lit("/"), F.element_at(F.array(*map(F.lit, ("good", "BAD", "ok", "nok", "other"))), F.col("p_size") % 5 + 1), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".csv"))
+    return rows.select("p_partkey", readers.quality_of(path).alias("quality"))
+
+
 def sliding_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ts.sliding_rms(samples(spark, sf_dir), HOW))
 
@@ -205,6 +216,8 @@ SQL = {
     "fs_median_dt": f"WITH {NORM}, t AS (SELECT run_id, i / (100 + 10 * length(run_id))::DOUBLE AS s, lag(i / (100 + 10 * length(run_id))::DOUBLE) OVER (PARTITION BY run_id ORDER BY i) AS p FROM norm), f AS (SELECT run_id, 1 / quantile_cont(s - p, 0.5) AS fs FROM t WHERE s - p > 0 GROUP BY run_id) SELECT run_id, CASE WHEN fs BETWEEN 10 AND 155 THEN round(fs, 6) END AS fs_hz, CASE WHEN NOT fs BETWEEN 10 AND 155 THEN 'fs_implausible' END AS reason FROM f",
     "channel_fallback": "SELECT DISTINCT event_type AS run_id, CASE WHEN event_type IN ('click') THEN 'ax' WHEN event_type = 'error' THEN 'ay' ELSE 'az' END AS channel FROM events",
     "resample_linear": f"WITH {NORM}, r AS (SELECT run_id, count(*) AS n, greatest(2, round_even((max(time_s) - min(time_s)) * 40, 0))::BIGINT AS m FROM norm GROUP BY run_id), g AS (SELECT run_id, n, unnest(range(m)) AS k FROM r), p AS (SELECT run_id, k, least(floor(k * 2.5::DOUBLE)::BIGINT, n - 1) AS lo, least(floor(k * 2.5::DOUBLE)::BIGINT + 1, n - 1) AS hi, k * 2.5::DOUBLE AS pos FROM g) SELECT p.run_id, p.k AS i, round(p.k / 40::DOUBLE, 6) AS time_s, round(a.ax + (pos - lo) * (b.ax - a.ax), 6) AS ax, round(a.ay + (pos - lo) * (b.ay - a.ay), 6) AS ay, round(a.az + (pos - lo) * (b.az - a.az), 6) AS az FROM p JOIN norm a ON a.run_id = p.run_id AND a.i = lo JOIN norm b ON b.run_id = p.run_id AND b.i = hi",
+    "resample_uneven": f"WITH {NORM}, u AS (SELECT run_id, i, i / 100::DOUBLE + (i % 3) / 1000::DOUBLE AS t, ax, ay, az FROM norm), s AS (SELECT *, lead(t) OVER w AS t2, lead(ax) OVER w AS ax2, lead(ay) OVER w AS ay2, lead(az) OVER w AS az2 FROM u WINDOW w AS (PARTITION BY run_id ORDER BY t)), r AS (SELECT run_id, min(t) AS t0, greatest(2, round_even((max(t) - min(t)) * 40, 0))::BIGINT AS m FROM u GROUP BY run_id), g AS (SELECT run_id, k, t0 + k / 40::DOUBLE AS at FROM (SELECT run_id, t0, unnest(range(m)) AS k FROM r)) SELECT g.run_id, g.k AS i, round(g.at, 6) AS time_s, round(s.ax + coalesce((g.at - s.t) / (s.t2 - s.t) * (s.ax2 - s.ax), 0), 6) AS ax, round(s.ay + coalesce((g.at - s.t) / (s.t2 - s.t) * (s.ay2 - s.ay), 0), 6) AS ay, round(s.az + coalesce((g.at - s.t) / (s.t2 - s.t) * (s.az2 - s.az), 0), 6) AS az FROM g ASOF JOIN s ON g.run_id = s.run_id AND g.at >= s.t",
+    "quality_folder": "SELECT p_partkey, [NULL, 'good', 'bad', 'ok', 'nok', NULL][(p_size % 5) + 2] AS quality FROM part",
     "sliding_rms": f"WITH {_rms()} SELECT run_id, k, round(t_s, 6) AS t_s, round(rms, 6) AS rms FROM grid",
     "magnitude_rms": f"WITH {_rms('sqrt(ax * ax + ay * ay + az * az)')} SELECT run_id, k, round(t_s, 6) AS t_s, round(rms, 6) AS rms FROM grid",
     "events_quantile": f"WITH {events_cte()} {_EV}",

@@ -52,7 +52,7 @@ def test_retrieval_takes_shared_topics_then_length(spark):
     rows = [("c1", "sop", ["vibration"], 10), ("c2", "sop", ["tool_wear", "vibration"], 5), ("c3", "sop", [], 99), ("m1", "maintenance", [], 3)]
     chunks = spark.createDataFrame(rows, "chunk_id string, doc_type string, topic_tags array<string>, n_tokens long")
     families = spark.createDataFrame([("unknown",), ("spindle_fault",)], "failure_family string")
-    got = {(r.failure_family, r.doc_type): r.chunk_ids for r in matching.retrieved(families, chunks, sc.TOPICS, 2).collect()}
+    got = {(r.failure_family, r.doc_type): r.chunk_ids for r in matching.retrieved(families, chunks, sc.TOPICS, 2, ["spindle_fault"]).collect()}
     assert got["unknown", "sop"] == ["c2", "c1"]
     assert got["spindle_fault", "sop"] == ["c3", "c1"]
     assert got["unknown", "maintenance"] == ["m1"]
