@@ -33,8 +33,10 @@ from .quality_rules import measures
 
 MOST_LABELLED, MOST_POOL, LEAST_LABELS = 6000, 3000, 20
 #: Bits of a text feature's number, bytes of a gram, features of form, and buckets of page features.
-BITS, GRAM, FORMS, FORM = 18, 6, 70, 512
+BITS, GRAM, FORMS, FORM = 18, 5, 70, 512
 ROUNDS, SURE = 3, 0.99
+#: Standard deviations that a feature's classes must be away from the classes' shares to count.
+TELLING = 4.5
 #: Text worked on at once: a byte takes some 60 bytes of memory.
 BATCH_BYTES = 3 << 20
 _GRAM_BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -122,10 +124,14 @@ def fit_linear(rows: Rows, y: np.ndarray, size: int, steps: int = 80, decay: flo
     finds rare telling words; gradient steps by Adam."""
     one, two = rows.back(y, size), rows.back(1 - y, size)
     ratio = np.log((one + 0.5) / (y.sum() + 1)) - np.log((two + 0.5) / ((1 - y).sum() + 1))
-    ratio[one + two < 3] = 0
-    ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - 1.0) * np.minimum(1, (one + two) / 10)
+    seen, share = np.maximum(one + two, 1e-9), y.mean()
+    chance = (one - seen * share) / np.sqrt(seen * share * (1 - share))
+    ratio[np.abs(chance) < TELLING] = 0  # what comes about by chance adds up in long texts
+    ratio *= np.minimum(1, seen / 10)
     if size > FORM:
         ratio[:FORMS] *= 4  # few features of form stand against hundreds of words
+    used = ratio[rows.features] != 0  # the others never get a weight
+    rows = Rows(rows.features[used], np.concatenate(([0], np.cumsum(used)))[rows.first])
     v, bias = np.zeros(size), float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
     m, s, mb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -194,14 +200,21 @@ class Model(NamedTuple):
     toxic: Target
 
 
+def _least(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows with the least hashes of doc_id. Of many rows only those under a hash that four times as
+    many are expected to stay under are sorted at all."""
+    order = F.xxhash64(F.col("doc_id"), F.lit(17))
+    share = min(1.0, 4 * most / max(1, rows.count()))
+    return rows.where(F.shiftright(order, 32) < int((2 * share - 1) * (1 << 31))).orderBy(order, "doc_id").limit(most)
+
+
 def _sampled(docs: DataFrame, labels: DataFrame, most_labelled: int, most_pool: int) -> DataFrame:
     """text, source, lang, n_chars, quality, toxic of the bounded sample; labels are null for the pool."""
-    order = F.xxhash64(F.col("doc_id"), F.lit(17))
     ids = docs.select("doc_id").where("doc_id IS NOT NULL")
     told = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     # both samples hold a fixed number of rows at most, small enough to be sent to every worker
-    known = told.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(most_labelled)
-    pool = ids.join(told.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(most_pool)
+    known = _least(told.join(ids, "doc_id", "left_semi"), most_labelled)
+    pool = _least(ids.join(told.select("doc_id"), "doc_id", "left_anti"), most_pool)
     chosen = known.unionByName(pool.distinct().select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")))
     rows = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, quality int, toxic int")
     return docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(rows), "doc_id")
