@@ -12,18 +12,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a temporary one if the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        _LOCAL.setdefault(spark.sparkContext.applicationId, folder)
-        return _LOCAL[spark.sparkContext.applicationId]
-    return folder.rstrip("/")
+#: Folders of sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
 
 
-_LOCAL: dict[str, str] = {}
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster, or a local one if the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    name = spark.sparkContext.applicationId
+    if name not in _LOCAL:
+        _LOCAL[name] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _LOCAL[name]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
