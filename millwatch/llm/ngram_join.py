@@ -156,16 +156,17 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def learned_order(about: DataFrame) -> Order:
-    """Sums the slices where they meet; the driver gets the summed sketch, of a fixed size."""
+    """Sums the slices where they meet, one at a time; the driver gets the summed sketch, of a fixed size."""
 
-    def added(key: tuple, rows: Iterator[pa.Table]) -> pa.Table:  # noqa: ARG001
-        total = np.zeros(SLICE, np.int64)
-        for part in rows.column("counts").to_pylist():
-            total += np.frombuffer(part, np.int32)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(part.as_buffer(), np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in about.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(added, "slice int, counts binary").collect():
+    for row in about.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(added, "slice int, counts binary").collect():
         counts[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(row.counts, np.int64)
     return Order.of(counts)
 
