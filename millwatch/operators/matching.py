@@ -66,11 +66,11 @@ def matched_clips(incidents: DataFrame, clips: DataFrame, seed: int = 13, pool:
     own = own.join(ranked.select(pool, "place", F.col("video_file").alias("own_clip")), [pool, "place"], "left").drop("place", "pool_n")
     if idle is None:
         return own.withColumn("video_file", F.col("own_clip")).withColumn("alignment_method", F.when(F.col("own_clip").isNotNull(), "label_match").otherwise("none")).drop("own_clip")
-    idle_n = sizes.where(F.col(pool) == idle).select(F.col("pool_n").alias("idle_n"), F.lit(idle).alias("idle_pool"))
-    spare = own.withColumn("idle_pool", F.lit(idle)).join(idle_n, "idle_pool", "left").withColumn("place", F.when(F.col("own_clip").isNull(), bucket_of(seed, name, F.col("idle_n"))))
+    idle_n = sizes.where(F.col(pool) == idle).select("pool_n").scalar()
+    spare = own.withColumn("place", F.when(F.col("own_clip").isNull(), bucket_of(seed, name, idle_n)))
     spare = spare.join(ranked.where(F.col(pool) == idle).select("place", F.col("video_file").alias("idle_clip")), "place", "left")
     method = F.when(F.col("own_clip").isNotNull(), "label_match").when(F.col("idle_clip").isNotNull(), "idle_fallback").otherwise("none")
-    return spare.withColumn("video_file", F.coalesce("own_clip", "idle_clip")).withColumn("alignment_method", method).drop("own_clip", "idle_clip", "idle_n", "idle_pool", "place")
+    return spare.withColumn("video_file", F.coalesce("own_clip", "idle_clip")).withColumn("alignment_method", method).drop("own_clip", "idle_clip", "place")
 
 
 def matched_once(incidents: DataFrame, clips: DataFrame, seed: int = 13, pool: str = "regime_label", idle: str = "idle") -> DataFrame:

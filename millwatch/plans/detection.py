@@ -124,8 +124,10 @@ def incident_amplitude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_severity(amplitudes: DataFrame) -> DataFrame:
-    cuts = amplitudes.agg(F.percentile("amplitude", [1 / 3, 2 / 3]).alias("cuts"))
-    return amplitudes.join(F.broadcast(cuts)).withColumn("severity_label", severity(F.col("amplitude"), F.get("cuts", 0), F.get("cuts", 1))).drop("cuts")
+    """A cut may be one of the amplitudes: rounded, it stays equal to it however sums are ordered."""
+    amplitudes = amplitudes.withColumn("amplitude", F.round("amplitude", 9))
+    cuts = amplitudes.agg(F.percentile("amplitude", [1 / 3, 2 / 3])).scalar()
+    return amplitudes.withColumn("severity_label", severity(F.col("amplitude"), F.get(cuts, F.lit(0)), F.get(cuts, F.lit(1))))
 
 
 def incident_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +205,7 @@ wins AS (SELECT e.*, 'inc_recordings_' || substr(sha1(concat_ws(chr(31), 'record
 wave AS (SELECT w.*, n.i, n.time_s, n.time_s - w.t_event_s AS t_rel_s, n.ax, n.ay, n.az FROM wins w JOIN norm n ON n.run_id = w.run_id AND n.time_s BETWEEN w.t_event_s - 3 AND w.t_event_s + 2),
 idx AS (SELECT incident_id, run_id, t_event_s, t_start_s, t_end_s, score, min(time_s) AS window_start_s, max(time_s) AS window_end_s, count(*) AS n_samples FROM wave GROUP BY ALL),
 spans AS (SELECT incident_id, greatest(t_start_s - t_event_s - 0.5, window_start_s - t_event_s) AS start_s, least(t_end_s - t_event_s + 0.5, window_end_s - t_event_s) AS end_s FROM idx),
-amp AS (SELECT incident_id, coalesce(max(abs(az - m)), 0) AS amplitude FROM (SELECT incident_id, az, avg(az) OVER (PARTITION BY incident_id) AS m FROM wave) GROUP BY incident_id),
+amp AS (SELECT incident_id, round(coalesce(max(abs(az - m)), 0), 9) AS amplitude FROM (SELECT incident_id, az, avg(az) OVER (PARTITION BY incident_id) AS m FROM wave) GROUP BY incident_id),
 sev AS (SELECT incident_id, amplitude, CASE WHEN amplitude <= lo THEN 'low' WHEN amplitude <= hi THEN 'med' ELSE 'high' END AS severity_label FROM amp, (SELECT quantile_cont(amplitude, 1/3::DOUBLE) AS lo, quantile_cont(amplitude, 2/3::DOUBLE) AS hi FROM amp))"""
 
 _EV = "SELECT run_id, round(t_event_s, 6) AS t_event_s, round(t_start_s, 6) AS t_start_s, round(t_end_s, 6) AS t_end_s, round(score, 6) AS score FROM ev"
