@@ -131,7 +131,7 @@ def with_severity(amplitudes: DataFrame) -> DataFrame:
 
 
 def incident_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(with_severity(ts.amplitudes(carved(spark, sf_dir))))
+    return rounded(with_severity(ts.amplitudes(carved(spark, sf_dir)).persist()))  # a row for each incident, used twice
 
 
 def incident_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
