@@ -147,7 +147,8 @@ def quality_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measures(incidents(spark, sf_dir), _clips(spark, sf_dir), texts.chunks(spark, sf_dir), detection.PRE, detection.POST)
+    # a row for each incident, aggregated three ways
+    return quality.measures(incidents(spark, sf_dir).persist(), _clips(spark, sf_dir), texts.chunks(spark, sf_dir).select("chunk_id", "n_tokens"), detection.PRE, detection.POST)
 
 
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
