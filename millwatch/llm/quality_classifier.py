@@ -243,9 +243,9 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     return Model(good if good.text or good.constant == good.constant else good._replace(constant=1.0), toxic if toxic.text or toxic.constant == toxic.constant else toxic._replace(constant=0.0))
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: Model | None = None, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: Model | None = None, threshold: float = 0.5, toxic_from: float = 0.3) -> DataFrame:
     """``docs`` with text_quality, page_quality, quality_prob, toxic_prob and kept (quality_prob of ``threshold``
-    or more and toxic_prob under it)."""
+    or more and toxic_prob under ``toxic_from``: a toxic text kept costs more than a clean one lost)."""
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs, labels))  # a fixed number of weights
     fields = [T.StructField(c, T.DoubleType()) for c in ("text_quality", "page_quality", "quality_prob", "toxic_prob")] + [T.StructField("kept", T.BooleanType())]
     new = {f.name for f in fields}
@@ -260,7 +260,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
                 text, page = text_features(batch.column(at["text"])), page_features(*[batch.column(at[c]).to_pylist() for c in ("source", "lang", "n_chars")])
                 good, by_text, by_page = shared.value.good.probability(text, page)
                 toxic = shared.value.toxic.probability(text, page)[0]
-                added = [by_text, by_page, good, toxic, (good >= threshold) & (toxic < threshold)]
+                added = [by_text, by_page, good, toxic, (good >= threshold) & (toxic < toxic_from)]
                 yield pa.RecordBatch.from_arrays([batch.column(at[c]) for c in names] + [pa.array(x) for x in added], names=[*names, *[f.name for f in fields]])
 
     return source.mapInArrow(run, T.StructType([source.schema[c] for c in names] + fields))
