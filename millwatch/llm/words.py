@@ -149,7 +149,7 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(total ^ U64(k)), at
 
 
-def small_batches(batch: pa.RecordBatch, text: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batch: pa.RecordBatch, text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each; a longer text is a slice of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     total, low = np.cumsum(size), 0
