@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.scalars import is_malformed, list_of_json
 
 # Measure, comparison, target by tier, level if missed.
 HARD = ("pct_missing_sensor_file", "pct_missing_video_file", "pct_dangling_chunk_id", "pct_malformed_json", "pct_bad_span", "pct_duplicate_incident_id", "fs_hz_plausible_violations")
@@ -21,6 +24,9 @@ TARGETS = (
     ("n_video_clips", ">=", 20.0, 1000.0, "WARN"),
     ("text_pages_equiv", ">=", 30.0, 300.0, "WARN"),
 )
+#: List columns of incidents, and their types; index files hold them as JSON text.
+SPANS = "array<struct<start_s:double,end_s:double>>"
+LISTS = {"sop_chunk_ids": "array<string>", "maintenance_chunk_ids": "array<string>", "sensor_relevant_spans": SPANS, "video_relevant_spans": SPANS}
 # End of fixed values.
 
 
@@ -51,7 +57,7 @@ def _share(condition: Column) -> Column:
 def incident_measures(incidents: DataFrame, pre_s: float, post_s: float, low_fs: float = 10.0, high_fs: float = 200_000.0) -> DataFrame:
     """One row: the measures of incidents alone, in one aggregate."""
     duration = F.greatest(F.col("window_end_s") - F.col("window_start_s"), F.lit(0.0))
-    spans = F.coalesce(F.col("sensor_relevant_spans"), F.array().cast("array<struct<start_s:double,end_s:double>>"))
+    spans = F.coalesce(F.col("sensor_relevant_spans"), F.array().cast(SPANS))
     sound = F.filter(spans, _sound)
     covered = F.aggregate(sound, F.lit(0.0), lambda total, s: total + s["end_s"] - s["start_s"])
     has_sop, has_maint, has_video = F.size("sop_chunk_ids") > 0, F.size("maintenance_chunk_ids") > 0, F.col("video_file").isNotNull()
@@ -85,11 +91,48 @@ def long_form(row: DataFrame) -> DataFrame:
     return row.select(F.explode(pairs).alias("x")).select("x.*")
 
 
-def measures(incidents: DataFrame, clips: DataFrame, chunks: DataFrame, pre_s: float, post_s: float) -> DataFrame:
-    """metric, value of incidents, their balance, and the clips and chunks beside them."""
+def _texts(incidents: DataFrame) -> list[str]:
+    """The list columns that are JSON text."""
+    return [f.name for f in incidents.schema.fields if f.name in LISTS and isinstance(f.dataType, T.StringType)]
+
+
+def malformed_lists(incidents: DataFrame) -> DataFrame:
+    """One row, pct_malformed_json: the share of incidents with a list column whose text isn't a JSON list; columns
+    that are lists already can't be malformed."""
+    bad = F.lit(False)
+    for c in _texts(incidents):
+        bad = bad | F.coalesce(is_malformed(F.col(c)) | ~F.ltrim(c).startswith("["), F.lit(False))
+    return incidents.agg(_share(bad).alias("pct_malformed_json"))
+
+
+def lost_share(rows: DataFrame, present: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One row: the share of ``rows`` whose keys aren't among ``present``'s."""
+    there = present.select(*keys).distinct().withColumn("__there", F.lit(1))
+    return rows.select(*keys).join(there, keys, "left").agg(F.coalesce(F.avg(F.col("__there").isNull().cast("double")), F.lit(0.0)).alias(name))
+
+
+def measures(incidents: DataFrame, clips: DataFrame, chunks: DataFrame, pre_s: float, post_s: float, waveforms: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """metric, value of incidents, their balance, and the clips and chunks beside them.
+
+    ``files``: path of every file there is, for video_file and sensor_file; without it clips are those of ``clips``.
+    ``waveforms``: the table of samples, for incidents kept in it rather than in files of their own; a row for each
+    source_dataset and incident_id suffices. Incidents that name recordings without either of the two have no
+    pct_missing_sensor_file, which violates its target; those that neither name any nor come with waveforms miss none.
+    List columns may be lists or JSON text.
+    """
+    malformed = malformed_lists(incidents)
+    incidents = incidents.withColumns({c: list_of_json(F.col(c), LISTS[c]) for c in _texts(incidents)})
     named = incidents.select(F.explode(F.concat("sop_chunk_ids", "maintenance_chunk_ids")).alias("chunk_id"))
-    lost = named.join(chunks.select("chunk_id", F.lit(1).alias("there")).distinct(), "chunk_id", "left").agg(F.coalesce(F.avg(F.col("there").isNull().cast("double")), F.lit(0.0)).alias("pct_dangling_chunk_id"))
-    parts = [incident_measures(incidents, pre_s, post_s), balance(incidents, "failure_family"), lost, clips.agg(F.count("*").alias("n_video_clips")), chunks.agg(F.coalesce(F.sum("n_tokens") / 500, F.lit(0.0)).alias("text_pages_equiv"))]
+    lost = lost_share(named, chunks, ["chunk_id"], "pct_dangling_chunk_id")
+    there = clips if files is None else files.withColumnRenamed("path", "video_file")
+    no_clip = lost_share(incidents.where("video_file IS NOT NULL"), there, ["video_file"], "pct_missing_video_file")
+    parts = [incident_measures(incidents, pre_s, post_s), balance(incidents, "failure_family"), lost, no_clip, malformed, clips.agg(F.count("*").alias("n_video_clips")), chunks.agg(F.coalesce(F.sum("n_tokens") / 500, F.lit(0.0)).alias("text_pages_equiv"))]
+    if waveforms is not None:
+        parts.append(lost_share(incidents, waveforms, ["source_dataset", "incident_id"], "pct_missing_sensor_file"))
+    elif "sensor_file" not in incidents.columns:
+        parts.append(incidents.agg(F.lit(0.0).alias("pct_missing_sensor_file")))
+    elif files is not None:
+        parts.append(lost_share(incidents, files.withColumnRenamed("path", "sensor_file"), ["sensor_file"], "pct_missing_sensor_file"))
     out = long_form(parts[0])
     for part in parts[1:]:
         out = out.unionByName(long_form(part))
@@ -97,14 +140,14 @@ def measures(incidents: DataFrame, clips: DataFrame, chunks: DataFrame, pre_s: f
 
 
 def violations(metrics: DataFrame, tier: str = "mvp") -> DataFrame:
-    """metric, value, op, target, level of the targets that a tier sets and the measures miss; an unknown tier is
-    mvp, and without any incident that alone is the violation."""
+    """metric, value, op, target, level of the targets that a tier sets and the measures miss; a target without a
+    measure is missed, with a null value. An unknown tier is mvp, and having no incident violates a target too."""
     k = 3 if tier == "extended" else 2
     rows = [(m, "=", 0.0, "FAIL") for m in HARD] + [(t[0], t[1], t[k], t[4]) for t in TARGETS] + [("n_incidents", ">=", 1.0, "FAIL")]
     targets = metrics.sparkSession.createDataFrame(rows, "metric string, op string, target double, level string")
     v, t = F.col("value"), F.col("target")
     missed = F.when(F.col("op") == "=", v != t).when(F.col("op") == ">=", v < t).otherwise(v > t)
-    return metrics.join(F.broadcast(targets), "metric").where(missed).select("metric", "value", "op", "target", "level")
+    return targets.join(metrics, "metric", "left").where(F.coalesce(missed, F.lit(True))).select("metric", "value", "op", "target", "level")
 
 
 def grade(metrics: DataFrame, tier: str = "mvp") -> DataFrame:
@@ -114,6 +157,4 @@ def grade(metrics: DataFrame, tier: str = "mvp") -> DataFrame:
 
 
 def malformed_share(rows: DataFrame, column: str) -> DataFrame:
-    from ..functions.scalars import is_malformed
-
     return rows.agg(_share(is_malformed(F.col(column))).alias("pct_malformed_json"))

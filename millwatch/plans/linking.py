@@ -147,12 +147,14 @@ def quality_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a row for each incident, aggregated three ways
-    return quality.measures(incidents(spark, sf_dir).persist(), _clips(spark, sf_dir), texts.chunks(spark, sf_dir).select("chunk_id", "n_tokens"), detection.PRE, detection.POST)
+    # a row for each incident, aggregated five ways
+    waveforms = detection.carved(spark, sf_dir).select(F.col("run_id").alias("source_dataset"), "incident_id")
+    return quality.measures(incidents(spark, sf_dir).persist(), _clips(spark, sf_dir), texts.chunks(spark, sf_dir).select("chunk_id", "n_tokens"), detection.PRE, detection.POST, waveforms)
 
 
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_measures(spark, sf_dir))
+    """The measures that the SQL lists; the three that it doesn't count in the violations and the grade."""
+    return rounded(_measures(spark, sf_dir).where(~F.col("metric").isin("pct_missing_sensor_file", "pct_missing_video_file", "pct_malformed_json")))
 
 
 def quality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,28 @@ def test_measures_and_grade(spark):
     assert grade == "FAIL"
 
 
+def test_lost_files_and_malformed_lists_fail(spark):
+    long = [incident(incident_id=f"i{k}", window_end_s=9000.0, failure_family=["unknown", "chatter"][k % 2], video_file="ab"[k % 2]) for k in range(4)]
+    df = spark.createDataFrame([tuple(r.values()) for r in long], SCHEMA).withColumn("sensor_file", F.concat(F.lit("w/"), "incident_id"))
+    chunks = spark.createDataFrame([("c", 30_000)], "chunk_id string, n_tokens long")
+    files = spark.createDataFrame([("w/i0",), ("w/i1",), ("w/i2",), ("a",), ("a",)], "path string")
+    waves = spark.createDataFrame([("d", "i0"), ("d", "i0"), ("d", "i1"), ("e", "i2")], "source_dataset string, incident_id string")
+    texts = sinks.interchange(df).withColumn("sop_chunk_ids", F.when(F.col("incident_id") == "i1", '["c').when(F.col("incident_id") == "i2", '{"c": 1}').otherwise(F.col("sop_chunk_ids")))
+
+    def told(incidents, **there):
+        metrics = quality.measures(incidents, clips(spark), chunks, 3.0, 2.0, **there)
+        failed = {r.metric: r.value for r in quality.violations(metrics).collect() if r.level == "FAIL"}
+        return failed, quality.grade(metrics).first().grade
+
+    assert told(df, files=files) == ({"pct_missing_sensor_file": 0.25, "pct_missing_video_file": 0.5}, "FAIL")
+    assert told(df, waveforms=waves) == ({"pct_missing_sensor_file": 0.5}, "FAIL")
+    assert told(df) == ({"pct_missing_sensor_file": None}, "FAIL")
+    assert told(df.withColumn("video_file", F.lit("gone")).drop("sensor_file")) == ({"pct_missing_video_file": 1.0}, "FAIL")
+    failed, grade = told(texts.drop("sensor_file"))
+    assert failed["pct_malformed_json"] == 0.5 and grade == "FAIL"
+    assert told(sinks.interchange(df).drop("sensor_file")) == told(df.drop("sensor_file")) == ({}, "WARN")
+
+
 def test_no_incidents_fail(spark):
     assert measured(spark, [])[2] == "FAIL"
 
