@@ -35,6 +35,8 @@ COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond di
 _SPLIT_NAME = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 #: What an open element closes by itself when one of these starts.
 CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
+#: Numbers of so many digits that the standard library doesn't read them; no character has one over 0x10ffff.
+_LONG_NUMBER = re.compile(r"&#([0-9]{1000,})")
 _STOP = frozenset("ul ol table article section div body html main td th".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -127,6 +129,10 @@ class Lines(HTMLParser):
         if not any(why and tag not in BLOCKS for tag, _, why in self.stack):
             self.pending.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A comment up to the next `>`, as in browsers."""
+        return self.parse_bogus_comment(i, report)
+
 
 def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Gaussian smoothing over neighbouring lines; edges repeat."""
@@ -159,11 +165,8 @@ def main_text(html: str | None, sigma: float = 1.0, whole: float = 0.95) -> str:
     if not html:
         return ""
     parser = Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except (AssertionError, ValueError):  # declarations that the standard parser gives up on: keep what was read
-        pass
+    parser.feed(_LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), html))
+    parser.close()
     parser.flush()
     lines = [x for x in parser.lines if not x.out]
     if not lines:

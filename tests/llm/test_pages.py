@@ -48,6 +48,12 @@ def test_main_text(page):
     assert main_text(page).replace("<![if", "") == PAGES[page]
 
 
+@pytest.mark.parametrize("mark", ["<![foo]>", "<![ endif]>", "<![]>", "<![endif]-->", "<![if !IE]>", "<![CDATA[x]]>", "<![-x", "<![9 a='b'>", "<!foo>", f"&#{'9' * 5000};", f"&#{'0' * 5000}32;"])
+def test_text_after_marks(mark):
+    end = "" if mark.endswith((">", ";")) else ">"
+    assert main_text(f"<p>{BODY}</p>{mark}{end}<p>{BODY}</p>").replace("\n\ufffd", "") == f"{BODY}\n{BODY}"
+
+
 def test_extract_edges(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, f"<p>{BODY * 3000}", "a"), (3, f"<p>{BODY}", "a")], "page_id long, html string, TEXT string")
     out = extract(rows)
