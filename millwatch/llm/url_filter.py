@@ -13,6 +13,7 @@ aren't returned; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -75,11 +76,12 @@ def host_links(rows: DataFrame) -> DataFrame:
     return links.where("to_host <> '' AND to_host <> from_host").groupBy("from_host", "to_host").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, follow: float = 0.85, rounds: int = 20, still: float = 1e-6) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, follow: float = 0.85, still: float = 1e-6) -> DataFrame:
     """host, trust, distrust. ``seeds``: host, trust, distrust, the shares that rules allow and block.
 
-    Trust divides over the links of a host, distrust over the links to it. Rounds end when the scores rest
-    (summed changes under ``still`` of their sum) or after ``rounds``.
+    Trust divides over the links of a host, distrust over the links to it. Rounds end when what later rounds could
+    still add, to all hosts together, is under ``still``; so no host's score is off by more. What a round adds is at
+    most ``follow`` times what the one before added, which bounds the rounds by the logarithm of the sum of seeds.
     """
     columns = ["host", "trust", "distrust"]
     base = saved(seeds.select("host", ((1 - follow) * F.col("trust")).alias("trust"), ((1 - follow) * F.col("distrust")).alias("distrust")), "host-seeds")
@@ -91,18 +93,28 @@ def propagate(seeds: DataFrame, links: DataFrame, follow: float = 0.85, rounds:
     scores = base
     if edges.isEmpty():
         return scores
-    for _ in range(rounds):
+    mass = lambda df: df.agg(F.sum(F.col("trust") + F.col("distrust")).alias("x")).first().x or 0.0
+    total = mass(base)
+    rest = total * follow / (1 - follow)
+    for _ in range(most_rounds(total, follow, still)):
+        if rest <= still:
+            return scores
         moved = edges.join(scores.withColumnRenamed("host", "source"), "source").select(F.col("target").alias("host"), (follow * F.col("trust") * F.col("for_trust")).alias("trust"), (follow * F.col("distrust") * F.col("for_distrust")).alias("distrust"))
-        new = saved(base.select(*columns).unionByName(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "host-scores")
-        both = new.select("host", "trust", "distrust").unionByName(scores.select("host", (-F.col("trust")).alias("trust"), (-F.col("distrust")).alias("distrust")))
-        change = both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).agg(F.sum(F.abs("trust") + F.abs("distrust")).alias("x")).first().x
-        total = new.agg(F.sum(F.col("trust") + F.col("distrust")).alias("x")).first().x
-        scores = new
-        if change is None or change <= still * (total or 1):
-            break
+        scores = saved(base.select(*columns).unionByName(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "host-scores")
+        # scores only grow, so their sums tell what was added
+        before, total = total, mass(scores)
+        rest = (total - before) * follow / (1 - follow)
+    if rest > still:
+        raise RuntimeError(f"scores of hosts don't rest: {rest} of {total} may be missing")
     return scores
 
 
+def most_rounds(total: float, follow: float, still: float) -> int:
+    """Rounds after which less than ``still`` of a sum of seeds is left to spread, and two for rounding."""
+    left = total * follow / (1 - follow)
+    return 2 + max(0, math.ceil(math.log(still / left) / math.log(follow))) if left > 0 else 1
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, follow: float = 0.85, border: float | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust.
 

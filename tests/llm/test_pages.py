@@ -143,6 +143,20 @@ def test_links_spread_trust_and_distrust(spark):
     assert {r.host: r.verdict for r in got.values()} == {"good.com": "allow", "bad.net": "block", "farm.org": "block", "friend.org": "allow", "hub.org": "allow", "victim.org": "allow"}
 
 
+def test_distrust_comes_from_any_distance(spark):
+    chain = [(f"c{k}.org", f"c{k + 1}.org") for k in range(24)] + [("c24.org", "hub.org")]
+    edges = chain + [("hub.org", f"bad{k}.net") for k in range(100)] + [("ring.org", "back.org"), ("back.org", "ring.org")]
+    seeds = {f"bad{k}.net": (0.0, 1.0) for k in range(100)} | {"c0.org": (0.0, 0.0), "ring.org": (1.0, 0.0)}
+    links = spark.createDataFrame([(*e, 1) for e in edges], "from_host string, to_host string, n long")
+    scores = url_filter.propagate(spark.createDataFrame([(h, *v) for h, v in seeds.items()], "host string, trust double, distrust double"), links)
+    got = {r.host: (r.trust, r.distrust) for r in scores.collect()}
+    want = ranked(seeds, dict.fromkeys(edges, 1))
+    assert got.keys() == want.keys()
+    for host, score in got.items():
+        assert score == pytest.approx(want[host], abs=2e-6)
+    assert got["c0.org"][1] == pytest.approx(100 * 0.15 * 0.85**26, abs=2e-6)
+
+
 def test_url_edges(spark):
     assert judged(spark, []) == {}
     rows = spark.createDataFrame([(1, "http://a.com/", "x", "v"), (1, "http://a.com/", "x", "v")], "page_id long, url string, html string, verdict string")
