@@ -2,8 +2,8 @@
 
 A line's quote level is the number of `>` before it.  Quoted lines, and all lines of one level together, are
 normalised (lower case, single spaces) and hashed; joined by conversation and hash to the message that first
-wrote such a line or such a text, they tell which message is answered.  The lowest level speaks first, then the
-number of matches, then the later message.  Replies get the place of their message, their depth and the first
+wrote such a line or such a text, they tell which message is answered.  Long matches speak first, short ones where
+a message has no other; among them the lowest level, then the number of matches, then the later message.  Replies get the place of their message, their depth and the first
 message of their thread, and keep only what they say themselves.  Everything is DataFrame work; what a
 conversation wrote is reduced to the first writer of each hash before the join, so that no line, however common,
 meets all its repeats, and no conversation is ever gathered in one task.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .storage import saved
 
 KEY = ["conv_id", "turn"]
-#: Shorter lines ("yes", "thanks") say nothing of where they come from.
+#: Shorter lines ("yes", "thanks") say little of where they come from; they count after all longer ones.
 LEAST_CHARS = 12
 _MARK = r"^[ \t]*((?:>[ \t]?)+)"
 _ATTRIBUTION = r"(?i)^(?:on|am|le|el)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s?:\s*$"
@@ -49,27 +49,28 @@ def own_text(lines: Column) -> Column:
 
 
 def _hashes(texts: Column) -> Column:
-    """Hashes of the normalised texts that are long enough."""
-    long_enough = F.filter(F.transform(texts, normalised), lambda x: F.length(x) >= LEAST_CHARS)
-    return F.array_distinct(F.transform(long_enough, lambda x: F.xxhash64(x, F.length(x))))
+    """Hashes of the normalised texts that aren't empty, and whether they are long."""
+    there = F.filter(F.transform(texts, normalised), lambda x: x != "")
+    return F.array_distinct(F.transform(there, lambda x: F.struct(F.xxhash64(x, F.length(x)).alias("hash"), (F.length(x) >= LEAST_CHARS).alias("long"))))
 
 
 def links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to, matches: the earlier message that each message's quotations come from."""
     rows = _with_lines(messages.select(*KEY, "text"))
     own = F.transform(F.filter("__lines", lambda x: x["level"] == 0), lambda x: x["words"])
-    wrote = rows.select(*KEY, F.explode(_hashes(F.concat(own, F.array(F.array_join(own, " "))))).alias("hash"))
+    wrote = rows.select(*KEY, F.explode(_hashes(F.concat(own, F.array(F.array_join(own, " "))))).alias("x")).select(*KEY, "x.hash")
     quoted_at = lambda k: F.transform(F.filter("__lines", lambda x: x["level"] == k), lambda x: x["words"])
     levels = F.array_distinct(F.filter(F.transform("__lines", lambda x: x["level"]), lambda x: x > 0))
     quoting = rows.where(F.exists("__lines", lambda x: x["level"] > 0)).select(*KEY, "__lines", F.explode(levels).alias("level"))
-    quotes = quoting.select(*KEY, "level", F.explode(_hashes(F.concat(quoted_at(F.col("level")), F.array(F.array_join(quoted_at(F.col("level")), " "))))).alias("hash"))
+    quotes = quoting.select(*KEY, "level", F.explode(_hashes(F.concat(quoted_at(F.col("level")), F.array(F.array_join(quoted_at(F.col("level")), " "))))).alias("x")).select(*KEY, "level", "x.*")
     quotes = saved(quotes, "chat-quotes")
     # only hashes that are quoted at all need their first writer
     asked = quotes.select("conv_id", "hash").distinct()
     first = wrote.join(asked, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
     found = quotes.join(saved(first, "chat-first"), ["conv_id", "hash"]).where("source < turn")
-    votes = found.groupBy(*KEY, "source").agg(F.min("level").alias("level"), F.count("*").alias("matches"))
-    best = F.max_by(F.struct("source", "matches"), F.struct(-F.col("level"), F.col("matches"), F.col("source")))
+    lowest = F.coalesce(F.min(F.when(F.col("long"), F.col("level"))), F.min("level"))
+    votes = found.groupBy(*KEY, "source").agg(lowest.alias("level"), F.count_if("long").alias("long"), F.count("*").alias("matches"))
+    best = F.max_by(F.struct("source", "matches"), F.struct(F.col("long") > 0, -F.col("level"), F.col("long"), F.col("matches"), F.col("source")))
     return votes.groupBy(*KEY).agg(best.alias("best")).select(*KEY, F.col("best.source").alias("reply_to"), F.col("best.matches").alias("matches"))
 
 

@@ -77,6 +77,11 @@ def test_quotes_lead_to_their_messages(spark):
     assert got[1, 3].text == "It is on the wall." and got[1, 5].text == ""
 
 
+def test_short_quotes_lead_to_their_messages(spark):
+    rows = [(1, 0, "a", "Thanks!\nShall we meet on the third floor?"), (1, 1, "b", "Same."), (1, 2, "c", "> Same.\nWhy?"), (1, 3, "d", ">\n> Why?\nSo."), (1, 4, "e", "> Thanks!\n\nYou too."), (1, 5, "f", "> Same.\n> > Shall we meet on the third floor?\nYes."), (1, 6, "g", "> Never.\n>\nNo."), (1, 7, "h", "> Later.\n"), (1, 8, "i", "Later.")]
+    assert {r.turn: (r.reply_to, r.thread, r.depth) for r in ordered(spark, rows).collect()} == {0: (None, 0, 0), 1: (None, 1, 0), 2: (1, 1, 1), 3: (2, 1, 2), 4: (0, 0, 1), 5: (0, 0, 1), 6: (None, 6, 0), 7: (None, 7, 0), 8: (None, 8, 0)}
+
+
 def test_long_chains_of_replies(spark):
     rows = [(1, 0, "r", "message number 0 says this")] + [(1, k, "r", f"> message number {k - 1} says this\nmessage number {k} says this") for k in range(1, 40)]
     assert sorted((r.turn, r.thread, r.depth) for r in ordered(spark, rows).collect()) == [(k, 0, k) for k in range(40)]
