@@ -5,7 +5,8 @@ elements is a line, with the tags met in it; its ratio is text characters over t
 order, are smoothed by a Gaussian, and lines over a threshold taken from their spread are content.  The content
 region is then the innermost element that holds (nearly) all text of content lines, an article or main element
 if there is one; all its lines belong to the text, short ones too, except those in parts that by element, role
-or class are menus, headers, footers, sidebars, notices, adverts, forms, reader comments or no text at all.
+or class are menus, headers, footers, sidebars, notices, adverts, forms, reader comments or no text at all.  The
+class or id of an element that holds most text of content lines is no such mark: ratios overrule it.
 
 Defined results: null or empty html gives an empty text; html without any tag is one block; unclosed and
 stray tags are borne as browsers do; pages of any length are read whole; repeated rows give repeated rows; input
@@ -15,6 +16,7 @@ columns named like an output column are replaced; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -31,6 +33,8 @@ OUT = frozenset("script style noscript template head title nav footer aside form
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark such parts.
 OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup share sharing social related recommended comment comments commentlist reply replies respond disqus discussion widget toolbar pager pagination".split())
+#: What class and id say, which the ratios can overrule.
+SOFT = ("comments", "class")
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 _SPLIT_NAME = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 #: What an open element closes by itself when one of these starts.
@@ -42,10 +46,14 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Line:
-    __slots__ = ("path", "text", "tags", "out")
+    """``marks``: the elements around it that class or id takes out; ``pieces``: its text, each piece with the marked
+    elements inside the line that hold it."""
 
-    def __init__(self, path: tuple[int, ...], text: str, tags: int, out: bool) -> None:
-        self.path, self.text, self.tags, self.out = path, text, tags, out
+    __slots__ = ("path", "pieces", "tags", "hard", "marks", "text", "out")
+
+    def __init__(self, path: tuple[int, ...], pieces: list[tuple[str, frozenset[int]]], tags: int, hard: bool, marks: frozenset[int]) -> None:
+        self.path, self.pieces, self.tags, self.hard, self.marks = path, pieces, tags, hard, marks
+        self.text, self.out = "", hard
 
 
 class Lines(HTMLParser):
@@ -55,12 +63,14 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, str]] = []  # element, its number, why its text is out ("" if it isn't)
         self.count, self.tags, self.pending, self.lines, self.kinds = 0, 0, [], [], {}
+        self.marked: dict[int, str] = {}  # elements that class or id takes out
 
     def flush(self) -> None:
-        text = " ".join("".join(self.pending).split())
-        if text:
-            out = any(why for _, _, why in self.stack) and not (self.stack[-1][0] in _HEADINGS and all(why in ("", "article header") for _, _, why in self.stack))
-            self.lines.append(Line(tuple(n for _, n, _ in self.stack), text, max(1, self.tags), out))
+        if any(not data.isspace() for data, _ in self.pending if data):
+            hard = [why for _, _, why in self.stack if why not in ("", *SOFT)]
+            exempt = self.stack and self.stack[-1][0] in _HEADINGS and all(why == "article header" for why in hard)
+            marks = frozenset(n for tag, n, why in self.stack if why in SOFT and tag in BLOCKS)
+            self.lines.append(Line(tuple(n for _, n, _ in self.stack), self.pending, self.tags, bool(hard) and not exempt, marks))
             self.tags = 0
         self.pending = []
 
@@ -81,15 +91,17 @@ class Lines(HTMLParser):
             for name in (found.get("class", ""), found.get("id", "")):
                 names.update(x.lower() for x in _SPLIT_NAME.split(name) if x)
             if names & COMMENT_WORDS:
+                self.marked[self.count] = "comments"
                 return "comments"
             if names & OUT_WORDS and tag not in ("html", "body", "article", "main"):
+                self.marked[self.count] = "class"
                 return "class"
         return ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag == "br":
-            self.pending.append(" ")
+            self.pending.append((" ", frozenset()))
         if tag in BLOCKS:
             self.flush()
         if tag in VOID:
@@ -126,8 +138,9 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         # parts inside a block, such as scripts and buttons, leave it without parting it
-        if not any(why and tag not in BLOCKS for tag, _, why in self.stack):
-            self.pending.append(data)
+        inline = [(n, why) for tag, n, why in self.stack if why and tag not in BLOCKS]
+        if all(why in SOFT for _, why in inline):
+            self.pending.append((data, frozenset(n for n, _ in inline)))
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """A comment up to the next `>`, as in browsers."""
@@ -159,6 +172,63 @@ def clustered(ratios: np.ndarray) -> np.ndarray:
     return content if content.any() else np.ones(len(ratios), bool)
 
 
+def told(lines: list[Line], ignored: frozenset[int]) -> list[Line]:
+    """The lines that have text, with text, tags and out as they are if the marks of ``ignored`` elements don't count;
+    tags of lines without text go to the next."""
+    out, tags = [], 0
+    for x in lines:
+        x.text = " ".join("".join(data for data, marks in x.pieces if marks <= ignored).split())
+        tags += x.tags
+        if x.text:
+            x.out = x.hard or not x.marks <= ignored
+            out.append((x, max(1, tags)))
+            tags = 0
+    return out
+
+
+def content_of(lines: list[tuple[Line, int]], sigma: float) -> list[Line]:
+    """Lines that aren't out and whose smoothed ratio makes them content."""
+    if not lines:
+        return []
+    content = clustered(smooth(np.asarray([0.0 if x.out else len(x.text) / tags for x, tags in lines]), sigma))
+    return [x for (x, _), c in zip(lines, content, strict=True) if c and not x.out]
+
+
+def _marked(x: Line) -> Counter:
+    """Characters of a line by marked element around it, or inside it."""
+    sizes = Counter(dict.fromkeys(x.marks, len(x.text)))
+    for data, marks in x.pieces:
+        for n in marks:
+            sizes[n] += len(" ".join(data.split()))
+    return sizes
+
+
+def wrappers(parser: Lines, sigma: float) -> frozenset[int]:
+    """Elements that class or id takes out although they hold most text of the content lines, by ratios that heed no
+    such name. Where an article or main element outside of them has content the name is right, and reader comments,
+    which may be longer than what they are about, must hold all content lines and 95 % of all text."""
+    if not parser.marked:
+        return frozenset()
+    lines = told(parser.lines, frozenset(parser.marked))
+    text, content = [x for x, _ in lines if not x.out], content_of(lines, sigma)
+    held, parts, every = Counter(), Counter(), Counter()
+    for x in content:
+        for n, size in _marked(x).items():
+            held[n] += size
+            parts[n] += 2 * size > len(x.text)
+    for x in text:
+        every.update(_marked(x))
+    most, whole = sum(len(x.text) for x in content) / 2, 0.95 * sum(len(x.text) for x in text)
+    named = {n for n, tag in parser.kinds.items() if tag in ("article", "main")}
+    left = set(parser.marked)
+    for n, why in sorted(parser.marked.items()):  # outer ones first
+        if held[n] <= most or any(named.intersection(x.path) and not left.intersection(x.path) for x in content):
+            continue
+        if why == "class" or (parts[n] == len(content) and every[n] >= whole):
+            left.remove(n)
+    return frozenset(parser.marked.keys() - left)
+
+
 def main_text(html: str | None, sigma: float = 1.0, whole: float = 0.95) -> str:
     """The blocks of the content region, joined by line feeds. ``whole``: share of the content lines' text that
     the region must hold."""
@@ -168,11 +238,11 @@ def main_text(html: str | None, sigma: float = 1.0, whole: float = 0.95) -> str:
     parser.feed(_LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), html))
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x.out]
+    every = told(parser.lines, wrappers(parser, sigma))
+    lines = [x for x, _ in every if not x.out]
     if not lines:
         return ""
-    content = clustered(smooth(np.asarray([0.0 if x.out else len(x.text) / x.tags for x in parser.lines]), sigma))
-    chosen = [x for x, c in zip(parser.lines, content, strict=True) if c and not x.out] or lines
+    chosen = content_of(every, sigma) or lines
     held: dict[int, int] = {}
     for x in chosen:
         for n in x.path:

@@ -48,6 +48,22 @@ def test_main_text(page):
     assert main_text(page).replace("<![if", "") == PAGES[page]
 
 
+WRAPPED = {
+    f"<body><div class='layout has-sidebar'><div class='sidebar'>{'<a href=x>item</a>' * 9}</div><div><h1>T</h1><p>{BODY}</p><p>{BODY}</p></div></div>": f"T\n{BODY}\n{BODY}",
+    f"<div id='content' class='with-banner'><div class=banner>Buy now</div><p>{BODY}</p><p>b</p></div>": f"{BODY}\nb",
+    f"<x-page class='share-page'><p>{BODY}</p><p>{BODY}<span class='share'>x</span></p></x-page>": f"{BODY}\n{BODY}",
+    f"<body class='post comments-open'><div><p>{BODY}</p><p>b</p></div><div class=comments><p>{BODY * 3}</p><p>{BODY * 3}</p></div>": f"{BODY}\nb",
+    f"<div class='has-sidebar'><nav>menu</nav><p>{BODY}</p><p>{BODY}</p><div class=related><p>{BODY}</p></div></div>": f"{BODY}\n{BODY}",
+    f"<article><p>{BODY}</p></article><div class=related><p>{BODY * 3}</p><p>{BODY * 3}</p></div>": BODY,
+    f"<div><p>{BODY}</p></div><div class=comments><p>{BODY * 30}</p></div>": BODY,
+}
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_ratios_overrule_names(page):
+    assert main_text(page) == WRAPPED[page]
+
+
 @pytest.mark.parametrize("mark", ["<![foo]>", "<![ endif]>", "<![]>", "<![endif]-->", "<![if !IE]>", "<![CDATA[x]]>", "<![-x", "<![9 a='b'>", "<!foo>", f"&#{'9' * 5000};", f"&#{'0' * 5000}32;"])
 def test_text_after_marks(mark):
     end = "" if mark.endswith((">", ";")) else ">"
