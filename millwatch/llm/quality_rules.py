@@ -1,13 +1,14 @@
 """Weak supervision of quality rules.
 
-Every rule votes for keeping a text (+1), against it (-1), or abstains (0).  Expectation-maximisation over the
-counts of all vote patterns of the corpus (at most 3 to the number of rules, whatever its size) estimates how
-often each rule is right, and a text's posterior probability of being good replaces the demand that all rules
-pass.  Two passes over the texts, no shuffle but that of the pattern counts.
+Every rule votes for keeping a text (+1), against it (-1), or abstains (0).  Rules are narrow, so that many good
+texts have a vote against them.  Expectation-maximisation over the counts of all vote patterns of the corpus (at
+most 3 to the number of rules, whatever its size) estimates how often each rule's votes are right among good and
+among bad texts, and a text's posterior probability of being good replaces the demand that all rules pass: votes of
+rules that often err weigh little.  Two passes over the texts, no shuffle but that of the pattern counts.
 
 Defined results: a null or empty text has no words, fails the base rules and isn't kept; texts of any length
-are read whole; repeated rows give repeated rows; input columns named like an output column are replaced; an
-empty table gives no rows.
+are read whole; repeated rows give repeated rows; input columns named like an output column of ``judge`` are
+replaced, those of ``keep`` stay; ties at the threshold are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as w
-from .rows import append
+from .rows import append, chosen
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_upper", "n_letters", "n_digits", "n_lines", "n_closed_lines", "n_distinct_words")
+MORE = ("n_upper", "n_letters", "n_digits", "n_lines", "n_closed_lines", "n_distinct_words", "n_marked_words")
 _SPACE = " \t\n\v\f\r"
 
 
@@ -36,8 +37,8 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
     found = w.split(texts, w.NOT_SPACE, lower=False)
 
     def per_row(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
-        return total[at[1:]] - total[at[:-1]]
+        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int32)))  # an Arrow text has under 2^31 bytes
+        return (total[at[1:]] - total[at[:-1]]).astype(np.int64)
 
     symbol = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
     letter_low = np.zeros(256, bool)
@@ -45,6 +46,12 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
     letter_up = np.zeros(256, bool)
     letter_up[65:91] = True
     out = {"n_words": np.diff(found.first).astype(np.int64), "word_chars": per_row(w.NOT_SPACE[data] & ((data & 0xC0) != 0x80)), "n_symbols": per_row(symbol[data])}
+    # words with a symbol: symbols of one row without white space between them are in one word
+    place = np.flatnonzero(symbol[data])
+    row, word = np.searchsorted(at, place, "right") - 1, np.searchsorted(np.flatnonzero(~w.NOT_SPACE[data]), place)
+    new = np.ones(len(place), bool)
+    new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
+    out["n_marked_words"] = np.bincount(row[new], minlength=n).astype(np.int64)
     # words inside a three-word window that its text has twice or more
     window, first = w.windows(found, 3)
     row = found.row[first]
@@ -95,61 +102,61 @@ def _ratio(a: str, b: str) -> Callable[[dict[str, np.ndarray]], np.ndarray]:
 
 #: Each votes for a text inside the first range, and against it outside the second.
 RULES = (
-    Rule("length", lambda m: m["n_words"].astype(float), (80, 50_000), (50, 1e12)),
-    Rule("word_length", _ratio("word_chars", "n_words"), (3, 9), (2.2, 14)),
-    Rule("symbols", _ratio("n_symbols", "n_words"), (0, 0.05), (0, 0.3)),
-    Rule("repeated_words", _ratio("n_repeat_words", "n_words"), (0, 0.15), (0, 0.4)),
-    Rule("repeated_lines", _ratio("n_dup_lines", "n_lines"), (0, 0.2), (0, 0.6)),
-    Rule("capitals", _ratio("n_upper", "n_letters"), (0, 0.15), (0, 0.5)),
-    Rule("digits", _ratio("n_digits", "word_chars"), (0, 0.05), (0, 0.2)),
-    Rule("closed_lines", _ratio("n_closed_lines", "n_lines"), (0.6, 1), (0.15, 1)),
-    Rule("distinct_words", lambda m: m["n_distinct_words"] / np.maximum(m["n_words"], 1) * np.maximum(1, np.log10(np.maximum(m["n_words"], 1) / 100)), (0.35, 9), (0.12, 9)),
+    Rule("length", lambda m: m["n_words"].astype(float), (150, 1e12), (60, 1e12)),
+    Rule("word_length", _ratio("word_chars", "n_words"), (4.3, 6.2), (3.8, 7)),
+    Rule("symbols", _ratio("n_symbols", "n_words"), (0, 0.02), (0, 0.1)),
+    Rule("marked_words", _ratio("n_marked_words", "n_words"), (0, 0.01), (0, 0.05)),
+    Rule("repeated_words", _ratio("n_repeat_words", "n_words"), (0, 0.05), (0, 0.35)),
+    Rule("repeated_lines", _ratio("n_dup_lines", "n_lines"), (0, 0), (0, 0.4)),
+    Rule("capitals", _ratio("n_upper", "n_letters"), (0.004, 0.04), (0.001, 0.08)),
+    Rule("digits", _ratio("n_digits", "word_chars"), (0, 0.01), (0, 0.04)),
+    Rule("closed_lines", _ratio("n_closed_lines", "n_lines"), (0.97, 1), (0.9, 1)),
+    Rule("distinct_words", lambda m: m["n_distinct_words"] / np.maximum(m["n_words"], 1) * np.maximum(1, np.log10(np.maximum(m["n_words"], 1) / 100)), (0.7, 9), (0.6, 9)),
+    Rule("line_length", _ratio("n_words", "n_lines"), (15, 100), (8, 250)),
 )
 
-
-#: A rule's ranges are wide: at most so many of the good texts get its vote against them.
-MOST_WRONG = 0.002
+#: Imagined votes of each rule among good and among bad texts, a tenth and half of them against: they keep chances off
+#: 0 and 1, and weigh nothing beside a corpus.
+PRIOR_VOTES, PRIOR_GOOD, PRIOR_BAD = 20, 0.1, 0.5
 
 
 class Model(NamedTuple):
-    """Share of good texts; for each rule, the chances of a vote against and for in good and in bad texts."""
+    """Share of good texts, and for each rule the chance that its vote, if it has one, is against a good text, and
+    against a bad one. The first is how often it errs on good texts, the second how often it is right on bad ones."""
 
     good: float
     against_good: tuple[float, ...]
-    for_good: tuple[float, ...]
     against_bad: tuple[float, ...]
-    for_bad: tuple[float, ...]
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability that a text with these votes (one row each) is good. Abstaining says nothing; a vote
-        against never speaks for a text, nor a vote for against it."""
-        against = np.minimum(0, np.log(np.asarray(self.against_good) / np.asarray(self.against_bad)))
-        favour = np.maximum(0, np.log(np.asarray(self.for_good) / np.asarray(self.for_bad)))
-        odds = np.log(self.good / (1 - self.good)) + (votes == -1) @ against + (votes == 1) @ favour
+        """Probability that a text with these votes (one row each) is good. Abstaining says nothing."""
+        good, bad = np.asarray(self.against_good), np.asarray(self.against_bad)
+        odds = np.log(self.good / (1 - self.good)) + (votes == -1) @ np.log(good / bad) + (votes == 1) @ np.log((1 - good) / (1 - bad))
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Model:
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 1000) -> Model:
     """Expectation-maximisation over vote patterns (one row each) that ``counts`` texts share.
 
-    It starts from the view that texts with a vote against them are bad, and holds on to what the rules mean:
-    none votes against more than MOST_WRONG of the good texts. The share of good texts stays within
-    0.5 and 0.95, and some imagined votes keep every chance off 0 and 1.
+    It starts from the view that texts with two or more votes against them are bad, which tells the two classes
+    apart; from there on nothing bounds what it believes of a rule. Should it end with more rules voting against good
+    texts than against bad ones, the classes have changed places, and are put back.
     """
-    n = len(RULES)
-    model = Model(0.85, (0.01,) * n, (0.9,) * n, (0.2,) * n, (0.6,) * n)
+    against, favour = (votes == -1).astype(float), (votes == 1).astype(float)
+    model = Model(0.5, (PRIOR_GOOD,) * len(RULES), (PRIOR_BAD,) * len(RULES))
     if not len(votes):
         return model
-    good = np.where((votes == -1).any(axis=1), 0.1, 0.95)
+    good = np.where(against.sum(axis=1) < 2, 0.95, 0.05)
     for _ in range(rounds):
-        sure, doubt = counts * good, counts * (1 - good)
-        chance = lambda weight, vote, start: tuple(((weight @ (votes == vote) + 20 * start) / (weight.sum() + 20)).tolist())
-        wrong = tuple(min(x, MOST_WRONG) for x in chance(sure, -1, 0.01))
-        model = Model(float(np.clip(sure.sum() / counts.sum(), 0.5, 0.95)), wrong, chance(sure, 1, 0.9), chance(doubt, -1, 0.2), chance(doubt, 1, 0.6))
+        chance = lambda weight, prior: (weight @ against + PRIOR_VOTES * prior) / (weight @ (against + favour) + PRIOR_VOTES)
+        share = (counts @ good + PRIOR_VOTES / 2) / (counts.sum() + PRIOR_VOTES)
+        model = Model(float(share), tuple(chance(counts * good, PRIOR_GOOD).tolist()), tuple(chance(counts * (1 - good), PRIOR_BAD).tolist()))
         new = model.posterior(votes)
-        if np.abs(new - good).max() < 1e-9:
+        moved, good = np.abs(new - good).max(), new
+        if moved < 1e-9:
             break
-        good = new
+    if sum(a > b for a, b in zip(model.against_good, model.against_bad, strict=True)) > len(RULES) / 2:
+        model = Model(1 - model.good, model.against_bad, model.against_good)
     return model
 
 
@@ -171,20 +178,28 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     return fit(votes, np.asarray([r.n for r in found], dtype=float))
 
 
-def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, model: Model | None = None, threshold: float = 0.5, counts: bool = True) -> DataFrame:
-    """``df`` with the counts (if asked), base_failed, votes, quality_posterior and kept of each row.
+def _verdict(m: dict[str, np.ndarray], model: Model, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base_failed (under 50 words, or over half of them in repeated three-word windows), posterior, kept."""
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    good = model.posterior(_votes(m))
+    return failed, good, ~failed & (good >= threshold)
 
-    base_failed: under 50 words, or over half of them in repeated three-word windows.  kept: not base_failed
-    and a posterior of ``threshold`` or more.
-    """
+
+def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, model: Model | None = None, threshold: float = 0.5, counts: bool = True) -> DataFrame:
+    """``df`` with the counts (if asked), base_failed, quality_posterior and kept (not base_failed, and a posterior of
+    ``threshold`` or more) of each row."""
     model = model or learn(df, text)
     names = [*BASE, *MORE] if counts else []
     fields = [T.StructField(c, T.LongType()) for c in names] + [T.StructField("base_failed", T.BooleanType()), T.StructField("quality_posterior", T.DoubleType()), T.StructField("kept", T.BooleanType())]
 
     def run(texts: pa.Array) -> list:
         m = measures(texts)
-        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-        good = model.posterior(_votes(m))
-        return [*[pa.array(m[c], pa.int64()) for c in names], pa.array(failed), pa.array(good), pa.array(~failed & (good >= threshold))]
+        return [*[pa.array(m[c], pa.int64()) for c in names], *map(pa.array, _verdict(m, model, threshold))]
 
     return append(df, text, fields, run, keep)
+
+
+def keep(df: DataFrame, text: str = "text", model: Model | None = None, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that ``judge`` keeps, as they are."""
+    model, at = model or learn(df, text), df.columns.index(text)
+    return chosen(df, text, lambda batch: _verdict(measures(batch.column(at)), model, threshold)[2])
