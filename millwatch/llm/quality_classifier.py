@@ -1,24 +1,28 @@
 """Quality and toxicity of documents by co-training two views.
 
-The text view sees words and byte n-grams of a text and coarse counts of its form; the page view sees metadata
-only: source, language and length.  For each target both start from the labelled rows; over some rounds each
-labels the documents of an unlabelled pool that it is sure of, and hands them to the other as further training
-rows.  Held-out labelled rows then calibrate the two views and weigh them against each other in one logistic
-model.  All documents are scored where they lie, in one pass without a shuffle.
-
-What is fitted on is bounded: ``MOST_LABELLED`` labelled rows and ``MOST_POOL`` unlabelled documents, those with
-the least hashes of doc_id.  Their features reach the driver (at most some thousand numbers a document); all
-documents are scored.
+The text view sees words and the byte n-grams inside them.  The page view sees metadata: source, language, length,
+and the layout of the page (lines, symbols, capitals, digits, how varied its words are), but no word.  For each target
+both start from labelled rows.  Over some rounds every view labels all unlabelled documents that it is sure of, and
+the other view learns from them: what a feature says is worked out from class counts over labelled rows and the
+other view's labels.  Held-out labelled rows then calibrate the two views and weigh them against each other in one
+logistic model.  A round is one pass over the documents that shuffles only sums of a fixed size, and all documents are
+scored where they lie.
+
+What is bounded: ``MOST_LABELLED`` labelled rows, those with the least hashes of doc_id.  The driver gets sums of a
+fixed size, and of each labelled row those of its features that tell classes apart, of which there are at most
+``MOST_TELLING`` a target.  Unlabelled documents all take part, whatever their number.
 
 Defined results: a null or empty text has no text features and is judged by its metadata and the base rate; a
 null source, language or length is a value of its own; a target with fewer than ``LEAST_LABELS`` rows of one of
 its classes isn't learned and its probability is that of the other class (1 good, 0 toxic without labels);
-several labels of one doc_id: the worse counts; repeated rows give repeated rows; input columns named like an
-output column are replaced; an empty table gives no rows.
+several labels of one doc_id: the worse counts; several rows of a labelled doc_id all carry its label; repeated rows
+give repeated rows; input columns named like an output column of ``classify`` are replaced, those of ``keep`` stay; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,21 +33,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as w
-from .quality_rules import measures
-
-MOST_LABELLED, MOST_POOL, LEAST_LABELS = 6000, 3000, 20
-#: Bits of a text feature's number, bytes of a gram, features of form, and buckets of page features.
-BITS, GRAM, FORMS, FORM = 18, 5, 70, 512
-ROUNDS, SURE = 3, 0.99
-#: Standard deviations that a feature's classes must be away from the classes' shares to count.
-TELLING = 4.5
-#: Text worked on at once: a byte takes some 60 bytes of memory.
-BATCH_BYTES = 3 << 20
+from .rows import chosen, freed
+from .storage import saved
+
+MOST_LABELLED, MOST_TELLING, LEAST_LABELS = 6000, 4096, 20
+#: Bits of a text feature's number, bytes of a gram, and buckets of page features, of which LAYOUT are of layout.
+BITS, GRAM, PAGE, LAYOUT = 18, 5, 1024, 256
+ROUNDS, SURE = 2, 0.99
+#: How many standard deviations, and by which factor, a feature's share of a class must be off to count.
+TELLING, FACTOR = 4.5, 2.0
+#: Text worked on at once: a byte takes some 20 bytes of memory.
+BATCH_BYTES = 2 << 20
+#: Text features whose sums travel together.
+SLICE = 1 << 13
+TARGETS = ("quality", "toxic")
 _GRAM_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Rows(NamedTuple):
-    """Sparse rows of ones: the feature numbers of row r are ``features[first[r]:first[r + 1]]``."""
+    """Feature numbers of row r: ``features[first[r]:first[r + 1]]``."""
 
     features: np.ndarray
     first: np.ndarray
@@ -54,57 +62,107 @@ class Rows(NamedTuple):
         at = np.repeat(self.first[rows] - first[:-1], size) + np.arange(first[-1])
         return Rows(self.features[at], first)
 
-    def dot(self, weights: np.ndarray) -> np.ndarray:
+    def score(self, weights: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0.0], np.cumsum(weights[self.features], dtype=np.float64)))
         return total[self.first[1:]] - total[self.first[:-1]]
 
-    def back(self, errors: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(self.features, weights=np.repeat(errors, np.diff(self.first)), minlength=n)
+    def counts(self, of_row: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.features, weights=np.repeat(of_row, np.diff(self.first)), minlength=size)
 
 
-def text_features(texts: pa.Array) -> Rows:
-    """Buckets of a text's words and byte n-grams (each once), and of the form of the text."""
-    n = len(texts)
-    data, at = w.utf8(texts)
-    found = w.split(texts, w.ALNUM, lower=True)
-    mask = np.uint64((1 << BITS) - 1)
-    keys = [(found.row.astype(np.uint64) << np.uint64(BITS)) | (found.hash & mask)]
-    low = w.LOWER[data]
-    inside = w.ALNUM[low]
+class Vocabulary(NamedTuple):
+    """Texts as the words of a batch: features of each different word, and which rows have which words (each once)."""
+
+    features: Rows
+    row: np.ndarray
+    word: np.ndarray
+    n: int
+
+    def score(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=self.features.score(weights)[self.word], minlength=self.n)
+
+    def counts(self, of_row: np.ndarray, size: int) -> np.ndarray:
+        of_word = np.bincount(self.word, weights=of_row[self.row], minlength=len(self.features.first) - 1)
+        return self.features.counts(of_word, size)
+
+    def only(self, telling: np.ndarray) -> Rows:
+        """The telling features of each row, each as often as different words of the row have it."""
+        keep = telling[self.features.features]
+        first = np.concatenate(([0], np.cumsum(keep)))[self.features.first]
+        few = Rows(self.features.features[keep], first).take(self.word)
+        size = np.bincount(self.row, weights=np.diff(few.first), minlength=self.n).astype(np.int64)
+        return Rows(few.features, np.concatenate(([0], np.cumsum(size))))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def text_view(texts: pa.Array) -> tuple[Vocabulary, w.Words]:
+    data, _ = w.utf8(texts)
+    found = w.split(texts, w.NOT_SPACE, lower=True)
+    mask, n = np.uint64((1 << BITS) - 1), len(texts)
+    hashes, at, word = np.unique(found.hash, return_index=True, return_inverse=True)
+    size = found.size[at].astype(np.int64)
+    ends = np.cumsum(size)
+    own = np.repeat(np.arange(len(hashes)), size)
+    low = w.LOWER[data[np.arange(len(own)) + np.repeat(found.start[at] - (ends - size), size)]]
+    keys = [np.arange(len(hashes), dtype=np.int64) << BITS | (hashes & mask).astype(np.int64)]
     if len(low) >= GRAM:
-        # grams of word bytes of one row; a word's first gram counts, with what is inside it
-        value, whole = np.zeros(len(low) - GRAM + 1, np.uint64), np.ones(len(low) - GRAM + 1, bool)
+        value = np.zeros(len(low) - GRAM + 1, np.uint64)
         for j in range(GRAM):
-            part = slice(j, len(low) - GRAM + 1 + j)
-            value = (value + low[part]) * _GRAM_BASE
-            whole &= inside[part]
-        row = np.repeat(np.arange(n, dtype=np.int64), np.diff(at))
-        whole &= row[: len(whole)] == row[GRAM - 1 :]
-        place = np.flatnonzero(whole)
-        keys.append((row[place].astype(np.uint64) << np.uint64(BITS)) | (w.mix(value[place]) & mask))
-    m = measures(texts)
-    many = np.maximum(m["n_words"], 1)
-    shares = [np.minimum(9, 20 * m["n_symbols"] // many), np.minimum(9, 10 * m["n_repeat_words"] // many), 9 * m["n_upper"] // np.maximum(1, m["n_letters"]), np.minimum(9, 20 * m["n_digits"] // np.maximum(1, m["word_chars"])), np.minimum(9, m["word_chars"] // many), np.minimum(9, np.log2(many).astype(np.int64)), 9 * m["n_closed_lines"] // np.maximum(1, m["n_lines"])]
-    every = np.arange(n, dtype=np.uint64) << np.uint64(BITS)
-    keys += [every | (np.uint64(10 * k) + x.astype(np.uint64)) for k, x in enumerate(shares)]
-    key = np.unique(np.concatenate(keys)).astype(np.int64)
-    return Rows((key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key >> BITS, np.arange(n + 1)))
-
-
-def page_features(source: list, lang: list, n_chars: list) -> Rows:
-    """Buckets of source, language, length and source with language."""
-    def bucket(*parts: object) -> int:
-        column = pa.array(["\x1f".join("\x00" if p is None else str(p) for p in parts).replace(" ", "_") or "\x00"])
-        return int(w.split(column, w.NOT_SPACE, lower=False).hash[0] % np.uint64(FORM))
+            value = (value + low[j : len(low) - GRAM + 1 + j]) * _GRAM_BASE
+        place = np.flatnonzero(own[: len(value)] == own[GRAM - 1 :])
+        keys.append(own[place] << BITS | (w.mix(value[place]) & mask).astype(np.int64))
+    key = _distinct(np.concatenate(keys))
+    features = Rows((key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key >> BITS, np.arange(len(hashes) + 1)))
+    many = max(1, len(hashes))
+    pair = _distinct(found.row.astype(np.int64) * many + word)
+    return Vocabulary(features, pair // many, pair % many, n), found
+
+
+def _bucket(*parts: object) -> int:
+    name = "\x1f".join("\x00" if p is None else str(p) for p in parts)
+    return LAYOUT + zlib.crc32(name.encode(errors="surrogatepass")) % (PAGE - LAYOUT)
 
+
+def page_view(texts: pa.Array, vocabulary: Vocabulary, found: w.Words, source: list, lang: list, n_chars: list) -> Rows:
+    """Buckets of source, language, length, source with language, and layout."""
+    data, at = w.utf8(texts)
+    n = vocabulary.n
+
+    def per_row(of: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(of, dtype=np.int32)))
+        return (total[at[1:]] - total[at[:-1]]).astype(np.float64)
+
+    def among(chars: bytes) -> np.ndarray:
+        table = np.zeros(256, bool)
+        table[np.frombuffer(chars, np.uint8)] = True
+        return table[data]
+
+    words = np.diff(found.first).astype(np.float64)
+    many = np.maximum(1, words)
+    upper, lower = per_row((data >= 65) & (data <= 90)), per_row((data >= 97) & (data <= 122))
+    # where lines end: before a line feed, or at the text's end
+    feed = data == 10
+    last = np.append(feed[1:], True)
+    last[at[1:-1][at[1:-1] > 0] - 1] = True
+    lines = np.maximum(1, per_row(last & ~feed))
+    log = lambda x: np.log2(x + 1)
+    shares = [
+        4 * log(100 * per_row(among(b"#*$%&|<>")) / many), 20 * upper / np.maximum(1, upper + lower), 4 * log(100 * per_row((data >= 48) & (data <= 57)) / many), 2 * np.bincount(found.row, weights=found.size, minlength=n) / many, log(words),
+        10 * per_row(last & among(b".!?:;\"")) / lines, 10 * np.bincount(vocabulary.row, minlength=n) / many, 2 * log(words / lines), 20 * per_row(among(b" \n\t")) / np.maximum(1, np.diff(at)),
+    ]
+    layout = np.stack([28 * k + np.clip(x, 0, 27).astype(np.int64) for k, x in enumerate(shares)], axis=1)
     seen: dict[tuple, list[int]] = {}
     out = []
-    for s, g, c in zip(source, lang, n_chars, strict=True):
+    for r, (s, g, c) in enumerate(zip(source, lang, n_chars, strict=True)):
         key = (s, g, None if c is None else int(max(0, c)).bit_length())
         if key not in seen:
-            seen[key] = sorted({bucket("s", s), bucket("g", g), bucket("c", key[2]), bucket("sg", s, g)})
-        out.append(seen[key])
-    return Rows(np.asarray([x for own in out for x in own], np.int32), np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64))
+            seen[key] = [_bucket("s", s), _bucket("g", g), _bucket("c", key[2]), _bucket("sg", s, g)]
+        out.append(seen[key] + layout[r].tolist())
+    return Rows(np.asarray(out, np.int32).reshape(-1), np.arange(n + 1) * (4 + len(shares)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -112,39 +170,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Linear(NamedTuple):
+    """A view's weights, and slope and constant that make its score a probability by itself."""
+
     weights: np.ndarray
-    bias: float
-
-    def score(self, rows: Rows) -> np.ndarray:
-        return rows.dot(self.weights) + self.bias
-
-
-def fit_linear(rows: Rows, y: np.ndarray, size: int, steps: int = 80, decay: float = 0.02) -> Linear:
-    """Logistic regression over features scaled by how much more often one class has them than the other, which
-    finds rare telling words; gradient steps by Adam."""
-    one, two = rows.back(y, size), rows.back(1 - y, size)
-    ratio = np.log((one + 0.5) / (y.sum() + 1)) - np.log((two + 0.5) / ((1 - y).sum() + 1))
-    seen, share = np.maximum(one + two, 1e-9), y.mean()
-    chance = (one - seen * share) / np.sqrt(seen * share * (1 - share))
-    ratio[np.abs(chance) < TELLING] = 0  # what comes about by chance adds up in long texts
-    ratio *= np.minimum(1, seen / 10)
-    if size > FORM:
-        ratio[:FORMS] *= 4  # few features of form stand against hundreds of words
-    used = ratio[rows.features] != 0  # the others never get a weight
-    rows = Rows(rows.features[used], np.concatenate(([0], np.cumsum(used)))[rows.first])
-    v, bias = np.zeros(size), float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
-    m, s, mb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    for t in range(1, steps + 1):
-        error = (_sigmoid(rows.dot(v * ratio) + bias) - y) / len(y)
-        g, gb = rows.back(error, size) * ratio + decay * v / len(y), float(error.sum())
-        m, s, mb, sb = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
-        rate = 0.1 / (1 - 0.9**t)
-        v, bias = v - rate * m / (np.sqrt(s / (1 - 0.99**t)) + 1e-9), bias - rate * mb / (np.sqrt(sb / (1 - 0.99**t)) + 1e-9)
-    return Linear((v * ratio).astype(np.float32), bias)
+    alone: np.ndarray
+
+    def probability(self, score: np.ndarray) -> np.ndarray:
+        return _sigmoid(score * self.alone[0] + self.alone[1])
+
+
+def ratios(one: np.ndarray, two: np.ndarray, most: int = MOST_TELLING) -> np.ndarray:
+    """What each feature says for class one against two, by its counts in both; 0 for those that tell nothing, and
+    for all but the ``most`` that tell classes apart beyond chance by the widest margin."""
+    total, seen = one.sum() + two.sum(), np.maximum(one + two, 1e-9)
+    share = float(np.clip(one.sum() / max(1.0, total), 1e-6, 1 - 1e-6))
+    ratio = np.log((one + 0.5) / (one.sum() + 1)) - np.log((two + 0.5) / (two.sum() + 1))
+    chance = np.abs(one - seen * share) / np.sqrt(seen * share * (1 - share))
+    chance[(chance < TELLING) | (np.abs(ratio) < np.log(FACTOR))] = 0
+    if np.count_nonzero(chance) > most:
+        chance[np.argsort(-chance, kind="stable")[most:]] = 0
+    return np.where(chance > 0, ratio * np.minimum(1, seen / 10), 0.0)
 
 
 def calibrate(scores: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
-    """Weights of the views' scores, and a constant, of a logistic model; Newton steps."""
+    """Weights of scores (one column each), and a constant, of a logistic model; Newton steps."""
     x = np.column_stack([scores, np.ones(len(y))])
     b = np.zeros(x.shape[1])
     for _ in range(50):
@@ -157,6 +206,24 @@ def calibrate(scores: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndar
     return b
 
 
+def fit_linear(rows: Rows, y: np.ndarray, held: np.ndarray, ratio: np.ndarray, steps: int = 80, decay: float = 0.02) -> Linear:
+    """Logistic regression over features scaled by ``ratio``: one scale for all, which also serves features that no
+    labelled row has, and corrections to it by Adam; the rows of ``held`` make scores probabilities."""
+    train = rows.take(np.flatnonzero(~held))
+    told = y[~held]
+    scale, bias = calibrate(train.score(ratio)[:, None], told)
+    v, n, size = np.zeros(len(ratio)), max(1, len(told)), len(ratio)
+    m, s, mb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    for t in range(1, steps + 1):
+        error = (_sigmoid(train.score((scale + v) * ratio) + bias) - told) / n
+        g, gb = train.counts(error, size) * ratio + decay * v / n, float(error.sum())
+        m, s, mb, sb = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
+        rate = 0.05 / (1 - 0.9**t)
+        v, bias = v - rate * m / (np.sqrt(s / (1 - 0.99**t)) + 1e-9), bias - rate * mb / (np.sqrt(sb / (1 - 0.99**t)) + 1e-9)
+    weights = ((scale + v) * ratio).astype(np.float32)
+    return Linear(weights, calibrate(rows.take(np.flatnonzero(held)).score(weights)[:, None], y[held]))
+
+
 class Target(NamedTuple):
     """Both views of a target and how they are weighed; without views, a constant probability."""
 
@@ -165,41 +232,128 @@ class Target(NamedTuple):
     weigh: np.ndarray
     constant: float
 
-    def probability(self, text: Rows, page: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(text.first) - 1
+    def probability(self, text: Vocabulary | Rows, page: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By both views, by text alone, by page alone."""
         if self.text is None:
-            return np.full(n, self.constant), np.full(n, self.constant), np.full(n, self.constant)
-        a, b = self.text.score(text), self.page.score(page)
-        return _sigmoid(self.weigh[0] * a + self.weigh[1] * b + self.weigh[2]), _sigmoid(a), _sigmoid(b)
-
-
-def co_train(text: Rows, page: Rows, y: np.ndarray, labelled: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> Target:
-    """``y`` counts where ``labelled``; the other rows are the pool. Every fifth labelled row is held out."""
-    known = np.flatnonzero(labelled)
-    if not len(known) or min(y[known].sum(), (1 - y[known]).sum()) < LEAST_LABELS:
-        return Target(None, None, np.zeros(3), float(y[known].mean() >= 0.5) if len(known) else np.nan)
-    held, train, pool = known[::5], np.setdiff1d(known, known[::5]), np.flatnonzero(~labelled)
-    told = {"text": (train, y[train]), "page": (train, y[train])}
-    for turn in range(rounds + 1):
-        a = fit_linear(text.take(told["text"][0]), told["text"][1], 1 << BITS)
-        b = fit_linear(page.take(told["page"][0]), told["page"][1], FORM)
-        if turn == rounds or not len(pool):
-            break
-        for own, rows, other in ((a, text, "page"), (b, page, "text")):
-            # sure by a view's own scores, calibrated on the held-out rows
-            single = calibrate(own.score(rows.take(held))[:, None], y[held])
-            p = _sigmoid(own.score(rows.take(pool)) * single[0] + single[1])
-            pick = (p >= sure) | (p <= 1 - sure)
-            told[other] = (np.concatenate([train, pool[pick]]), np.concatenate([y[train], (p[pick] > 0.5).astype(float)]))
-    scores = np.column_stack([a.score(text.take(held)), b.score(page.take(held))])
-    return Target(a, b, calibrate(scores, y[held]), np.nan)
+            return (np.full(len(page.first) - 1, self.constant),) * 3
+        a, b = text.score(self.text.weights), page.score(self.page.weights)
+        return _sigmoid(self.weigh[0] * a + self.weigh[1] * b + self.weigh[2]), self.text.probability(a), self.page.probability(b)
 
 
 class Model(NamedTuple):
-    good: Target
+    quality: Target
     toxic: Target
 
 
+class Labelled(NamedTuple):
+    """Features of labelled rows that count, their labels (NaN: none) by target, and which are held out."""
+
+    text: Rows
+    page: Rows
+    labels: dict[str, np.ndarray]
+    held: np.ndarray
+
+
+def fitted(rows: Labelled, name: str, text: np.ndarray, page: np.ndarray) -> Target:
+    """A target's views by what features say (``text`` and ``page``: ratios)."""
+    y = rows.labels[name]
+    known = np.flatnonzero(~np.isnan(y))
+    y, held = y[known], rows.held[known]
+    if min(y.sum(), (1 - y).sum()) < LEAST_LABELS or not (0 < y[held].sum() < held.sum()):
+        usual = {"quality": 1.0, "toxic": 0.0}[name]
+        return Target(None, None, np.zeros(3), float(y.mean() >= 0.5) if len(y) else usual)
+    a, b = rows.text.take(known), rows.page.take(known)
+    by_text, by_page = fit_linear(a, y, held, text), fit_linear(b, y, held, page)
+    scores = np.column_stack([a.score(by_text.weights), b.score(by_page.weights)])
+    return Target(by_text, by_page, calibrate(scores[held], y[held]), np.nan)
+
+
+COLUMNS = ("doc_id", "text", "source", "lang", "n_chars")
+
+
+def _views(batch: pa.RecordBatch, at: dict[str, int]) -> tuple[Vocabulary, Rows]:
+    texts = batch.column(at["text"])
+    text, found = text_view(texts)
+    return text, page_view(texts, text, found, *[batch.column(at[c]).to_pylist() for c in ("source", "lang", "n_chars")])
+
+
+def class_counts(rows: DataFrame, model: Model | None = None, known: np.ndarray | None = None, sure: float = SURE) -> tuple[dict, dict]:
+    """Class counts of text and of page features over ``rows``: {target: counts of (class one, class zero)}.
+
+    Without a model, by the labels in ``rows``. With one, by the labels of the other view, where it is sure; the
+    doc_ids of ``known`` are left out. Tasks sum their rows, Spark sums the tasks' slices, the driver gets the sums.
+    """
+    context, used = rows.sparkSession.sparkContext, [*COLUMNS, *([] if model else TARGETS)]
+    at = {c: i for i, c in enumerate(used)}
+    shared = context.broadcast((model, known))  # a fixed number of weights; ids of labelled rows
+    names, types = ["view", "slice", "counts"], [pa.string(), pa.int32(), pa.binary()]
+    sizes = {"text": 1 << BITS, "page": PAGE}
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {v: np.zeros((2 * len(TARGETS), size), np.int64) for v, size in sizes.items()}
+        model, known = shared.value
+        for big in batches:
+            for batch in w.small_batches(big, at["text"], BATCH_BYTES):
+                views = dict(zip(("text", "page"), _views(batch, at), strict=True))
+                if model is None:
+                    told = {v: [np.asarray(batch.column(at[t]).to_pylist(), float) for t in TARGETS] for v in views}
+                else:
+                    there = np.isin(np.asarray([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64), known)
+                    told = {"text": [], "page": []}
+                    for target in model:
+                        _, by_text, by_page = target.probability(views["text"], views["page"])
+                        for v, p in (("text", by_page), ("page", by_text)):
+                            told[v].append(np.where((target.text is None) | there | ((p < sure) & (p > 1 - sure)), np.nan, p > 0.5))
+                for v, view in views.items():
+                    for k, y in enumerate(told[v]):
+                        for c in (1, 0):
+                            if (y == c).any():
+                                total[v][2 * k + 1 - c] += view.counts((y == c).astype(float), sizes[v]).astype(np.int64)
+        for v, sums in total.items():
+            for k in range(0, sizes[v], SLICE):
+                part = np.ascontiguousarray(sums[:, k : k + SLICE])
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((v, k // SLICE, part.tobytes()), types, strict=True)], names=names)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for v, k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                total[v, k] = total.get((v, k), 0) + np.frombuffer(part.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([x[0] for x in total], [x[1] for x in total], [x.tobytes() for x in total.values()]), types, strict=True)], names=names)
+
+    schema = "view string, slice int, counts binary"
+    sums = {v: np.zeros((2 * len(TARGETS), size)) for v, size in sizes.items()}
+    parts = rows.select(*used).mapInArrow(freed(summed), schema).repartition("view", "slice").mapInArrow(freed(added), schema)
+    for r in parts.collect():
+        own = np.frombuffer(r.counts, np.int64).reshape(2 * len(TARGETS), -1)
+        sums[r.view][:, r.slice * SLICE : r.slice * SLICE + own.shape[1]] = own
+    return tuple({t: sums[v][2 * k : 2 * k + 2] for k, t in enumerate(TARGETS)} for v in ("text", "page"))
+
+
+def labelled_rows(sample: DataFrame, telling: np.ndarray) -> Labelled:
+    """Of each row of the sample, all page features and the text features that are ``telling``."""
+    used = [*COLUMNS, *TARGETS, "held"]
+    at = {c: i for i, c in enumerate(used)}
+    shared = sample.sparkSession.sparkContext.broadcast(telling)  # a mark for each feature
+    schema = "doc_id long, quality int, toxic int, held boolean, text binary, page binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in w.small_batches(big, at["text"], BATCH_BYTES):
+                text, page = _views(batch, at)
+                found = [[x.features[a:b].astype(np.int32).tobytes() for a, b in zip(x.first, x.first[1:], strict=False)] for x in (text.only(shared.value), page)]
+                yield pa.RecordBatch.from_arrays([batch.column(at[c]) for c in ("doc_id", *TARGETS, "held")] + [pa.array(x, pa.binary()) for x in found], names=["doc_id", *TARGETS, "held", "text", "page"])
+
+    rows = sorted(sample.select(*used).mapInArrow(freed(run), schema).collect(), key=lambda r: (r.doc_id, r.page, r.text))
+
+    def view(name: str) -> Rows:
+        parts = [np.frombuffer(r[name], np.int32) for r in rows]
+        return Rows(np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64))
+
+    return Labelled(view("text"), view("page"), {t: np.asarray([np.nan if r[t] is None else float(r[t] > 0) for r in rows]) for t in TARGETS}, np.asarray([r.held for r in rows], bool))
+
+
 def _least(rows: DataFrame, most: int) -> DataFrame:
     """The ``most`` rows with the least hashes of doc_id. Of many rows only those under a hash that four times as
     many are expected to stay under are sorted at all."""
@@ -208,59 +362,65 @@ def _least(rows: DataFrame, most: int) -> DataFrame:
     return rows.where(F.shiftright(order, 32) < int((2 * share - 1) * (1 << 31))).orderBy(order, "doc_id").limit(most)
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, most_labelled: int, most_pool: int) -> DataFrame:
-    """text, source, lang, n_chars, quality, toxic of the bounded sample; labels are null for the pool."""
+def sampled(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> tuple[DataFrame, np.ndarray]:
+    """The labelled sample (COLUMNS, quality, toxic, held; a fifth is held out by doc_id), and its doc_ids."""
     ids = docs.select("doc_id").where("doc_id IS NOT NULL")
     told = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    # both samples hold a fixed number of rows at most, small enough to be sent to every worker
-    known = _least(told.join(ids, "doc_id", "left_semi"), most_labelled)
-    pool = _least(ids.join(told.select("doc_id"), "doc_id", "left_anti"), most_pool)
-    chosen = known.unionByName(pool.distinct().select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")))
-    rows = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, quality int, toxic int")
-    return docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(rows), "doc_id")
+    known = _least(told.join(ids, "doc_id", "left_semi"), most_labelled).collect()
+    rows = docs.sparkSession.createDataFrame([(r.doc_id, r.quality, r.toxic) for r in known], "doc_id long, quality int, toxic int")
+    # at most ``most_labelled`` rows, small enough to be sent to every worker; a doc_id that many rows share counts once
+    sample = docs.select(*COLUMNS).join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"])
+    held = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(5)) == 0
+    return saved(sample.withColumn("held", held), "classifier-sample"), np.asarray([r.doc_id for r in known], np.int64)
+
+
+def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, rounds: int = ROUNDS, sure: float = SURE) -> Model:
+    """Both targets' views after ``rounds`` of exchange over all of ``docs``."""
+    sample, known = sampled(docs, labels, most_labelled)
+    text, page = own_text, own_page = class_counts(sample.where("NOT held"))
+    for turn in range(rounds + 1):
+        says = {t: (ratios(*text[t]), ratios(*page[t])) for t in TARGETS}
+        rows = labelled_rows(sample, np.any([a != 0 for a, _ in says.values()], axis=0))
+        model = Model(*[fitted(rows, t, *says[t]) for t in TARGETS])
+        if turn == rounds or all(target.text is None for target in model):
+            return model
+        more_text, more_page = class_counts(docs, model, known, sure)
+        text, page = ({t: own[t] + more[t] for t in TARGETS} for own, more in ((own_text, more_text), (own_page, more_page)))
+    return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, rounds: int = ROUNDS) -> Model:
-    columns = ["doc_id", "source", "lang", "n_chars", "quality", "toxic"]
+FIELDS = [T.StructField(c, T.DoubleType()) for c in ("text_quality", "page_quality", "quality_prob", "toxic_prob")] + [T.StructField("kept", T.BooleanType())]
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for batch in w.small_batches(big, 1, BATCH_BYTES):
-                rows = text_features(batch.column(1))
-                found = [rows.features[a:b].tobytes() for a, b in zip(rows.first, rows.first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(c)) for c in columns] + [pa.array(found, pa.binary())], names=[*columns, "features"])
-
-    sample = _sampled(docs, labels, most_labelled, most_pool)
-    schema = T.StructType([sample.schema[c] for c in columns] + [T.StructField("features", T.BinaryType())])
-    # a doc_id that many rows share is learned from once
-    once = sample.dropDuplicates(["doc_id"])
-    rows = sorted(once.mapInArrow(featured, schema).collect(), key=lambda r: r.doc_id)
-    size = [len(r.features) // 4 for r in rows]
-    text = Rows(np.frombuffer(b"".join(bytes(r.features) for r in rows), np.int32), np.concatenate(([0], np.cumsum(size))).astype(np.int64))
-    page = page_features([r.source for r in rows], [r.lang for r in rows], [r.n_chars for r in rows])
-    by = lambda name: (np.asarray([getattr(r, name) or 0 for r in rows], float), np.asarray([getattr(r, name) is not None for r in rows], bool))
-    good, toxic = co_train(text, page, *by("quality"), rounds), co_train(text, page, *by("toxic"), rounds)
-    return Model(good if good.text or good.constant == good.constant else good._replace(constant=1.0), toxic if toxic.text or toxic.constant == toxic.constant else toxic._replace(constant=0.0))
+
+def judged(batch: pa.RecordBatch, at: dict[str, int], model: Model, threshold: float, toxic_from: float) -> list[np.ndarray]:
+    """The columns FIELDS."""
+    text, page = _views(batch, at)
+    good, by_text, by_page = model.quality.probability(text, page)
+    toxic = model.toxic.probability(text, page)[0]
+    return [by_text, by_page, good, toxic, (good >= threshold) & (toxic < toxic_from)]
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: Model | None = None, threshold: float = 0.5, toxic_from: float = 0.3) -> DataFrame:
     """``docs`` with text_quality, page_quality, quality_prob, toxic_prob and kept (quality_prob of ``threshold``
     or more and toxic_prob under ``toxic_from``: a toxic text kept costs more than a clean one lost)."""
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs, labels))  # a fixed number of weights
-    fields = [T.StructField(c, T.DoubleType()) for c in ("text_quality", "page_quality", "quality_prob", "toxic_prob")] + [T.StructField("kept", T.BooleanType())]
-    new = {f.name for f in fields}
+    new = {f.name for f in FIELDS}
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
-    used = list(dict.fromkeys([*names, "text", "source", "lang", "n_chars"]))
+    used = list(dict.fromkeys([*names, *COLUMNS[1:]]))
     source = docs.select(*[docs[f"`{c}`"] for c in used])
     at = {c: used.index(c) for c in used}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in w.small_batches(big, at["text"], BATCH_BYTES):
-                text, page = text_features(batch.column(at["text"])), page_features(*[batch.column(at[c]).to_pylist() for c in ("source", "lang", "n_chars")])
-                good, by_text, by_page = shared.value.good.probability(text, page)
-                toxic = shared.value.toxic.probability(text, page)[0]
-                added = [by_text, by_page, good, toxic, (good >= threshold) & (toxic < toxic_from)]
-                yield pa.RecordBatch.from_arrays([batch.column(at[c]) for c in names] + [pa.array(x) for x in added], names=[*names, *[f.name for f in fields]])
+                added = judged(batch, at, shared.value, threshold, toxic_from)
+                yield pa.RecordBatch.from_arrays([batch.column(at[c]) for c in names] + [pa.array(x) for x in added], names=[*names, *[f.name for f in FIELDS]])
+
+    return source.mapInArrow(freed(run), T.StructType([source.schema[c] for c in names] + FIELDS))
+
 
-    return source.mapInArrow(run, T.StructType([source.schema[c] for c in names] + fields))
+def keep(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float = 0.5, toxic_from: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs, labels))
+    at = {c: docs.columns.index(c) for c in COLUMNS[1:]}
+    return chosen(docs, "text", lambda batch: judged(batch, at, shared.value, threshold, toxic_from)[4], BATCH_BYTES)

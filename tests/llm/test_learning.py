@@ -1,10 +1,13 @@
 """The quality classifier, quotations and the pipeline."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
-from millwatch.llm import chat_quotes, decontaminate, entry, ngram_join, quality_classifier
+from millwatch.llm import chat_quotes, decontaminate, entry, ngram_join, quality_classifier, words
 from millwatch.llm.storage import table
 
 SF = "/root/testdata/sf0.01"
@@ -39,18 +42,59 @@ def test_op6_scores_every_document(spark):
     assert (got.kept == ((got.quality_prob >= 0.5) & (got.toxic_prob < 0.3))).all()
 
 
-def test_views_teach_each_other():
-    """Labels are few; the page view alone knows the pool's class, and the text view learns its words from it."""
-    rng = np.random.default_rng(0)
-    n, y = 600, np.arange(600) % 2
-    labelled = np.arange(n) < 80
-    words = [f"{'good' if c else 'bad'}{rng.integers(0, 40)} " + " ".join(f"w{k}" for k in rng.integers(0, 500, 20)) for c in y]
-    text = quality_classifier.text_features(pa.array(words))
-    page = quality_classifier.page_features([f"s{c}" for c in y], ["en"] * n, [100] * n)
-    wrong = lambda rounds: float(((quality_classifier.co_train(text, page, y.astype(float), labelled, rounds).text.score(text) > 0) != y)[80:].mean())
-    assert wrong(2) <= wrong(0)
-    target = quality_classifier.co_train(text, page, y.astype(float), labelled, 2)
-    assert ((target.probability(text, page)[0] > 0.5) == y).mean() > 0.97
+def test_exchange_gains(spark):
+    """From few labels, all unlabelled documents and the other view teach either view, and both together get better."""
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    rest = labels.where("doc_id % 3 = 0").cache()
+
+    def right(rounds):
+        model = quality_classifier.learn(docs, labels.where("doc_id % 3 > 0"), most_labelled=200, rounds=rounds)
+        rows = quality_classifier.classify(docs.join(rest, "doc_id", "left_semi"), labels, model=model, keep=["doc_id"]).join(rest, "doc_id").toPandas()
+        good = rows.quality == 1
+        return [((rows[c] >= 0.5) == good).mean() for c in ("text_quality", "page_quality", "quality_prob")]
+
+    before, after = right(0), right(2)
+    assert all(a > b for a, b in zip(after, before, strict=True)), (before, after)
+
+
+def test_both_views_are_sure_of_something(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    sample, known = quality_classifier.sampled(docs, labels)
+    own = quality_classifier.class_counts(sample.where("NOT held"))
+    says = [quality_classifier.ratios(*x["quality"]) for x in own]
+    rows = quality_classifier.labelled_rows(sample, says[0] != 0)
+    target = quality_classifier.fitted(rows, "quality", *says)
+    none = quality_classifier.Target(None, None, np.zeros(3), 0.0)
+    more = quality_classifier.class_counts(docs, quality_classifier.Model(target, none), known, sure=0.95)
+    assert all(x["quality"][c].sum() > 0 for x in more for c in (0, 1)) and all(x["toxic"].sum() == 0 for x in more)
+
+
+def plain_score(weights, text):
+    """A text's score by the text view's weights, by plain loops over its different words and their grams."""
+    mask, base, total = (1 << 64) - 1, int(quality_classifier._GRAM_BASE), 0.0
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for word in set(re.findall(r"[^\x20\x09-\x0D]+", low)):
+        data, found = word.encode(), {int(words.split(pa.array([word]), words.NOT_SPACE, lower=True).hash[0])}
+        for i in range(len(data) - quality_classifier.GRAM + 1):
+            value = 0
+            for b in data[i : i + quality_classifier.GRAM]:
+                value = (value + b) * base & mask
+            found.add(int(words.mix(np.asarray([value], np.uint64))[0]))
+        total += sum(float(weights[x]) for x in {x & ((1 << quality_classifier.BITS) - 1) for x in found})
+    return total
+
+
+def test_scores_are_those_of_brute_force():
+    weights = np.random.default_rng(1).normal(size=1 << quality_classifier.BITS).astype(np.float32)
+    texts = ["The quick&&& brown fox, the QUICK fox", None, "", "é" * 9 + " word word", "a\tb\nc", "idiotic idiots | idiot"]
+    with np.errstate(over="ignore"):
+        view, _ = quality_classifier.text_view(pa.array(texts))
+        assert view.score(weights).tolist() == pytest.approx([plain_score(weights, t) for t in texts], abs=1e-4)
+        told = view.only(weights > 1)
+        few = np.where(weights > 1, weights, 0)
+    assert told.score(few).tolist() == pytest.approx([plain_score(few, t) for t in texts], abs=1e-4)
+    counts = view.counts(np.asarray([1.0, 0, 0, 1, 0, 0]), len(weights))
+    assert counts @ weights == pytest.approx(plain_score(weights, texts[0]) + plain_score(weights, texts[3]), abs=1e-3)
 
 
 CHAT = [
@@ -121,3 +165,23 @@ def test_pipeline(spark):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"] and out.count() > 0
+
+
+def test_stages_bear_odd_rows(spark):
+    """Nulls, repeated rows, long texts and columns called like those that operators add: rows stay as they are."""
+    good = [r.text for r in table(spark, SF, "documents").join(table(spark, SF, "labels").where("quality = 1 AND toxic = 0"), "doc_id").where("length(text) BETWEEN 800 AND 3000").orderBy("doc_id").limit(8).collect()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, item_ids string, n_words string, component_id string, __x string"
+    row = lambda name, text, mark: (name, text, None, None, None, mark, "i", "w", "c", mark)
+    rows = [row(1, good[0], "a"), row(1, good[0], "b"), row(1, good[0], "b"), row(2, good[1], "c"), row(None, good[2], "d"), row(None, good[2], "e"), row(None, good[1], "f"), row(3, None, "g"), row(4, "", "h"), row(5, good[3] + " " + good[3], "i"), row(6, " ".join(good[4:6] * 40), "j")]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r.kept == r["__x"] and (r.item_ids, r.n_words, r.component_id) == ("i", "w", "c") for r in got), name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    near = sorted((r.doc_id or -1, r.kept) for r in corpus_pipeline.near_duplicates_stage(spark, docs, SF).collect())
+    assert near == [(-1, "d"), (1, "a"), (2, "c"), (3, "g"), (4, "h"), (5, "i"), (6, "j")]
+    assert corpus_pipeline.decontamination_stage(spark, docs, SF).count() == len(rows)
+    packed = corpus_pipeline.packing_stage(spark, docs, SF)
+    assert packed.where("length > 0").count() >= len(rows) and packed.columns[0] == "doc_id"
