@@ -1,17 +1,19 @@
 """Benchmark passages in training texts, found by an FM-index of each shard of texts.
 
-A shard is the words of some MB of texts in a row of a partition, at most ``SHARD_WORDS`` of them; longer
+A shard is the words of ``BATCH_BYTES`` of texts in a row of a partition, at most ``SHARD_WORDS`` of them; longer
 texts go on in the next shard, which repeats one window less a word, so none is missed. Shards are indexed over
 the benchmark's vocabulary: a run of words that the benchmark never uses is one mark, which no phrase holds.
 All windows of the benchmark are searched backward at once, by wavelet-tree ranks; what is found is located by
 sampled suffix positions, and the words it covers are merged to spans. Nothing is shuffled. The benchmark comes
-to the workers in blocks of ``BLOCK_WORDS`` at most, one pass over the rows for each, whatever its size.
+to the workers in blocks of ``BLOCK_WORDS`` at most, one pass over the rows for each, whatever its size; passes
+follow each other through written tables.
 
 Words are compared by 64-bit hashes.
 
 Defined results: a null or empty text has no words; a null or empty item has no windows; an item of fewer
 words than a window is one window; items with equal windows are all found; repeated rows give repeated rows;
-input columns named like an output column are replaced; an empty table, or an empty benchmark, finds nothing.
+input columns named like an output column of ``find`` are replaced, those of ``remove`` stay; an empty table, or
+an empty benchmark, finds nothing.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as w
 from .fm_index import FMIndex
+from .rows import freed
+from .storage import saved
 
-WINDOW, SHARD_WORDS, BLOCK_WORDS = 10, 1_500_000, 1_000_000
+WINDOW, SHARD_WORDS, BLOCK_WORDS = 10, 500_000, 1_000_000
+#: Text indexed at once: a word takes some 200 bytes of memory while its shard is sorted.
+BATCH_BYTES = 4 << 20
 OTHER = 1
 FOUND = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("item_ids", T.ArrayType(T.StringType()))]
 
@@ -109,48 +115,71 @@ def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def find(df: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, keep: list[str] | None = None, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``df`` with n_words, hit_spans (merged spans of words inside benchmark windows) and item_ids (sorted)."""
-    new = {f.name for f in FOUND}
-    names = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    out = df.select(*[df[f"`{c}`"] for c in dict.fromkeys([*names, text])])
-    at, known = out.columns.index(text), len(out.columns)
-    schema = T.StructType(out.schema.fields + FOUND)
-    arrow = to_arrow_schema(schema)
-    context = df.sparkSession.sparkContext
+def _passes(df: DataFrame, benchmark: DataFrame, text: str, window: int, shard_words: int, block_words: int, batch_bytes: int, removing: bool) -> DataFrame:
+    """``df`` with the columns FOUND after its own, or, if ``removing``, without the passages in ``text``.
 
-    def passed(block: Block, again: bool):  # noqa: ANN202
+    A block of the benchmark is one pass. Passes follow each other through written tables, so a task never holds
+    the texts of two of them.
+    """
+    at, known = df.columns.index(text), len(df.columns)
+    context, fields = df.sparkSession.sparkContext, [T.StructField(f"__{f.name}", f.dataType) for f in FOUND]
+    whole = T.StructType(df.schema.fields + fields)
+
+    def passed(rows: DataFrame, block: Block, again: bool, cutting: bool) -> DataFrame:
         shared = context.broadcast(block)  # at most BLOCK_WORDS words and as many windows
+        schema = df.schema if cutting else whole
+        arrow = to_arrow_schema(schema)
+
+        def spans_of(batch: pa.RecordBatch) -> tuple[w.Words, list, list]:
+            found, covered, items = matches(batch.column(at), shared.value, shard_words)
+            hit, spans = np.concatenate(([0], np.cumsum(covered))), []
+            old = batch.columns[known + 1].to_pylist() if again else None
+            if again:
+                items = [a.union(b) for a, b in zip(items, batch.columns[known + 2].to_pylist(), strict=True)]
+            for r in range(batch.num_rows):
+                low, high = found.first[r], found.first[r + 1]
+                if again and old[r]:
+                    for s in old[r]:
+                        covered[low + s["start"] : low + s["end"]] = True
+                elif hit[low] == hit[high]:
+                    spans.append([])
+                    continue
+                spans.append(_spans(covered[low:high]))
+            return found, spans, items
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for big in batches:
-                for batch in w.small_batches(big, at, 16 << 20):
-                    words, covered, items = matches(batch.column(at), shared.value, shard_words)
-                    spans = []
-                    old = batch.columns[known + 1].to_pylist() if again else None
-                    if again:
-                        items = [a.union(b) for a, b in zip(items, batch.columns[known + 2].to_pylist(), strict=True)]
-                    hit = np.concatenate(([0], np.cumsum(covered)))
-                    for r in range(batch.num_rows):
-                        low, high = words.first[r], words.first[r + 1]
-                        if again and old[r]:
-                            for s in old[r]:
-                                covered[low + s["start"] : low + s["end"]] = True
-                        elif hit[low] == hit[high]:
-                            spans.append([])
-                            continue
-                        spans.append([{"start": a, "end": b} for a, b in _spans(covered[low:high])])
-                    added = [np.diff(words.first), spans, [sorted(x) for x in items]]
-                    yield pa.RecordBatch.from_arrays(list(batch.columns[:known]) + [pa.array(x, arrow.field(known + i).type) for i, x in enumerate(added)], names=schema.names)
-
-        return run
-
-    n = 0
+                for batch in w.small_batches(big, at, batch_bytes):
+                    found, spans, items = spans_of(batch)
+                    columns = list(batch.columns[:known])
+                    if cutting:
+                        for r in [r for r, x in enumerate(spans) if x]:
+                            spans[r] = without(columns[at][r].as_py(), spans[r])
+                        if any(spans):
+                            columns[at] = pa.array([x or columns[at][r].as_py() for r, x in enumerate(spans)], arrow.field(at).type)
+                    else:
+                        added = [np.diff(found.first), [[{"start": a, "end": b} for a, b in x] for x in spans], [sorted(x) for x in items]]
+                        columns += [pa.array(x, arrow.field(known + i).type) for i, x in enumerate(added)]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        return rows.mapInArrow(freed(run), schema)
+
+    none = Block(np.zeros(0, w.U64), np.zeros((0, window), np.int64), np.zeros(0, np.int64), [])
+    out, again, waiting = df, False, None
     for block in blocks(benchmark, window=window, most=block_words):
-        out, n = out.mapInArrow(passed(block, n > 0), schema), n + 1
-    if not n:
-        out = out.mapInArrow(passed(Block(np.zeros(0, w.U64), np.zeros((0, window), np.int64), np.zeros(0, np.int64), []), False), schema)
-    return out.select(*names, *[f.name for f in FOUND])
+        if waiting is not None:
+            out, again = saved(passed(out, waiting, again, False), "decontamination"), True
+        waiting = block
+    return passed(out, none if waiting is None else waiting, again, removing)
+
+
+def find(df: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, keep: list[str] | None = None, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``df`` with n_words, hit_spans (merged spans of words inside benchmark windows) and item_ids (sorted)."""
+    new = {f.name for f in FOUND}
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
+    rows = df.select(*[df[f"`{c}`"] for c in dict.fromkeys([*names, text])])
+    found = _passes(rows, benchmark, text, window, shard_words, block_words, batch_bytes, False)
+    return found.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"__{f.name}").alias(f.name) for f in FOUND])
 
 
 def n_hit(spans: Column) -> Column:
@@ -179,19 +208,7 @@ def without(text: str, spans: list[tuple[int, int]], gap: str = GAP) -> str:
     return b"".join([*parts, data[low:]]).decode()
 
 
-def remove(df: DataFrame, benchmark: DataFrame, text: str = "text", **options: int) -> DataFrame:
-    """``df`` with the spans that ``find`` found taken out of ``text``; columns stay as they are."""
-    found = find(df, benchmark, text, **options)
-    at, spans_at = found.columns.index(text), found.columns.index("hit_spans")
-    schema = T.StructType([f for f in found.schema.fields if f.name not in {x.name for x in FOUND} or f.name in df.columns])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(spans_at).to_pylist()
-            texts = batch.column(at)
-            if any(spans):
-                values = [without(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in zip(texts.to_pylist(), spans, strict=True)]
-                texts = pa.array(values, texts.type)
-            yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(len(batch.columns)) if batch.schema.names[i] in schema.names], names=schema.names)
-
-    return found.mapInArrow(run, schema).select(*df.columns) if not {x.name for x in FOUND} & set(df.columns) else found.mapInArrow(run, schema)
+def remove(df: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``df`` with the spans that ``find`` finds taken out of ``text``, in the pass that finds the last of them; rows
+    and columns stay as they are, whatever their names."""
+    return _passes(df, benchmark, text, window, shard_words, block_words, batch_bytes, True)

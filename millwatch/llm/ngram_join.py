@@ -5,8 +5,8 @@
    first, then by hash.  Two sets can only be similar if they share a shingle of their prefixes, the first
    n - ceil(0.8 n) + 1 in that order.
 3. Texts that share a prefix shingle, and could agree in length, form a list; its smallest text leads it.
-   Frequent shingles' lists are joined to their leader by Spark, whose skew handling splits them; the sketch
-   proves all other lists to be short, and tasks find their leaders among sorted entries.
+   Frequent shingles' lists are joined to their leader by Spark, whose skew handling splits them; no other list is
+   longer than the sketch says, and tasks find their leaders as they read entries that Spark has sorted.
 4. All texts of a leader's lists meet in the leader's group, in blocks of ``BLOCK_TEXTS``, first by bitmaps of
    about a bit for each shingle: a shingle flips its bit, so two sets differ in no fewer shingles than their
    bitmaps in bits, and texts whose bitmaps are too far from all others of a block go no further.  The sets of
@@ -20,8 +20,9 @@ No pair is ever listed: a block returns a spanning set of its links.
 
 Defined results: a null text, or one without words, has an empty set and is a component by itself; a text of
 fewer than five words has one shingle, its whole sequence; rows that share a doc_id are one document where links
-are followed; a null doc_id takes the component of its equal texts; extra columns aren't returned; an empty
-table gives no rows.
+are followed; a null doc_id takes the component of its equal texts (in ``firsts`` such rows take part like any
+others); ``classes`` doesn't return extra columns, ``firsts`` returns them as they are; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -36,10 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as w
+from .rows import freed
 from .storage import saved
 
 WORDS, PERCENT, BLOCK_TEXTS = 5, 80, 512
 SKETCH_BITS, SLICE = 20, 1 << 14
+#: Text worked on at once.
+BATCH_BYTES = 2 << 20
 U64 = np.uint64
 
 
@@ -96,7 +100,7 @@ class Order(NamedTuple):
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     for big in batches:
-        for batch in w.small_batches(big, 1):
+        for batch in w.small_batches(big, 1, BATCH_BYTES):
             yield batch.column(0).to_pylist(), shingle_sets(batch.column(1))
 
 
@@ -152,7 +156,7 @@ def described(docs: DataFrame) -> DataFrame:
             if counts[k : k + SLICE].any():
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, None, k // SLICE, counts[k : k + SLICE].tobytes()), types, strict=True)], names=names)
 
-    return saved(docs.select("doc_id", "text").mapInArrow(run, schema), "ngram-described")
+    return saved(docs.select("doc_id", "text").mapInArrow(freed(run), schema), "ngram-described")
 
 
 def learned_order(about: DataFrame) -> Order:
@@ -166,7 +170,7 @@ def learned_order(about: DataFrame) -> Order:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in about.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(added, "slice int, counts binary").collect():
+    for row in about.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(freed(added), "slice int, counts binary").collect():
         counts[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(row.counts, np.int64)
     return Order.of(counts)
 
@@ -193,35 +197,41 @@ def prefixes(docs: DataFrame, order: Order, frequent: bool, percent: int = PERCE
                 size = [len(p[0]) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.repeat([p[1] for p in parts], size)), pa.array(np.repeat([p[2] for p in parts], size), pa.int32())], names=["token", "doc_id", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long, n int")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "token long, doc_id long, n int")
 
 
 def short_lists(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """leader, doc_id of the lists of infrequent shingles."""
+    """leader, doc_id of the lists of infrequent shingles. Spark sorts the entries, and a list's leader is its first
+    text, so a task holds one batch and the leader of the list that goes on into it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        token, name, n = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(3))
-        got.clear()
-        # lists of one entry lead nowhere
-        order = np.argsort(token)
-        same = token[order][1:] == token[order][:-1]
-        order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(order) > 1 else order[:0]
-        token, name, n = token[order], name[order], n[order].astype(np.int64)
-        order = np.lexsort((name, n, token))
-        token, name, n = token[order], name[order], n[order]
-        if not len(token):
-            return
-        # a list ends where its next text is too long to match any before it
-        new = np.concatenate(([True], (token[1:] != token[:-1]) | (percent * n[1:] > 100 * n[:-1])))
-        leader = name[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
-        pair = np.unique(np.stack([leader, name], axis=1)[leader != name], axis=0)
-        for low in range(0, len(pair), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pair[low : low + 100_000, 0]), pa.array(pair[low : low + 100_000, 1])], names=["leader", "doc_id"])
-
-    return entries.repartition("token").mapInArrow(run, "leader long, doc_id long")
+        last, waiting, held = None, [], 0  # last: token, leader and n of the entry before this batch
+
+        def pairs() -> pa.RecordBatch:
+            pair = np.unique(np.concatenate(waiting), axis=0)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["leader", "doc_id"])
+
+        for batch in batches:
+            token, name, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            if last is not None:
+                token, name, n = (np.concatenate(([x], y)) for x, y in zip(last, (token, name, n), strict=True))
+            if not len(token):
+                continue
+            # a list ends where its next text is too long to match any before it
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (percent * n[1:] > 100 * n[:-1])))
+            leader = name[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
+            apart = leader != name
+            waiting.append(np.stack([leader[apart], name[apart]], axis=1))
+            held += len(waiting[-1])
+            last = (token[-1], leader[-1], n[-1])
+            if held > 400_000:
+                yield pairs()
+                held = 0
+        if held:
+            yield pairs()
+
+    return entries.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(freed(run), "leader long, doc_id long")
 
 
 def long_lists(entries: DataFrame) -> DataFrame:
@@ -368,7 +378,7 @@ def joined(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield full()
 
     order = ["leader", "block", "n_blocks", "asks", "doc_id", "tokens"]
-    return rows.select(*order).repartition("leader", "block").sortWithinPartitions("leader", "block", "asks", "doc_id").mapInArrow(run, "leader long, a long, b long")
+    return rows.select(*order).repartition("leader", "block").sortWithinPartitions("leader", "block", "asks", "doc_id").mapInArrow(freed(run), "leader long, a long, b long")
 
 
 def token_sets(docs: DataFrame, order: Order) -> DataFrame:
@@ -378,7 +388,7 @@ def token_sets(docs: DataFrame, order: Order) -> DataFrame:
         for ids, sets in _batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([known.value.tokens(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, tokens binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -437,7 +447,7 @@ def near_by_bitmap(members: DataFrame, bits: DataFrame, percent: int = PERCENT)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["leader", "doc_id"])
 
     rows = members.join(bits, "doc_id").select("leader", "block", "n_blocks", "doc_id", "n", "bits")
-    return rows.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(run, "leader long, doc_id long")
+    return rows.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(freed(run), "leader long, doc_id long")
 
 
 def similar_links(docs: DataFrame, order: Order, named: DataFrame, bits: DataFrame, percent: int = PERCENT, block_texts: int = BLOCK_TEXTS) -> DataFrame:
@@ -484,3 +494,25 @@ def classes(docs: DataFrame, percent: int = PERCENT, block_texts: int = BLOCK_TE
         links = links.join(known.select(F.col("doc_id").alias(side), F.col("rep").alias(f"{side}_rep")), side)
     found = components(links.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
     return named.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+
+
+def firsts(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of ``docs`` that stay when one of each group does: the document with the least doc_id, whole.
+
+    Of several rows with one doc_id and text, the one that comes first by its other columns stays; rows with one
+    doc_id and different texts are one document and all stay. Rows without a doc_id are numbered by their texts, after
+    all others, so they take part like any. Without repeated doc_ids, rows are shuffled once.
+    """
+    number = F.coalesce(F.col("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+    keyed = docs.withColumn("__id", number)
+    groups = classes(keyed.select(F.col("__id").alias("doc_id"), "text"), **options)
+    least = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__first")).agg((F.count("*") > 1).alias("__many"))
+    least = saved(least, "ngram-firsts")
+    both = keyed.join(least, F.col("__id") == F.col("__first"))
+    once = both.where("NOT __many").drop("__id", "__first", "__many")
+    if least.where("__many").isEmpty():
+        return once
+    many = both.where("__many").drop("__first", "__many")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = many.groupBy("__id", F.sha2("text", 256).alias("__text")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return once.unionByName(stays.select("__row.*"))

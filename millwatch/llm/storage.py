@@ -1,39 +1,5 @@
-"""Where intermediate results go.
+"""Where intermediate results go: the folder of ``spark.checkpoint.dir``, which driver and executors share."""
 
-Lineage is cut through the folder named in ``spark.checkpoint.dir``, which driver and executors share.
-Only where that setting is missing (tests, local shells) is a local folder chosen.
-"""
+from ..sources.shared import new_path, saved, shared_dir, table
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-#: Folders of sessions that name none, by application.
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a local one if the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    name = spark.sparkContext.applicationId
-    if name not in _LOCAL:
-        _LOCAL[name] = tempfile.mkdtemp(prefix="spark-shared-")
-    return _LOCAL[name]
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start from files that survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["new_path", "saved", "shared_dir", "table"]

@@ -32,11 +32,14 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
 class Words(NamedTuple):
-    """Words of a batch in text order: hash, and the row each belongs to; ``first[r]`` is row r's first word."""
+    """Words of a batch in text order: hash, and the row each belongs to; ``first[r]`` is row r's first word.
+    ``start`` and ``size``: their bytes in the batch."""
 
     hash: np.ndarray
     row: np.ndarray
     first: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +72,13 @@ def _powers(n: int) -> np.ndarray:
 _POW = _powers(256)
 
 
-def _piece(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of one piece."""
+def _piece(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, hashes and sizes of the words of one piece."""
     global _POW
     edge = np.flatnonzero(np.diff(np.concatenate(([False], is_word, [False])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return start, np.zeros(0, U64)
+        return start, np.zeros(0, U64), start
     longest = int((end - start).max())
     if longest > len(_POW):
         _POW = _powers(2 * longest)
@@ -84,14 +87,14 @@ def _piece(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ahead = np.concatenate(([0], np.cumsum(size)[:-1]))
     value = data[at].astype(U64) + U64(1)
     value *= _POW[np.arange(len(at)) - np.repeat(ahead, size)]
-    return start, mix(np.add.reduceat(value, ahead) ^ size.astype(U64) << U64(48))
+    return start, mix(np.add.reduceat(value, ahead) ^ size.astype(U64) << U64(48)), size
 
 
 def split(column: pa.Array, table: np.ndarray, lower: bool) -> Words:
     """All words of every row; ``table`` marks word bytes (after lower-casing A-Z if asked)."""
     data, at = utf8(column)
     n = len(at) - 1
-    starts, hashes, low = [], [], 0
+    starts, hashes, sizes, low = [], [], [], 0
     ends = at[1:]
     while low < len(data):
         high = min(len(data), low + PIECE_BYTES)
@@ -123,17 +126,19 @@ def split(column: pa.Array, table: np.ndarray, lower: bool) -> Words:
             cuts = np.unique(joined)
             wide_piece = np.insert(piece, cuts, 0)
             wide_is = np.insert(is_word, cuts, False)
-            s, h = _piece(wide_piece, wide_is)
+            s, h, z = _piece(wide_piece, wide_is)
             s = s - np.searchsorted(cuts + np.arange(1, len(cuts) + 1), s, "right")
         else:
-            s, h = _piece(piece, is_word)
+            s, h, z = _piece(piece, is_word)
         starts.append(s + low)
         hashes.append(h)
+        sizes.append(z.astype(np.int32))
         low = high
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     value = np.concatenate(hashes) if hashes else np.zeros(0, U64)
     first = np.searchsorted(start, at)
-    return Words(value, np.repeat(np.arange(n, dtype=np.int32), np.diff(first)), first)
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
+    return Words(value, np.repeat(np.arange(n, dtype=np.int32), np.diff(first)), first, start, size)
 
 
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -179,11 +179,69 @@ def test_rule_edges(spark):
 
 
 def test_em_recovers_accuracies():
+    """Rules that err a lot, that hardly tell, and that abstain: how often each is right comes out."""
     rng = np.random.default_rng(0)
-    n, rules = 20_000, len(quality_rules.RULES)
-    good = rng.random(n) < 0.8
-    votes = np.where(good[:, None], np.where(rng.random((n, rules)) < 0.001, -1, 1), np.where(rng.random((n, rules)) < 0.3, -1, 1)).astype(np.int8)
+    n, rules = 60_000, len(quality_rules.RULES)
+    errs, right = rng.uniform(0.01, 0.25, rules), rng.uniform(0.3, 0.9, rules)
+    errs[0], right[0] = 0.3, 0.35
+    good = rng.random(n) < 0.7
+    votes = np.where(rng.random((n, rules)) < np.where(good[:, None], errs, right), -1, 1)
+    votes = np.where(rng.random((n, rules)) < 0.2, 0, votes).astype(np.int8)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     model = quality_rules.fit(patterns, counts.astype(float))
-    assert abs(model.good - 0.8) < 0.03
-    assert ((model.posterior(votes) >= 0.5) == good).mean() > 0.97
+    assert abs(model.good - 0.7) < 0.02
+    assert np.abs(np.asarray(model.against_good) - errs).max() < 0.02
+    assert np.abs(np.asarray(model.against_bad) - right).max() < 0.03
+    by_model, all_pass = model.posterior(votes) >= 0.5, (votes >= 0).all(axis=1)
+    assert (by_model == good).mean() > 0.95 and (all_pass == good).mean() < 0.7
+
+
+def plain_verdicts(votes):
+    """The posterior of each row of votes, by expectation-maximisation over rows, one at a time."""
+    start = [0.95 if v.count(-1) < 2 else 0.05 for v in votes]
+    for _ in range(1000):
+        share = (sum(start) + 10) / (len(votes) + 20)
+        chance = []
+        for weight, prior in ((start, 0.1), ([1 - g for g in start], 0.5)):
+            chance.append([(sum(g for g, v in zip(weight, votes, strict=True) if v[k] == -1) + 20 * prior) / (sum(g for g, v in zip(weight, votes, strict=True) if v[k]) + 20) for k in range(len(votes[0]))])
+        now = []
+        for v in votes:
+            good, bad = share, 1 - share
+            for k, x in enumerate(v):
+                if x:
+                    good *= chance[0][k] if x < 0 else 1 - chance[0][k]
+                    bad *= chance[1][k] if x < 0 else 1 - chance[1][k]
+            now.append(good / (good + bad))
+        moved, start = max(abs(a - b) for a, b in zip(start, now, strict=True)), now
+        if moved < 1e-9:
+            break
+    return start
+
+
+def plain_votes(text):
+    words = re.findall(SPACE, text or "")
+    n, lines = len(words), [x for x in (text or "").split("\n") if re.search(SPACE, x)]
+    chars, symbols, dup, repeated = base_counts(text)[1:]
+    letters, upper = len(re.findall("[A-Za-z]", text or "")), len(re.findall("[A-Z]", text or ""))
+    many, rows = max(n, 1), max(len(lines), 1)
+    shares = [n, chars / many, symbols / many, sum(bool(re.search(r"[#*$%&|<>]", x)) for x in words) / many, repeated / many, dup / rows, upper / max(letters, 1), len(re.findall("[0-9]", text or "")) / max(chars, 1)]
+    shares += [sum(x.rstrip(" \t\v\f\r")[-1] in '.!?:;"”»)…' for x in lines) / rows, len(set(words)) / many * max(1, np.log10(many / 100)), n / rows]
+    return [int(r.good[0] <= x <= r.good[1]) - int(not r.bad[0] <= x <= r.bad[1]) for r, x in zip(quality_rules.RULES, shares, strict=True)]
+
+
+def test_op8_is_brute_force(spark):
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    names = sorted(texts)
+    want = dict(zip(names, plain_verdicts([plain_votes(texts[k]) for k in names]), strict=True))
+    for r in entry.op8_quality_rules(spark, SF).collect():
+        assert r.quality_posterior == pytest.approx(want[r.doc_id], abs=1e-6)
+        assert r.kept == (not r.base_failed and want[r.doc_id] >= 0.5)
+
+
+def test_verdicts_part_from_all_must_pass(spark):
+    """Where rules disagree the posterior decides, and labels say that it is right."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = quality_rules.judge(docs, keep=["doc_id"]).join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("NOT base_failed").collect()
+    apart = [r for r in rows if r.kept != (min(plain_votes(texts[r.doc_id])) >= 0)]
+    assert len(apart) > 5 and sum(r.kept == bool(r.quality) for r in apart) > 0.9 * len(apart)
