@@ -1,41 +1,53 @@
-"""From raw documents to packed sequences: each stage calls one operator on what the one before it kept."""
+"""From raw documents to packed sequences: each stage calls one operator on what the one before it kept.
 
-from __future__ import annotations
+All stages but the last return the columns of their input, whatever they are called, with the values they had
+(decontamination changes text and n_chars).
+
+Defined results: a null or empty text, or one of under 50 words, is rejected by the rules; a null source, language or
+length is a value of its own to the classifier; equal rows are one document to the near-duplicate stage, which keeps
+the least doc_id of a group, of rows with one doc_id and text the first by their other columns, and of rows without
+doc_id one for each text; texts of any length are read whole; a score right at a threshold is kept; empty tables give
+no rows (without labels all documents count as good and not toxic; without a benchmark nothing is removed).
+"""
 
-import uuid
+from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.llm import decontaminate, ngram_join, packing, quality_classifier, quality_rules
-from millwatch.llm.storage import shared_dir, table
+from millwatch.sources.shared import new_path, ship, table
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     """Documents that the rules keep."""
-    return quality_rules.judge(docs, counts=False).where("kept").select(*docs.columns)
+    ship(spark)
+    return quality_rules.keep(docs)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good and not toxic."""
-    return quality_classifier.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    ship(spark)
+    return quality_classifier.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     """The document with the least doc_id of each group of near copies, once."""
-    first = ngram_join.classes(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    ship(spark)
+    return ngram_join.firsts(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the benchmark passages in their texts."""
+    """All documents, without the benchmark passages in their texts; n_chars is that of the new text."""
+    ship(spark)
     clean = decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
-    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     """Pieces of the documents in sequences of 2048 tokens, with their ids."""
+    ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -55,7 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each one's result written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
