@@ -1,8 +1,8 @@
 """Groups of texts whose sets of word 5-grams have a Jaccard similarity of 0.8 or more, by a prefix-tree join.
 
 1. Every text's distinct shingles are hashed to 64 bits; texts with equal sets are one class.
-2. Shingles get one global order: by how frequent a count sketch over all texts says they may be, rare ones
-   first, then by hash.  Two sets can only be similar if they share a shingle of their prefixes, the first
+2. Shingles get one global order: by how much more frequent than chance a count sketch over all texts says they
+   are, rare ones first, then by hash.  Two sets can only be similar if they share a shingle of their prefixes, the first
    n - ceil(0.8 n) + 1 in that order.
 3. Texts that share a prefix shingle, and could agree in length, form a list; its smallest text leads it.
    Frequent shingles' lists are joined to their leader by Spark, whose skew handling splits them; no other list is
@@ -83,19 +83,29 @@ def fingerprint(own: np.ndarray) -> tuple[int, int]:
 
 
 class Order(NamedTuple):
-    """The global order. A shingle's token is its level (0: surely not frequent) over the upper 58 bits of its hash."""
+    """The global order. A shingle's token is its level over the upper 58 bits of its hash; levels are powers of two
+    of how far its counter exceeds what most counters have by chance (level 0: no further than chance explains).
+
+    ``usual`` is the counters' median, ``noise`` what chance adds to it, and lists of shingles whose counter is under
+    ``border`` are left to sorted streams; no list is longer than its counter."""
 
     counts: np.ndarray
+    usual: float
+    noise: float
     border: int
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Order:
-        return cls(counts, int(4 * counts.sum() // max(1, len(counts))) + 64)
+        usual = float(np.median(counts)) if len(counts) else 0.0
+        return cls(counts, usual, 4 * usual**0.5 + 4, int(4 * counts.sum() // max(1, len(counts))) + 64)
 
-    def tokens(self, own: np.ndarray) -> np.ndarray:
+    def prefix(self, own: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``size`` tokens of a set (all without it), and which of them are frequent."""
         seen = self.counts[(own & U64(len(self.counts) - 1)).astype(np.int64)]
-        level = np.where(seen < self.border, 0, 1 + np.log2(np.maximum(seen, 1) / self.border)).astype(np.int64)
-        return np.sort(np.minimum(level, 30) << 58 | (own >> U64(6)).astype(np.int64))
+        level = np.log2(np.maximum((seen - self.usual) / self.noise, 0.5)).astype(np.int64) + 1
+        token = np.minimum(np.where(seen < self.usual + self.noise, 0, level), 30) << 58 | (own >> U64(6)).astype(np.int64)
+        first = np.argsort(token)[:size]
+        return token[first], seen[first] >= self.border
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -190,9 +200,8 @@ def prefixes(docs: DataFrame, order: Order, frequent: bool, percent: int = PERCE
                         once[mark] = (name, own)
             parts = []
             for name, own in once.values():
-                token = known.value.tokens(own)[: prefix_size(len(own), percent)]
-                token = token[(token >> 58 > 0) == frequent]
-                parts.append((token, name, len(own)))
+                token, often = known.value.prefix(own, prefix_size(len(own), percent))
+                parts.append((token[often == frequent], name, len(own)))
             if parts:
                 size = [len(p[0]) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.repeat([p[1] for p in parts], size)), pa.array(np.repeat([p[2] for p in parts], size), pa.int32())], names=["token", "doc_id", "n"])
@@ -386,7 +395,7 @@ def token_sets(docs: DataFrame, order: Order) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([known.value.tokens(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([known.value.prefix(x)[0].tobytes() for x in sets], pa.binary())], names=["doc_id", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, tokens binary")
 
@@ -501,18 +510,18 @@ def firsts(docs: DataFrame, **options: int) -> DataFrame:
 
     Of several rows with one doc_id and text, the one that comes first by its other columns stays; rows with one
     doc_id and different texts are one document and all stay. Rows without a doc_id are numbered by their texts, after
-    all others, so they take part like any. Without repeated doc_ids, rows are shuffled once.
+    all others, so they take part like any. Rows meet only the doc_ids that go or are repeated.
     """
     number = F.coalesce(F.col("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
     keyed = docs.withColumn("__id", number)
     groups = classes(keyed.select(F.col("__id").alias("doc_id"), "text"), **options)
-    least = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__first")).agg((F.count("*") > 1).alias("__many"))
-    least = saved(least, "ngram-firsts")
-    both = keyed.join(least, F.col("__id") == F.col("__first"))
-    once = both.where("NOT __many").drop("__id", "__first", "__many")
-    if least.where("__many").isEmpty():
+    odd = groups.groupBy(F.col("doc_id").alias("__odd")).agg((F.min("component_id") < F.col("doc_id")).alias("__goes"), (F.count("*") > 1).alias("__many"))
+    odd = saved(odd.where("__goes OR __many"), "ngram-odd")
+    both = keyed.join(odd, F.col("__id") == F.col("__odd"), "left")
+    once = both.where("__odd IS NULL").drop("__id", "__odd", "__goes", "__many")
+    if odd.where("__many AND NOT __goes").isEmpty():
         return once
-    many = both.where("__many").drop("__first", "__many")
+    many = both.where("__many AND NOT __goes").drop("__odd", "__goes", "__many")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     stays = many.groupBy("__id", F.sha2("text", 256).alias("__text")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
     return once.unionByName(stays.select("__row.*"))

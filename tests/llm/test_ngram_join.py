@@ -53,7 +53,7 @@ def test_groups_are_those_of_brute_force(spark, seed, block):
 
 
 def test_frequent_shingles_go_the_other_way(spark, monkeypatch):
-    monkeypatch.setattr(g.Order, "of", classmethod(lambda cls, counts: cls(counts, 3)))
+    monkeypatch.setattr(g.Order, "of", classmethod(lambda cls, counts: cls(counts, 1.0, 2.0, 3)))
     rng = random.Random(5)
     common = " ".join(f"c{i}" for i in range(30))
     docs = [(i, common + " " + " ".join(rng.choice("abcdef") + str(i // 3) for _ in range(rng.choice([2, 3, 60])))) for i in range(60)]
