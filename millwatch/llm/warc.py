@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import saved, shared_dir
+from .rows import freed
+from .storage import new_path, saved
 
 LEAST, ROLL_BYTES, SHARD_BYTES = 100, 256 << 20, 512 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -111,9 +112,9 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, shard_bytes: int =
     shards = max(2 * spark.sparkContext.defaultParallelism, -(-size // shard_bytes))
     rows = record_types(pages, least)
     key = F.xxhash64(F.col("page_id"), F.coalesce(F.col("url"), F.lit("")), F.col("payload_digest"))
-    # the upper 31 bits of the key, scaled: equal ranges of keys in key order
-    rows = rows.withColumn("record_key", F.shiftright(key, 1) + F.lit(1 << 62)).withColumn("shard", F.shiftright(F.shiftright(F.col("record_key"), 32) * F.lit(shards), 31))
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "record_key", "page_id", "url", "payload_digest").select("shard", "page_id", "url", "html", "payload_digest", "refers_to")
+    # the upper 31 bits of the key, scaled: equal ranges of keys in key order; a shard is a partition of its own
+    rows = rows.withColumn("record_key", F.shiftright(key, 1) + F.lit(1 << 62)).withColumn("shard", F.shiftright(F.shiftright(F.col("record_key"), 32) * F.lit(shards), 31)).withColumn("place", F.col("shard").cast("int"))
+    ordered = rows.repartitionById(shards, "place").sortWithinPartitions("shard", "record_key", "page_id", "url", "payload_digest").select("shard", "page_id", "url", "html", "payload_digest", "refers_to")
     spark_schema = T._parse_datatype_string(MANIFEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +135,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, shard_bytes: int =
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=spark_schema.names)
 
-    ordered.mapInArrow(run, spark_schema).write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(freed(run), spark_schema).write.parquet(f"{folder}/manifest")
     return spark.read.schema(spark_schema).parquet(f"{folder}/manifest")
 
 
@@ -189,13 +190,16 @@ def read(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFra
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=schema.names)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, schema)
+    # a few names only: dealt out by their number, or one task would get all of them
+    files = manifest.agg(F.count("*").alias("n")).first().n
+    numbered = manifest.select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("number"))
+    return numbered.repartitionById(max(1, files), "number").select("file").mapInArrow(freed(run), schema)
 
 
 def round_trip(pages: DataFrame, **options: int) -> DataFrame:
     """Archive ``pages`` in a new folder of the shared place and read the archive back."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_path(spark, "warc")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     write(pages, folder, **options)
     return read(spark, folder, with_payload=False)
