@@ -6,7 +6,8 @@ order, are smoothed by a Gaussian, and lines over a threshold taken from their s
 region is then the innermost element that holds (nearly) all text of content lines, an article or main element
 if there is one; all its lines belong to the text, short ones too, except those in parts that by element, role
 or class are menus, headers, footers, sidebars, notices, adverts, forms, reader comments or no text at all.  The
-class or id of an element that holds most text of content lines is no such mark: ratios overrule it.
+class or id of an element that holds most text of content lines is no such mark, nor is a form that does: ratios
+overrule it.  Where a page names its parts, names and ratios mostly agree; where it doesn't, ratios alone decide.
 
 Defined results: null or empty html gives an empty text; html without any tag is one block; unclosed and
 stray tags are borne as browsers do; pages of any length are read whole; repeated rows give repeated rows; input
@@ -33,8 +34,8 @@ OUT = frozenset("script style noscript template head title nav footer aside form
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark such parts.
 OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup share sharing social related recommended comment comments commentlist reply replies respond disqus discussion widget toolbar pager pagination".split())
-#: What class and id say, which the ratios can overrule.
-SOFT = ("comments", "class")
+#: What class and id say, and forms, which may wrap a whole page: the ratios can overrule these.
+SOFT = ("comments", "class", "form")
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 _SPLIT_NAME = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 #: What an open element closes by itself when one of these starts.
@@ -63,7 +64,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, str]] = []  # element, its number, why its text is out ("" if it isn't)
         self.count, self.tags, self.pending, self.lines, self.kinds = 0, 0, [], [], {}
-        self.marked: dict[int, str] = {}  # elements that class or id takes out
+        self.marked: dict[int, str] = {}  # elements that class or id takes out, and forms
 
     def flush(self) -> None:
         if any(not data.isspace() for data, _ in self.pending if data):
@@ -75,6 +76,8 @@ class Lines(HTMLParser):
         self.pending = []
 
     def why(self, tag: str, attrs: list) -> str:
+        if tag == "form":
+            self.marked[self.count] = "form"
         if tag in OUT:
             return tag
         if tag == "header":
@@ -186,12 +189,16 @@ def told(lines: list[Line], ignored: frozenset[int]) -> list[Line]:
     return out
 
 
-def content_of(lines: list[tuple[Line, int]], sigma: float) -> list[Line]:
-    """Lines that aren't out and whose smoothed ratio makes them content."""
+def content_of(lines: list[tuple[Line, int]], sigma: float, own: bool = False) -> list[Line]:
+    """Lines that aren't out and whose smoothed ratio makes them content; ``own``: without those that owe it to their
+    neighbours alone, if others don't: they are as often the edge of a menu as a heading."""
     if not lines:
         return []
-    content = clustered(smooth(np.asarray([0.0 if x.out else len(x.text) / tags for x, tags in lines]), sigma))
-    return [x for (x, _), c in zip(lines, content, strict=True) if c and not x.out]
+    ratios = np.asarray([0.0 if x.out else len(x.text) / tags for x, tags in lines])
+    smoothed = smooth(ratios, sigma)
+    content = clustered(smoothed) & np.asarray([not x.out for x, _ in lines])
+    strong = content & (ratios >= smoothed[content].min(initial=np.inf))
+    return [x for (x, _), c in zip(lines, strong if own and strong.any() else content, strict=True) if c]
 
 
 def _marked(x: Line) -> Counter:
@@ -204,7 +211,7 @@ def _marked(x: Line) -> Counter:
 
 
 def wrappers(parser: Lines, sigma: float) -> frozenset[int]:
-    """Elements that class or id takes out although they hold most text of the content lines, by ratios that heed no
+    """Elements that class or id takes out, or forms, although they hold most text of the content lines, by ratios that heed no
     such name. Where an article or main element outside of them has content the name is right, and reader comments,
     which may be longer than what they are about, must hold all content lines and 95 % of all text."""
     if not parser.marked:
@@ -224,7 +231,7 @@ def wrappers(parser: Lines, sigma: float) -> frozenset[int]:
     for n, why in sorted(parser.marked.items()):  # outer ones first
         if held[n] <= most or any(named.intersection(x.path) and not left.intersection(x.path) for x in content):
             continue
-        if why == "class" or (parts[n] == len(content) and every[n] >= whole):
+        if why != "comments" or (parts[n] == len(content) and every[n] >= whole):
             left.remove(n)
     return frozenset(parser.marked.keys() - left)
 
@@ -242,7 +249,7 @@ def main_text(html: str | None, sigma: float = 1.0, whole: float = 0.95) -> str:
     lines = [x for x, _ in every if not x.out]
     if not lines:
         return ""
-    chosen = content_of(every, sigma) or lines
+    chosen = content_of(every, sigma, own=True) or lines
     held: dict[int, int] = {}
     for x in chosen:
         for n in x.path:

@@ -6,9 +6,10 @@ import html as escapes
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from millwatch.llm import entry, url_filter, warc
+from millwatch.llm import entry, html_extract, url_filter, warc
 from millwatch.llm.html_extract import extract, main_text
 from millwatch.llm.storage import table
 
@@ -49,6 +50,9 @@ def test_main_text(page):
 
 
 WRAPPED = {
+    f"<body><form id=aspnet><nav>menu</nav><h1>T</h1><p>{BODY}</p><p>{BODY}</p><input></form>": f"T\n{BODY}\n{BODY}",
+    f"<article class='post has-reply'><p>{BODY}</p><form>Search<input></form></article>": BODY,
+    f"<body class='single comments-open'><p>{BODY}</p><p>b</p>": f"{BODY}\nb",
     f"<body><div class='layout has-sidebar'><div class='sidebar'>{'<a href=x>item</a>' * 9}</div><div><h1>T</h1><p>{BODY}</p><p>{BODY}</p></div></div>": f"T\n{BODY}\n{BODY}",
     f"<div id='content' class='with-banner'><div class=banner>Buy now</div><p>{BODY}</p><p>b</p></div>": f"{BODY}\nb",
     f"<x-page class='share-page'><p>{BODY}</p><p>{BODY}<span class='share'>x</span></p></x-page>": f"{BODY}\n{BODY}",
@@ -64,7 +68,22 @@ def test_ratios_overrule_names(page):
     assert main_text(page) == WRAPPED[page]
 
 
-@pytest.mark.parametrize("mark", ["<![foo]>", "<![ endif]>", "<![]>", "<![endif]-->", "<![if !IE]>", "<![CDATA[x]]>", "<![-x", "<![9 a='b'>", "<!foo>", f"&#{'9' * 5000};", f"&#{'0' * 5000}32;"])
+LINKS = "".join(f"<div><a href=/{k}>Item {k}</a> <a href=/x{k}>more</a></div>" for k in range(12))
+UNNAMED = {
+    f"<body><div>{LINKS}</div><div><h1>T</h1><p>{BODY}</p><p>{BODY}</p></div><div>{LINKS}</div></body>": f"T\n{BODY}\n{BODY}",
+    f"<table><tr><td>{LINKS}</td><td><p>{BODY}</p><p>b</p><p>{BODY}</p></td><td>{LINKS}</td></tr></table>": f"{BODY}\nb\n{BODY}",
+    f"<div id=page><div>{LINKS}</div><div><div><h2>A</h2><p>{BODY}</p></div><div><h2>B</h2><p>{BODY}</p></div></div><div><span>a</span><span>b</span></div>{LINKS}</div>": f"A\n{BODY}\nB\n{BODY}",
+}
+
+
+@pytest.mark.parametrize("page", UNNAMED)
+def test_ratios_decide_where_parts_have_no_names(page, monkeypatch):
+    assert main_text(page) == UNNAMED[page]
+    monkeypatch.setattr(html_extract, "clustered", lambda ratios: np.ones(len(ratios), bool))
+    assert main_text(page) != UNNAMED[page]
+
+
+@pytest.mark.parametrize("mark", ["<![foo]>", "<![foo[x]]>", "<![ endif]>", "<![]>", "<![endif]-->", "<![if !IE]>", "<![CDATA[x]]>", "<![-x", "<![9 a='b'>", "<!foo>", f"&#{'9' * 5000};", f"&#{'0' * 5000}32;"])
 def test_text_after_marks(mark):
     end = "" if mark.endswith((">", ";")) else ">"
     assert main_text(f"<p>{BODY}</p>{mark}{end}<p>{BODY}</p>").replace("\n\ufffd", "") == f"{BODY}\n{BODY}"
