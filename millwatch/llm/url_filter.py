@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .storage import saved
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules are compiled into one expression; beyond this many they'd belong in a table.
-MOST_RULES = 500
+#: So many rules are compiled into one expression; more are joined as a table, with the same result.
+MOST_RULES = 200
 
 
 class Rule(NamedTuple):
@@ -57,11 +57,25 @@ def _fits(rule: Rule) -> Column:
     return ((F.col("host") == rule.host) | F.col("host").endswith("." + rule.host)) & F.col("path").startswith(rule.path)
 
 
-def with_rule(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule (the longest that fits, else null), rule_allows, html."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path, rule, rule_allows: of distinct urls (host, path), the longest of the rules (rule_host, rule_path,
+    allow) that fits, if any does; the first by name among equals. A url meets the rules of its host and of the
+    domains above, by equal host."""
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    met = urls.withColumn("rule_host", F.explode(F.array_distinct(above))).join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    name = F.concat("rule_host", "rule_path")
+    best = F.min_by(F.struct(name.alias("rule"), F.col("allow").alias("rule_allows")), F.struct(-F.length(name), name))
+    return met.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.*")
+
+
+def with_rule(pages: DataFrame, rules: tuple[Rule, ...] = RULES, most: int = MOST_RULES) -> DataFrame:
+    """page_id, host, path, html, rule (the longest that fits, else null), rule_allows."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
+    if len(rules) > most:
+        known = pages.sparkSession.createDataFrame([(r.host, r.path, r.allow) for r in rules], "rule_host string, rule_path string, allow boolean")
+        found = saved(longest_rules(rows.select("host", "path").distinct(), known), "url-rules")
+        return rows.join(found, ["host", "path"], "left").select("page_id", "host", "path", "html", "rule", "rule_allows")
     longest = sorted(rules, key=lambda r: (-len(r.name), r.name))
     rule = F.coalesce(F.lit(None).cast("string"), *[F.when(_fits(r), F.lit(r.name)) for r in longest])
     allows = F.coalesce(F.lit(None).cast("boolean"), *[F.when(F.col("rule") == r.name, F.lit(r.allow)) for r in longest])

@@ -149,6 +149,15 @@ def test_rules_of_urls(spark):
     assert [(got[k].host, got[k].path, got[k].rule, got[k].verdict) for k in range(len(urls))] == want
 
 
+def test_rules_of_a_table(spark):
+    """Rules beyond the expression's size give what the expression gives."""
+    urls = ["https://X.Example.COM/en/a?b#c", "http://www.example.com/en/", "http://a.com/", "http://a.com", "http://q.net/es/1", "http://net/fr/", "http://notnet/fr/", "no scheme", None, "http://h#f/x", "http://a.org/p?://x.com/", "http://..com/", "http://a.com/"]
+    pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    rules = (*url_filter.RULES, url_filter.Rule("", "/", True), url_filter.Rule("h", "", False))
+    one, two = (sorted(url_filter.with_rule(pages, rules, most).select("page_id", "host", "path", "rule", "rule_allows", "html").collect()) for most in (500, 0))
+    assert one == two and {r.rule for r in two} == {"example.com/en/", "www.example.com/en/", "com/", "net/es/", "net/fr/", "h", None}
+
+
 def ranked(seeds, links, follow=0.85, rounds=200):
     """trust and distrust of each host, by plain loops."""
     hosts = set(seeds) | {h for e in links for h in e}
