@@ -4,19 +4,22 @@ A line's quote level is the number of `>` before it.  Quoted lines, and all line
 normalised (lower case, single spaces) and hashed; joined by conversation and hash to the message that first
 wrote such a line or such a text, they tell which message is answered.  Long matches speak first, short ones where
 a message has no other; among them the lowest level, then the number of matches, then the later message.  Replies get the place of their message, their depth and the first
-message of their thread, and keep only what they say themselves.  Everything is DataFrame work; what a
+message of their thread, and keep only what they say themselves; all messages get their position in their
+conversation in order of reply, counted over a range-sorted table, so that a conversation of any size spreads over
+many tasks.  Everything is DataFrame work; what a
 conversation wrote is reduced to the first writer of each hash before the join, so that no line, however common,
 meets all its repeats, and no conversation is ever gathered in one task.
 
 Defined results: a null text is an empty message; a message without quotes, or whose quotes are found nowhere
 earlier, begins a thread; an attribution line before a quotation goes with it; messages of any length are read
-whole; repeated rows give repeated rows; extra columns are kept, those named like an output column replaced; an
-empty table gives no rows.
+whole; repeated rows give repeated rows, which share a position; a message without conv_id or turn has no position;
+matches shorter than ``LEAST_CHARS`` decide only where a message has no longer one; extra columns are kept, those
+named like an output column replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import saved
@@ -25,7 +28,7 @@ KEY = ["conv_id", "turn"]
 #: Shorter lines ("yes", "thanks") say little of where they come from; they count after all longer ones.
 LEAST_CHARS = 12
 _MARK = r"^[ \t]*((?:>[ \t]?)+)"
-_ATTRIBUTION = r"(?i)^(?:on|am|le|el)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s?:\s*$"
+_ATTRIBUTION = r"(?i)^(?:on|am|le|el)\b.*\b(?:wrote|schrieb|a écrit|escribió)\s?:\s*$"
 
 
 def level(line: Column) -> Column:
@@ -85,14 +88,32 @@ def threads(found: DataFrame) -> DataFrame:
     return state.drop("ended")
 
 
+def positions(keys: DataFrame) -> DataFrame:
+    """conv_id, turn, position of distinct (conv_id, turn, thread, depth): the place of each in its conversation by
+    thread, depth and turn. Rows are sorted by ranges and numbered where they lie; then only the sizes of partitions
+    and the first number of each conversation are needed."""
+    order = ["conv_id", "thread", "depth", "turn"]
+    numbered = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id())
+    numbered = saved(numbered.withColumn("part", F.shiftright("number", 33)), "chat-order")
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("size"))  # a row for each partition
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = numbered.join(sizes.select("part", before.alias("before")), "part").select(*KEY, (F.col("before") + F.col("number").bitwiseAND((1 << 33) - 1)).alias("place"))
+    first = placed.groupBy("conv_id").agg(F.min("place").alias("first"))
+    return placed.join(first, "conv_id").select(*KEY, (F.col("place") - F.col("first")).alias("position"))
+
+
 def reply_ordered(messages: DataFrame) -> DataFrame:
-    """Each message with text (its own words), n_quoted_lines, max_level, reply_to, matches, thread and depth.
-    Ordered by conv_id, thread, depth and turn, a conversation reads in order of reply."""
-    added = ["n_quoted_lines", "max_level", "reply_to", "matches", "thread", "depth"]
+    """Each message with text (its own words), n_quoted_lines, max_level, reply_to, matches, thread, depth and
+    position. In order of position, a conversation reads in order of reply, without its quotations."""
+    added = ["n_quoted_lines", "max_level", "reply_to", "matches", "thread", "depth", "position"]
     rows = messages.drop(*added, "__lines")
-    place = threads(saved(links(rows), "chat-links"))
+    linked = threads(saved(links(rows), "chat-links"))
+    keys = rows.select(*KEY).where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
+    known = keys.join(linked, KEY, "left").select(*KEY, "reply_to", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    known = saved(known, "chat-known")
+    place = known.join(positions(known.select(*KEY, "thread", "depth")), KEY)
     told = _with_lines(rows)
     told = told.withColumn("text", own_text(F.col("__lines"))).withColumn("n_quoted_lines", F.size(F.filter("__lines", lambda x: x["level"] > 0)).cast("long"))
     told = told.withColumn("max_level", F.array_max(F.transform("__lines", lambda x: x["level"])).cast("long")).drop("__lines")
     whole = told.join(place, KEY, "left")
-    return whole.select(*[told[f"`{c}`"] for c in told.columns], "reply_to", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.coalesce("thread", told["turn"]).alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    return whole.select(*[told[f"`{c}`"] for c in told.columns], "reply_to", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.coalesce("thread", told["turn"]).alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "position")

@@ -126,6 +126,30 @@ def test_short_quotes_lead_to_their_messages(spark):
     assert {r.turn: (r.reply_to, r.thread, r.depth) for r in ordered(spark, rows).collect()} == {0: (None, 0, 0), 1: (None, 1, 0), 2: (1, 1, 1), 3: (2, 1, 2), 4: (0, 0, 1), 5: (0, 0, 1), 6: (None, 6, 0), 7: (None, 7, 0), 8: (None, 8, 0)}
 
 
+def plain_order(rows):
+    """Messages of each conversation in order of reply, by plain loops; every quoted text is a whole line of its source."""
+    said, out = {}, {}
+    for conv, turn, _, text in sorted(rows, key=lambda r: r[:2]):
+        quoted = [x for x in (text or "").split("\n") if x.startswith(">")]
+        own = "\n".join(x for x in (text or "").split("\n") if not x.startswith(">")).strip()
+        parent = next((t for x in quoted for t in range(turn) if x[2:] in said.get((conv, t), ())), None)
+        thread, depth = (turn, 0) if parent is None else (out[conv, parent][0], out[conv, parent][1] + 1)
+        said[conv, turn], out[conv, turn] = own.split("\n"), (thread, depth, turn, own)
+    return [(conv, [own for (c, _), (*_, own) in sorted(out.items(), key=lambda x: (x[0][0], x[1])) if c == conv]) for conv in sorted({c for c, _ in out})]
+
+
+def test_conversations_in_order_of_reply(spark):
+    rng, rows = np.random.default_rng(3), []
+    for conv in range(6):
+        for turn in range(int(rng.integers(1, 40))):
+            source = int(rng.integers(0, turn)) if turn and rng.random() < 0.6 else None
+            rows.append((conv, turn, "r", (f"> what {conv} said as number {source}\n" if source is not None else "") + f"what {conv} said as number {turn}"))
+    got = ordered(spark, rows).repartition(5).collect()
+    told = [(conv, [r.text for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)]) for conv in range(6)]
+    assert told == plain_order(rows)
+    assert all(sorted(r.position for r in got if r.conv_id == conv) == list(range(len(texts))) for conv, texts in told)
+
+
 def test_long_chains_of_replies(spark):
     rows = [(1, 0, "r", "message number 0 says this")] + [(1, k, "r", f"> message number {k - 1} says this\nmessage number {k} says this") for k in range(1, 40)]
     assert sorted((r.turn, r.thread, r.depth) for r in ordered(spark, rows).collect()) == [(k, 0, k) for k in range(40)]
