@@ -23,23 +23,25 @@ def tokens(text: Column) -> Column:
 
 
 def token_windows(text: Column, target: int = 175, most: int = 220, overlap: int = 20, respect_headings: bool = True) -> Column:
-    """Chunks of a text as strings: windows of tokens that overlap, none across a heading."""
+    """Chunks of a text as (text, n_tokens): windows of tokens that overlap, none across a heading."""
     size = min(target, most)
     step = max(1, size - overlap)
 
-    def cut(section: Column) -> Column:
-        words = tokens(section)
+    def cut(words: Column) -> Column:
         last = F.greatest(F.lit(0), F.ceil((F.size(words) - size) / F.lit(step))).cast("int")
-        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, size), " "))
-        return F.filter(windows, lambda x: x != "")
+        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * step + 1, size))
+        chunks = F.transform(windows, lambda x: F.struct(F.array_join(x, " ").alias("text"), F.size(x).cast("long").alias("n_tokens")))
+        return F.filter(chunks, lambda x: x["n_tokens"] > 0)
 
-    return F.flatten(F.transform(sections(text, respect_headings), cut))
+    # a section is split once: its words are the element that the inner functions take their windows from
+    words = F.transform(sections(text, respect_headings), tokens)
+    return F.flatten(F.transform(words, cut))
 
 
 def chunked(documents: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """doc_id, chunk_id, ordinal, text, n_tokens, in order over all sections of a document."""
-    cut = documents.select(F.col(key).cast("string").alias("doc_id"), F.posexplode(token_windows(F.col(text), **options)).alias("ordinal", "text"))
-    return cut.select("doc_id", chunk_id(F.col("doc_id"), F.col("ordinal")).alias("chunk_id"), "ordinal", "text", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    cut = documents.select(F.col(key).cast("string").alias("doc_id"), F.posexplode(token_windows(F.col(text), **options)).alias("ordinal", "chunk"))
+    return cut.select("doc_id", chunk_id(F.col("doc_id"), F.col("ordinal")).alias("chunk_id"), "ordinal", "chunk.text", "chunk.n_tokens")
 
 
 def topics(text: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
@@ -67,9 +69,16 @@ def doc_type(text: Column, default: Column, maintenance: Sequence[str] = MAINTEN
     return F.when(m > s, "maintenance").when(s > m, "sop").otherwise(default)
 
 
+# How front matter names a type, and what file names say of it.
+FRONT_MATTER = r"(?im)^doc_type:\s*(sop|maintenance)\s*$"
+MAINTENANCE_NAMES = ("mainten", "service", "repair", "_mm", "mm_")
+SOP_NAMES = ("sop", "operat", "procedure", "_om", "om_")
+# End of fixed values.
+
+
 def default_type(name: Column, text: Column, **words: Sequence[str]) -> Column:
     """A document's type: its front matter, else its file's name, else its words, else sop."""
-    front = F.lower(F.regexp_extract(F.substring(text, 1, 500), r"(?im)^doc_type:\s*(sop|maintenance)\s*$", 1))
+    front = F.lower(F.regexp_extract(F.substring(text, 1, 500), FRONT_MATTER, 1))
     low = F.lower(name)
 
     def any_of(*parts: str) -> Column:
@@ -78,7 +87,7 @@ def default_type(name: Column, text: Column, **words: Sequence[str]) -> Column:
             found = found | F.contains(low, F.lit(p))
         return found
 
-    return F.when(front != "", front).when(any_of("mainten", "service", "repair", "_mm", "mm_"), "maintenance").when(any_of("sop", "operat", "procedure", "_om", "om_"), "sop").otherwise(doc_type(text, F.lit("sop"), **words))
+    return F.when(front != "", front).when(any_of(*MAINTENANCE_NAMES), "maintenance").when(any_of(*SOP_NAMES), "sop").otherwise(doc_type(text, F.lit("sop"), **words))
 
 
 def page_equivalents(chunks: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import number
+from ..functions.scalars import REGIMES, SPLITS, number
 
+# Channels of a recording.
 CANONICAL = ("time_s", "ax", "ay", "az")
 OPTIONAL = ("ae", "sound", "force_x", "force_y", "force_z", "spindle_current")
+# End of fixed values.
 
 
 def renamed(df: DataFrame, column_map: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
@@ -38,6 +40,15 @@ def spans_ordered(spans: Column) -> Column:
     return F.forall(spans, lambda s: s["start_s"].isNotNull() & s["end_s"].isNotNull() & (s["end_s"] >= s["start_s"]))
 
 
+def incident_rules() -> dict[str, Column]:
+    """What must hold of an incident."""
+    return {
+        "window": F.col("window_end_s") >= F.col("window_start_s"), "rate": F.col("fs_hz") > 0, "regime": F.col("regime_label").isin(*REGIMES), "split": F.col("split").isin(*SPLITS),
+        "severity": F.col("severity_label").isin("low", "med", "high", "unknown"), "alignment": F.col("alignment_method").isin("label_match", "idle_fallback", "none"),
+        "sensor_spans": spans_ordered(F.col("sensor_relevant_spans")), "video_spans": spans_ordered(F.col("video_relevant_spans")), "clip": (F.size("video_relevant_spans") == 0) | F.col("video_file").isNotNull(),
+    }
+
+
 def counters(df: DataFrame, **notes: Column) -> DataFrame:
     """One row: discovered, written and errors of rows with ``violations``, and how many rows each note holds for."""
     valid = F.size("violations") == 0

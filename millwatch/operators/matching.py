@@ -59,18 +59,20 @@ def by_hash(df: DataFrame, group: str, seed: int, key: str, name: str) -> DataFr
 def matched_clips(incidents: DataFrame, clips: DataFrame, seed: int = 13, pool: str = "regime_label", idle: str | None = "idle") -> DataFrame:
     """``incidents`` with video_file and alignment_method: a seeded uniform pick of the clips of the same pool, each
     usable again; else one of the idle pool; else none."""
-    ranked = by_hash(clips, pool, seed, "video_file", "place")
+    ranked = by_hash(clips, pool, seed, "video_file", "place").select(pool, "place", "video_file")
     sizes = ranked.groupBy(pool).agg(F.count("*").alias("pool_n"))
-    name = F.col("incident_id")
-    own = incidents.join(sizes, pool, "left").withColumn("place", bucket_of(seed, name, F.col("pool_n")))
-    own = own.join(ranked.select(pool, "place", F.col("video_file").alias("own_clip")), [pool, "place"], "left").drop("place", "pool_n")
+    name, columns = F.col("incident_id"), [*incidents.columns, "video_file", "alignment_method"]
+    asked = incidents.join(sizes, pool, "left")
+    own = asked.where("pool_n IS NOT NULL").withColumn("place", bucket_of(seed, name, F.col("pool_n"))).join(ranked, [pool, "place"])
+    own = own.withColumn("alignment_method", F.lit("label_match")).select(*columns)
+    # only those without a pool of their own look further, so no join meets rows without a key
+    rest = asked.where("pool_n IS NULL").drop("pool_n", "place")
     if idle is None:
-        return own.withColumn("video_file", F.col("own_clip")).withColumn("alignment_method", F.when(F.col("own_clip").isNotNull(), "label_match").otherwise("none")).drop("own_clip")
+        return own.unionByName(rest.withColumn("video_file", F.lit(None).cast("string")).withColumn("alignment_method", F.lit("none")).select(*columns))
+    spare = ranked.where(F.col(pool) == idle).select("place", "video_file")
     idle_n = sizes.where(F.col(pool) == idle).select("pool_n").scalar()
-    spare = own.withColumn("place", F.when(F.col("own_clip").isNull(), bucket_of(seed, name, idle_n)))
-    spare = spare.join(ranked.where(F.col(pool) == idle).select("place", F.col("video_file").alias("idle_clip")), "place", "left")
-    method = F.when(F.col("own_clip").isNotNull(), "label_match").when(F.col("idle_clip").isNotNull(), "idle_fallback").otherwise("none")
-    return spare.withColumn("video_file", F.coalesce("own_clip", "idle_clip")).withColumn("alignment_method", method).drop("own_clip", "idle_clip", "place")
+    rest = rest.withColumn("place", bucket_of(seed, name, idle_n)).join(spare, "place", "left")
+    return own.unionByName(rest.withColumn("alignment_method", F.when(F.col("video_file").isNull(), "none").otherwise("idle_fallback")).select(*columns))
 
 
 def matched_once(incidents: DataFrame, clips: DataFrame, seed: int = 13, pool: str = "regime_label", idle: str = "idle") -> DataFrame:
@@ -127,3 +129,9 @@ def dangling(incidents: DataFrame, chunks: DataFrame) -> DataFrame:
 def missing(referenced: DataFrame, present: DataFrame, path: str = "path") -> DataFrame:
     """Referenced paths that aren't present."""
     return referenced.where(F.col(path).isNotNull()).join(present.select(path), path, "left_anti")
+
+
+def assembly_notes(incidents: DataFrame, least: int = 1) -> DataFrame:
+    """One row: incidents without a clip, with fewer than ``least`` chunks of a kind, and groups that splits keep whole."""
+    short = (F.size("sop_chunk_ids") < least) | (F.size("maintenance_chunk_ids") < least)
+    return incidents.agg(F.count("*").alias("written"), F.count_if(F.col("video_file").isNull()).alias("no_video"), F.count_if(short).alias("short_text"), F.count_distinct("source_dataset").alias("split_groups"))

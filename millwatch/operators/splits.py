@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The usual fractions.
 FRACTIONS = {"train": 0.7, "val": 0.15, "test": 0.10, "human_eval": 0.05}
+# End of fixed values.
 #: Groups up to which the greedy order, a sequential rule over group sizes, is worked out in one row.
 MOST_GREEDY = 20_000
 

@@ -1,14 +1,13 @@
 """Detection of events in long recordings, and the windows around them.
 
-Recordings are rows (run_id, i, time_s, channels).  Whatever needs the order of a run works on a grid of hops,
-to which samples are summed first; samples themselves are only grouped, joined on equal keys, and never ordered
-in one place.
+Recordings are rows (run_id, i, time_s, channels).  Neighbouring samples meet by joins on their numbers, and what
+needs the order of a run works on a grid of hops, to which samples are summed first; samples themselves are grouped,
+joined on equal keys, and ordered within buckets of time at most, never a whole run in one place.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +19,8 @@ AXES = ("ax", "ay", "az")
 
 @dataclass(frozen=True)
 class Detection:
-    """How events are found. ``method`` is quantile, zscore or absolute; ``threshold`` in its units."""
+    """How events are found. ``method`` is quantile, zscore or absolute; ``threshold`` in its units; ``fs_hz`` is the
+    rate of runs that bring none of their own."""
 
     fs_hz: float
     window_s: float = 1.0
@@ -32,23 +32,19 @@ class Detection:
     min_duration_s: float = 2.0
     channel: str = "az"
 
-    @property
-    def window(self) -> int:
-        return max(1, round(self.window_s * self.fs_hz))
-
-    @property
-    def hop(self) -> int:
-        return max(1, round(self.hop_s * self.fs_hz))
-
     @property
     def baseline(self) -> int:
         return max(1, round(self.baseline_s / self.hop_s))
 
 
+def _before(samples: DataFrame) -> DataFrame:
+    """``samples`` with before, the time of sample i - 1 of the run."""
+    return samples.join(samples.select("run_id", (F.col("i") + 1).alias("i"), F.col("time_s").alias("before")), ["run_id", "i"], "left")
+
+
 def median_rate(samples: DataFrame) -> DataFrame:
     """run_id, fs_hz: one over the median of the positive time steps; null if there are none."""
-    order = Window.partitionBy("run_id").orderBy("i")
-    steps = samples.withColumn("dt", F.col("time_s") - F.lag("time_s").over(order))
+    steps = _before(samples.select("run_id", "i", "time_s")).withColumn("dt", F.col("time_s") - F.col("before"))
     usual = F.expr("percentile(CASE WHEN dt > 0 AND NOT isnan(dt) AND dt < double('infinity') THEN dt END, 0.5)")
     return steps.groupBy("run_id").agg((1 / usual).alias("fs_hz"))
 
@@ -63,10 +59,8 @@ def chosen_rate(runs: DataFrame, method: str = "median_dt", dataset_fs: float |
 
 def repaired_time(samples: DataFrame, fs: Column | float) -> DataFrame:
     """time_s is kept in runs where it is finite and rises at every sample; else it is i / fs in the whole run."""
-    order = Window.partitionBy("run_id").orderBy("i")
-    steps = samples.withColumn("before", F.lag("time_s").over(order)).withColumn("first", F.row_number().over(order) == 1)
-    t = F.col("time_s")
-    fine = t.isNotNull() & ~F.isnan(t) & (F.abs(t) < F.lit(float("inf"))) & (F.col("first") | (t > F.col("before")))
+    steps, t = _before(samples.select("run_id", "i", "time_s")), F.col("time_s")
+    fine = t.isNotNull() & ~F.isnan(t) & (F.abs(t) < F.lit(float("inf"))) & ((F.col("i") == 0) | (t > F.col("before")))
     usable = steps.groupBy("run_id").agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("usable"))
     fs = fs if isinstance(fs, Column) else F.lit(float(fs))
     return samples.join(usable, "run_id").withColumn("time_s", F.when(F.col("usable"), t).otherwise(F.col("i") / fs)).drop("usable")
@@ -89,10 +83,22 @@ def resampled(samples: DataFrame, fs: float, target: float | None, channels: tup
     return both.select("run_id", F.col("k").alias("i"), (F.col("t0") + F.col("k") / F.lit(target)).alias("time_s"), *[(F.col(c) + F.coalesce(F.col("share") * (F.col(f"{c}_next") - F.col(c)), F.lit(0.0))).alias(c) for c in channels])
 
 
+def in_order_of_time(samples: DataFrame, bucket_s: float = 60.0) -> DataFrame:
+    """``samples`` with j, the place in the run by time_s: places within buckets of time, and the sizes of the buckets
+    before added."""
+    keyed = samples.withColumn("__b", F.floor(F.col("time_s") / bucket_s))
+    sizes = keyed.groupBy("run_id", "__b").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("run_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("run_id", "__b", F.coalesce(before, F.lit(0)).alias("__start"))
+    inner = F.row_number().over(Window.partitionBy("run_id", "__b").orderBy("time_s", "i")) - 1
+    return keyed.withColumn("__in", inner).join(starts, ["run_id", "__b"]).withColumn("j", F.col("__start") + F.col("__in")).drop("__b", "__in", "__start")
+
+
 def resampled_uneven(samples: DataFrame, target: float, channels: tuple[str, ...] = AXES) -> DataFrame:
     """As ``resampled`` for runs of uneven steps: each pair of neighbouring samples fills the points between."""
-    order = Window.partitionBy("run_id").orderBy("time_s")
-    ahead = samples.select("run_id", "time_s", *channels, F.lead("time_s").over(order).alias("t_next"), *[F.lead(c).over(order).alias(f"{c}_next") for c in channels])
+    numbered = in_order_of_time(samples)
+    after = numbered.select("run_id", (F.col("j") - 1).alias("j"), F.col("time_s").alias("t_next"), *[F.col(c).alias(f"{c}_next") for c in channels])
+    ahead = numbered.select("run_id", "j", "time_s", *channels).join(after, ["run_id", "j"], "left")
     runs = samples.groupBy("run_id").agg(F.min("time_s").alias("t0"), F.max("time_s").alias("t1"))
     own = ahead.join(runs, "run_id").withColumn("new_n", F.greatest(F.lit(2), F.bround((F.col("t1") - F.col("t0")) * target)).cast("bigint"))
     low = F.ceil((F.col("time_s") - F.col("t0")) * target - 1e-9)
@@ -103,36 +109,65 @@ def resampled_uneven(samples: DataFrame, target: float, channels: tuple[str, ...
     return points.select("run_id", F.col("k").alias("i"), at.alias("time_s"), *[(F.col(c) + F.coalesce(share * (F.col(f"{c}_next") - F.col(c)), F.lit(0.0))).alias(c) for c in channels])
 
 
-def energy(channel: str = "az") -> Column:
-    """A channel, or the magnitude of the axes."""
-    return F.sqrt(sum((F.col(a) * F.col(a) for a in AXES), F.lit(0.0))) if channel == "magnitude" else F.col(channel)
+def _value(c: str) -> Column:
+    return F.when(~F.isnan(c), F.col(c))
 
 
 def usable_channel(samples: DataFrame, channel: str = "az") -> DataFrame:
     """run_id, channel: the wanted channel if the run has values of it, else the first of az, ay, ax that it has;
     runs without any axis are left out."""
-    has = samples.groupBy("run_id").agg(*[F.count(F.when(~F.isnan(a), F.col(a))).alias(a) for a in AXES])
-    wanted = [F.when(F.col(channel) > 0, F.lit(channel))] if channel in AXES else [F.when(sum((F.col(a) for a in AXES), F.lit(0)) > 0, F.lit(channel))]
-    return has.select("run_id", F.coalesce(*wanted, *[F.when(F.col(a) > 0, F.lit(a)) for a in ("az", "ay", "ax")]).alias("channel")).where("channel IS NOT NULL")
+    return _channels(samples, channel).select("run_id", "channel").where("channel IS NOT NULL")
+
+
+def _channels(samples: DataFrame, channel: str) -> DataFrame:
+    """run_id, channel (as ``usable_channel``), and how many values of each axis there are."""
+    has = samples.groupBy("run_id").agg(*[F.count(_value(a)).alias(f"n_{a}") for a in AXES])
+    wanted = F.col(f"n_{channel}") > 0 if channel in AXES else sum((F.col(f"n_{a}") for a in AXES), F.lit(0)) > 0
+    return has.withColumn("channel", F.coalesce(F.when(wanted, F.lit(channel)), *[F.when(F.col(f"n_{a}") > 0, F.lit(a)) for a in ("az", "ay", "ax")]))
+
+
+def energy() -> Column:
+    """The value of the run's channel, or the magnitude over the axes that the run has (null where one of these is)."""
+    squares = [F.when(F.col(f"n_{a}") > 0, _value(a) * _value(a)).otherwise(F.lit(0.0)) for a in AXES]
+    return F.when(F.col("channel") == "magnitude", F.sqrt(sum(squares[1:], squares[0]))).otherwise(F.coalesce(*[F.when(F.col("channel") == a, _value(a)) for a in AXES]))
+
+
+def run_plan(samples: DataFrame, how: Detection, rates: DataFrame | None = None) -> DataFrame:
+    """A row for each run that can be searched: channel, fs_hz, samples of its window and hop, and their greatest
+    common divisor. ``rates``: run_id, fs_hz; runs without a rate there are left out."""
+    runs = _channels(samples, how.channel).where("channel IS NOT NULL")
+    runs = runs.withColumn("fs_hz", F.lit(float(how.fs_hz))) if rates is None else runs.join(rates.select("run_id", "fs_hz").where("fs_hz IS NOT NULL"), "run_id")
+    size = lambda seconds: F.greatest(F.lit(1), F.bround(F.col("fs_hz") * float(seconds))).cast("bigint")
+    runs = runs.withColumn("window", size(how.window_s)).withColumn("hop", size(how.hop_s))
+    pair = F.struct(F.col("window").alias("a"), F.col("hop").alias("b"))
+    euclid = F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, lambda x, _: F.when(x["b"] == 0, x).otherwise(F.struct(x["b"].alias("a"), (x["a"] % F.greatest(x["b"], F.lit(1))).alias("b"))))
+    return runs.withColumn("step", euclid["a"])
+
 
+def centred(samples: DataFrame, runs: DataFrame) -> DataFrame:
+    """run_id, i, x, and the columns of ``runs``: energy with gaps filled by the run's mean, less that mean."""
+    told = samples.join(runs, "run_id").withColumn("x", energy())
+    means = told.groupBy("run_id").agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("mean"))
+    return told.drop(*AXES).join(means, "run_id").withColumn("x", F.coalesce("x", "mean") - F.col("mean")).drop("mean")
 
-def centred(samples: DataFrame, channel: str = "az") -> DataFrame:
-    """run_id, i, x: energy with gaps filled by the run's mean, less that mean."""
-    x = energy(channel)
-    x = F.when(~F.isnan(x), x)
-    means = samples.groupBy("run_id").agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"))
-    return samples.select("run_id", "i", x.alias("x")).join(means, "run_id").select("run_id", "i", (F.coalesce("x", "mean") - F.col("mean")).alias("x"))
 
+def sliding_rms(samples: DataFrame, how: Detection, rates: DataFrame | None = None) -> DataFrame:
+    """run_id, k, t_s, rms on each run's own hop grid; only windows that lie within the run.
 
-def sliding_rms(samples: DataFrame, how: Detection) -> DataFrame:
-    """run_id, k, t_s, rms on the hop grid; only windows that lie within the run."""
-    window, hop = how.window, how.hop
-    step = gcd(window, hop)
-    sums = centred(samples, how.channel).groupBy("run_id", F.floor(F.col("i") / step).alias("b")).agg(F.sum(F.col("x") * F.col("x")).alias("e"), F.count("*").alias("n"))
-    frame = Window.partitionBy("run_id").orderBy("b").rowsBetween(0, window // step - 1)
-    grid = sums.select("run_id", "b", F.sum("e").over(frame).alias("e"), F.sum("n").over(frame).alias("n"))
-    whole = grid.where((F.col("n") == window) & (F.col("b") % (hop // step) == 0))
-    return whole.select("run_id", F.floor(F.col("b") / (hop // step)).alias("k"), ((F.col("b") * step + window // 2) / F.lit(float(how.fs_hz))).alias("t_s"), F.sqrt(F.col("e") / window).alias("rms"))
+    Samples are summed to buckets of the common divisor of window and hop; each bucket then counts in every window
+    that it lies in, so a run of any length and rate is sums by equal keys.
+    """
+    by = ["run_id", "window", "hop", "step", "fs_hz"]
+    rows = centred(samples, run_plan(samples, how, rates))
+    sums = rows.groupBy(*by, F.floor(F.col("i") / F.col("step")).alias("b")).agg(F.sum(F.col("x") * F.col("x")).alias("e"), F.count("*").alias("n"))
+    start = F.col("b") * F.col("step")
+    first = F.greatest(F.lit(0), F.ceil((start + F.col("step") - F.col("window")) / F.col("hop"))).cast("bigint")
+    last = F.floor(start / F.col("hop")).cast("bigint")
+    # a hop longer than the window leaves buckets that no window holds
+    inside = sums.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
+    grid = inside.groupBy(*by, "k").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).where("n = window")
+    middle = (F.col("k") * F.col("hop") + F.floor(F.col("window") / 2)) / F.col("fs_hz")
+    return grid.select("run_id", "k", middle.alias("t_s"), F.sqrt(F.col("e") / F.col("window")).alias("rms"))
 
 
 def scored(grid: DataFrame, how: Detection) -> DataFrame:
@@ -171,8 +206,10 @@ def merged(events: DataFrame, min_separation_s: float) -> DataFrame:
     return grouped.groupBy("run_id", "g").agg(peak.alias("t_event_s"), F.min("t_start_s").alias("t_start_s"), F.max("t_end_s").alias("t_end_s"), F.max("score").alias("score")).drop("g")
 
 
-def detected(samples: DataFrame, how: Detection) -> DataFrame:
-    found = merged(islands(scored(sliding_rms(samples, how), how)), how.min_separation_s)
+def detected(samples: DataFrame, how: Detection, rates: DataFrame | None = None) -> DataFrame:
+    """Events of all runs, each at its own rate (``rates``: run_id, fs_hz; ``how.fs_hz`` without) and by the channel
+    that it has."""
+    found = merged(islands(scored(sliding_rms(samples, how, rates), how)), how.min_separation_s)
     return found.where(F.lit(how.min_duration_s <= 0) | (F.col("t_end_s") - F.col("t_start_s") >= how.min_duration_s))
 
 
@@ -197,12 +234,13 @@ def carved(samples: DataFrame, events: DataFrame, pre_s: float, post_s: float, d
     return inside.withColumn("t_rel_s", F.col("time_s") - F.col("t_event_s")).drop("bucket", "w0", "w1")
 
 
-def window_index(waveforms: DataFrame, fs_hz: float, dataset: str = "recordings", machine: str = "mill", failure: str = "unknown", with_amplitude: bool = False) -> DataFrame:
+def window_index(waveforms: DataFrame, fs_hz: float | DataFrame, dataset: str = "recordings", machine: str = "mill", failure: str = "unknown", with_amplitude: bool = False) -> DataFrame:
     """One row for each window: its bounds, number of samples and the fixed columns of the index; its amplitude too,
-    in the same pass, if asked."""
+    in the same pass, if asked. ``fs_hz``: the rate of all runs, or a table run_id, fs_hz."""
     keys = ["incident_id", "run_id", "t_event_s", "t_start_s", "t_end_s", "score"]
     out = waveforms.groupBy(*keys).agg(F.min("time_s").alias("window_start_s"), F.max("time_s").alias("window_end_s"), F.count("*").alias("n_samples"), *([_amplitude()] if with_amplitude else []))
-    return out.withColumn("source_dataset", F.lit(dataset)).withColumn("machine_family", F.lit(machine)).withColumn("failure_family", F.lit(failure)).withColumn("fs_hz", F.lit(float(fs_hz)))
+    out = out.withColumn("source_dataset", F.lit(dataset)).withColumn("machine_family", F.lit(machine)).withColumn("failure_family", F.lit(failure))
+    return out.join(fs_hz.select("run_id", "fs_hz"), "run_id", "left") if isinstance(fs_hz, DataFrame) else out.withColumn("fs_hz", F.lit(float(fs_hz)))
 
 
 def with_spans(index: DataFrame, pad_s: float = 0.5, most: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.scalars import number, severity, stable_hash
 from ..operators import timeseries as ts
 from ..operators.contracts import renamed
 from ..sources import readers, sinks
+from ..sources.shared import new_path, saved
 
 FS = 100.0
 HOW = ts.Detection(fs_hz=FS, window_s=0.5, hop_s=0.1, method="quantile", threshold=0.8, baseline_s=5.0, min_separation_s=1.0, min_duration_s=0.1)
@@ -27,18 +28,65 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, method: str = "quantile", threshold: float = 0.8) -> DataFrame:
     how = ts.Detection(**{**HOW.__dict__, "method": method, "threshold": threshold})
-    return ts.detected(samples(spark, sf_dir), how)
+    return ts.detected(saved(samples(spark, sf_dir), "samples"), how)
 
 
 def carved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples(spark, sf_dir)
-    return ts.carved(rows, ts.detected(rows, HOW), PRE, POST)
+    """Samples are numbered once, for the search of events and for the windows around them."""
+    rows = saved(samples(spark, sf_dir), "samples")
+    return ts.carved(rows, saved(ts.detected(rows, HOW), "events"), PRE, POST)
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.with_spans(ts.window_index(carved(spark, sf_dir), FS))
 
 
+#: Where runs differ in rate, steps of the grid fall beside these borders, however a rate is rounded.
+MIXED = ts.Detection(**{**HOW.__dict__, "min_separation_s": 0.95, "min_duration_s": 0.15})
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of runs at different rates, some of which lack axes."""
+    rows = samples(spark, sf_dir).withColumn("time_s", F.col("i") / (F.lit(FS) + 10 * F.length("run_id")))
+    return rows.withColumn("az", F.when(F.col("run_id") != "click", F.col("az"))).withColumn("ax", F.when(~F.col("run_id").isin("click", "view"), F.col("ax")))
+
+
+def events_mixed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run at its own estimated rate, by the channel that it has."""
+    rows = saved(mixed(spark, sf_dir), "samples")
+    rates = ts.chosen_rate(ts.median_rate(rows).withColumnRenamed("fs_hz", "median_fs").withColumn("meta_fs", F.lit(None).cast("double")))
+    return rounded(ts.detected(rows, MIXED, saved(rates, "rates")))
+
+
+def magnitude_of_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The magnitude over the axes that a run has."""
+    return rounded(ts.sliding_rms(saved(mixed(spark, sf_dir), "samples"), ts.Detection(**{**HOW.__dict__, "channel": "magnitude"})))
+
+
+def csv_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings written as CSV, a file for each run, and read again."""
+    path = new_path(spark, "csv-runs")
+    rows = samples(spark, sf_dir).select("i", "az", F.col("run_id").alias("run"), F.lit("good").alias("quality"))
+    rows.repartition("run").sortWithinPartitions("run", "i").select("az", "run", "quality").write.partitionBy("run", "quality").option("header", True).csv(path)
+    back = readers.read_runs(spark, path, "az double")
+    return rounded(back.select(F.regexp_extract("run_id", "run=([^/]+)/", 1).alias("run"), F.regexp_extract("run_id", "/quality=([^/]+)/", 1).alias("quality"), "i", "az"))
+
+
+def waveform_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows written as waveforms and read again."""
+    path = new_path(spark, "waveforms")
+    sinks.write_waveforms(carved(spark, sf_dir).withColumn("source_dataset", F.lit("recordings")), path)
+    back = spark.read.parquet(path)
+    return rounded(back.groupBy("source_dataset", "incident_id").agg(F.count("*").alias("n"), F.min("t_rel_s").alias("from_s"), F.max("t_rel_s").alias("to_s"), F.sum("az").alias("sum_az")))
+
+
+def incremental_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose last sample is newer than what was built of them."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("incident_id")).agg(F.max("ts").alias("stamp"))
+    built = rows.where("incident_id <> 'view'").withColumn("stamp", F.when(F.col("incident_id") == "click", F.col("stamp") - F.expr("INTERVAL 1 SECOND")).otherwise(F.col("stamp")))
+    return sinks.not_yet_built(rows, built, stamp="stamp").select("incident_id")
+
+
 def samples_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(samples(spark, sf_dir))
 
@@ -131,7 +179,7 @@ def with_severity(amplitudes: DataFrame) -> DataFrame:
 
 
 def incident_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(with_severity(ts.amplitudes(carved(spark, sf_dir)).persist()))  # a row for each incident, used twice
+    return rounded(with_severity(saved(ts.amplitudes(carved(spark, sf_dir)), "amplitudes")))
 
 
 def incident_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,14 +237,31 @@ stat AS (SELECT l.run_id, k, t_s, (rms - med) / CASE WHEN (med - q10) / 1.2816::
 }
 
 
-def events_cte(method: str = "quantile") -> str:
-    return f"""{_rms()},
-{_STAT[method]},
+_MIXED = f"""{NORM},
+mixed AS (SELECT run_id, i, 100 + 10 * length(run_id) AS fs, CASE WHEN run_id NOT IN ('click', 'view') THEN ax END AS ax, ay, CASE WHEN run_id <> 'click' THEN az END AS az FROM norm)"""
+
+
+def _windowed(x: str, fs: str) -> str:
+    """The grid of each run by lists: the squares of its samples, and sums of slices of them."""
+    return f"""{_MIXED},
+vals AS (SELECT run_id, i, {fs}::DOUBLE AS fs, {x} AS v FROM mixed),
+lists AS (SELECT run_id, any_value(fs) AS fs, round(any_value(fs) * 0.5::DOUBLE)::BIGINT AS w, round(any_value(fs) * 0.1::DOUBLE)::BIGINT AS h, list((v - m) * (v - m) ORDER BY i) AS xs FROM vals JOIN (SELECT run_id, avg(v) AS m FROM vals GROUP BY run_id) USING (run_id) GROUP BY run_id),
+ks AS (SELECT *, unnest(range(0, greatest((len(xs) - w) // h + 1, 0))) AS k FROM lists),
+grid AS (SELECT run_id, k, (k * h + w // 2) / fs AS t_s, sqrt(list_sum(xs[k * h + 1 : k * h + w]) / w) AS rms FROM ks)"""
+
+
+def _found(grid: str, stat: str, apart: float, least: float) -> str:
+    return f"""{grid},
+{stat},
 over_thr AS (SELECT *, k - row_number() OVER (PARTITION BY run_id ORDER BY k) AS isl FROM stat WHERE stat > thr),
 ev0 AS (SELECT run_id, first(t_s ORDER BY stat DESC, k) AS t_event_s, min(t_s) AS t_start_s, max(t_s) AS t_end_s, max(stat) AS score FROM over_thr GROUP BY run_id, isl),
 ev1 AS (SELECT *, max(t_end_s) OVER (PARTITION BY run_id ORDER BY t_start_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM ev0),
-ev2 AS (SELECT *, sum(CASE WHEN prev_end IS NULL OR t_start_s - prev_end >= 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY t_start_s) AS g FROM ev1),
-ev AS (SELECT * FROM (SELECT run_id, first(t_event_s ORDER BY score DESC, t_start_s) AS t_event_s, min(t_start_s) AS t_start_s, max(t_end_s) AS t_end_s, max(score) AS score FROM ev2 GROUP BY run_id, g) WHERE t_end_s - t_start_s >= 0.1::DOUBLE)"""
+ev2 AS (SELECT *, sum(CASE WHEN prev_end IS NULL OR t_start_s - prev_end >= {apart} THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY t_start_s) AS g FROM ev1),
+ev AS (SELECT * FROM (SELECT run_id, first(t_event_s ORDER BY score DESC, t_start_s) AS t_event_s, min(t_start_s) AS t_start_s, max(t_end_s) AS t_end_s, max(score) AS score FROM ev2 GROUP BY run_id, g) WHERE t_end_s - t_start_s >= {least}::DOUBLE)"""
+
+
+def events_cte(method: str = "quantile") -> str:
+    return _found(_rms(), _STAT[method], 1.0, 0.1)
 
 
 CARVED = f"""{events_cte()},
@@ -209,6 +274,7 @@ amp AS (SELECT incident_id, round(coalesce(max(abs(az - m)), 0), 9) AS amplitude
 sev AS (SELECT incident_id, amplitude, CASE WHEN amplitude <= lo THEN 'low' WHEN amplitude <= hi THEN 'med' ELSE 'high' END AS severity_label FROM amp, (SELECT quantile_cont(amplitude, 1/3::DOUBLE) AS lo, quantile_cont(amplitude, 2/3::DOUBLE) AS hi FROM amp))"""
 
 _EV = "SELECT run_id, round(t_event_s, 6) AS t_event_s, round(t_start_s, 6) AS t_start_s, round(t_end_s, 6) AS t_end_s, round(score, 6) AS score FROM ev"
+_OWN_CHANNEL = "CASE WHEN run_id = 'click' THEN ay ELSE az END"
 _ARRAYS = "arr AS (SELECT vec_id::VARCHAR AS run_id, u AS i, embedding[u * 3 + 1]::DOUBLE AS ax, embedding[u * 3 + 2]::DOUBLE AS ay, embedding[u * 3 + 3]::DOUBLE AS az FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 3)) AS u FROM embeddings))"
 
 SQL = {
@@ -220,6 +286,11 @@ SQL = {
     "resample_linear": f"WITH {NORM}, r AS (SELECT run_id, count(*) AS n, greatest(2, round_even((max(time_s) - min(time_s)) * 40, 0))::BIGINT AS m FROM norm GROUP BY run_id), g AS (SELECT run_id, n, unnest(range(m)) AS k FROM r), p AS (SELECT run_id, k, least(floor(k * 2.5::DOUBLE)::BIGINT, n - 1) AS lo, least(floor(k * 2.5::DOUBLE)::BIGINT + 1, n - 1) AS hi, k * 2.5::DOUBLE AS pos FROM g) SELECT p.run_id, p.k AS i, round(p.k / 40::DOUBLE, 6) AS time_s, round(a.ax + (pos - lo) * (b.ax - a.ax), 6) AS ax, round(a.ay + (pos - lo) * (b.ay - a.ay), 6) AS ay, round(a.az + (pos - lo) * (b.az - a.az), 6) AS az FROM p JOIN norm a ON a.run_id = p.run_id AND a.i = lo JOIN norm b ON b.run_id = p.run_id AND b.i = hi",
     "resample_uneven": f"WITH {NORM}, u AS (SELECT run_id, i, i / 100::DOUBLE + (i % 3) / 1000::DOUBLE AS t, ax, ay, az FROM norm), s AS (SELECT *, lead(t) OVER w AS t2, lead(ax) OVER w AS ax2, lead(ay) OVER w AS ay2, lead(az) OVER w AS az2 FROM u WINDOW w AS (PARTITION BY run_id ORDER BY t)), r AS (SELECT run_id, min(t) AS t0, greatest(2, round_even((max(t) - min(t)) * 40, 0))::BIGINT AS m FROM u GROUP BY run_id), g AS (SELECT run_id, k, t0 + k / 40::DOUBLE AS at FROM (SELECT run_id, t0, unnest(range(m)) AS k FROM r)) SELECT g.run_id, g.k AS i, round(g.at, 6) AS time_s, round(s.ax + coalesce((g.at - s.t) / (s.t2 - s.t) * (s.ax2 - s.ax), 0), 6) AS ax, round(s.ay + coalesce((g.at - s.t) / (s.t2 - s.t) * (s.ay2 - s.ay), 0), 6) AS ay, round(s.az + coalesce((g.at - s.t) / (s.t2 - s.t) * (s.az2 - s.az), 0), 6) AS az FROM g ASOF JOIN s ON g.run_id = s.run_id AND g.at >= s.t",
     "quality_folder": "SELECT p_partkey, [NULL, 'good', 'bad', 'ok', 'nok', NULL][(p_size % 5) + 2] AS quality FROM part",
+    "events_mixed_rates": f"WITH {_found(_windowed(_OWN_CHANNEL, 'fs'), _STAT['quantile'], 0.95, 0.15)} {_EV}",
+    "magnitude_of_axes": f"WITH {_windowed('sqrt(coalesce(ax * ax, 0) + coalesce(ay * ay, 0) + coalesce(az * az, 0))', '100')} SELECT run_id, k, round(t_s, 6) AS t_s, round(rms, 6) AS rms FROM grid",
+    "csv_runs": f"WITH {NORM} SELECT run_id AS run, 'good' AS quality, i, round(az, 6) AS az FROM norm",
+    "waveform_table": f"WITH {CARVED} SELECT 'recordings' AS source_dataset, incident_id, count(*) AS n, round(min(t_rel_s), 6) AS from_s, round(max(t_rel_s), 6) AS to_s, round(sum(az), 6) AS sum_az FROM wave GROUP BY 2",
+    "incremental_stamp": "SELECT DISTINCT event_type AS incident_id FROM events WHERE event_type IN ('click', 'view')",
     "sliding_rms": f"WITH {_rms()} SELECT run_id, k, round(t_s, 6) AS t_s, round(rms, 6) AS rms FROM grid",
     "magnitude_rms": f"WITH {_rms('sqrt(ax * ax + ay * ay + az * az)')} SELECT run_id, k, round(t_s, 6) AS t_s, round(rms, 6) AS rms FROM grid",
     "events_quantile": f"WITH {events_cte()} {_EV}",

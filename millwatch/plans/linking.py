@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import contracts, matching, quality, splits
 from ..operators import timeseries as ts
+from ..sources import readers, sinks
+from ..sources.shared import new_path, saved
 from . import detection, texts
 from .detection import rounded
 
 SEED = 13
 POOLS = {0: "STANDARD", 1: "ECONOMY", 2: "PROMO", 3: "LARGE", 4: "SMALL", 5: "MEDIUM", 6: "MISSING"}
 FAMILY_TOPICS = {"click": ["legal", "token"], "error": ["german"], "purchase": ["legal"], "signup": ["spanish", "token"], "view": []}
+REFERRED = ("orders", "customer", "clips", "part", "chunks", "nation", "windows")
 STATUS, PRIORITY = ("O", "F"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 
 
@@ -67,7 +70,7 @@ def clip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = _probes(spark, sf_dir).select("video_file")
     nations = _read(spark, sf_dir, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".mp4")).alias("video_file"), F.lit(None).cast("string").alias("clip"), F.col("n_name").alias("regime"), F.col("n_nationkey").cast("long").alias("seq"))
-    parts = _read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("elsewhere/"), F.col("p_partkey").cast("string"), F.lit(".mp4")).alias("video_file"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).alias("clip"), F.col("p_type").alias("regime"), (F.col("p_partkey") + 1000).cast("long").alias("seq"))
+    parts = _read(spark, sf_dir, "part").select(F.concat(F.lit("elsewhere/"), F.when(F.col("p_partkey") % 3 != 0, "none/x").otherwise(""), F.col("p_partkey").cast("string"), F.lit(".mp4")).alias("video_file"), F.when(F.col("p_partkey") % 6 == 0, F.col("p_partkey").cast("string")).alias("clip"), F.col("p_type").alias("regime"), (F.col("p_partkey") + 1000).cast("long").alias("seq"))
     found = matching.tagged(clips, nations.unionByName(parts), "seq")
     return found.select("video_file", F.coalesce("tag.regime", F.lit("unknown")).alias("regime"), F.col("tag.seq").alias("seq"))
 
@@ -90,17 +93,16 @@ def video_match_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def video_match_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = _clips(spark, sf_dir).where("duration_s <= 20")
-    return matching.matched_once(_asking(spark, sf_dir), few, SEED, idle="SMALL").select("incident_id", "video_file", "alignment_method")
+    return matching.matched_once(_asking(spark, sf_dir), _clips(spark, sf_dir), SEED, idle="SMALL").select("incident_id", "video_file", "alignment_method")
 
 
-def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _best(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
     families = _read(spark, sf_dir, "events").select(F.col("event_type").alias("failure_family"))
-    return matching.retrieved(families, texts.chunks(spark, sf_dir), FAMILY_TOPICS, 3)
+    return matching.retrieved(families, chunks, FAMILY_TOPICS, 3)
 
 
 def topic_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(spark, sf_dir).select("failure_family", "doc_type", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+    return _best(spark, sf_dir, texts.chunks(spark, sf_dir)).select("failure_family", "doc_type", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
 def split_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,21 +118,61 @@ def split_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups in several splits: of a split by groups, and of one by rows."""
     orders = _read(spark, sf_dir, "orders")
-    rows = orders.join(splits.prefix(orders, "o_custkey"), "o_custkey")
-    return splits.leaks(rows, "o_custkey").agg(F.count("*").alias("n_leaking_groups"))
+    sides = {"by_group": orders.join(splits.prefix(orders, "o_custkey"), "o_custkey"), "by_row": orders.withColumn("split", F.col("o_orderpriority"))}
+    parts = [splits.leaks(rows, "o_custkey").agg(F.count("*").alias("n_leaking_groups")).withColumn("side", F.lit(side)) for side, rows in sides.items()]
+    return parts[0].unionByName(parts[1])
 
 
-def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incidents of the recordings; a run is a dataset and a failure family here."""
-    index = ts.with_spans(ts.window_index(detection.carved(spark, sf_dir), detection.FS, with_amplitude=True)).persist()  # a row for each incident, used five times
+def split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of each split for fractions other than the usual."""
+    return splits.prefix(_read(spark, sf_dir, "orders"), "o_custkey", {"train": 0.5, "val": 0.3, "test": 0.2}).groupBy("split").agg(F.count("*").alias("n_groups"))
+
+
+def _waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of all windows, carved once."""
+    return saved(detection.carved(spark, sf_dir), "waveforms")
+
+
+def _index(waveforms: DataFrame) -> DataFrame:
+    """The window index with amplitudes; a run is a dataset and a failure family here."""
+    index = ts.with_spans(ts.window_index(waveforms, detection.FS, with_amplitude=True))
     index = index.withColumn("source_dataset", F.col("run_id")).withColumn("failure_family", F.col("run_id"))
-    index = index.withColumn("regime_label", F.element_at(F.create_map(F.lit("click"), F.lit("LARGE"), F.lit("view"), F.lit("MISSING")), F.col("run_id")))
+    return index.withColumn("regime_label", F.element_at(F.create_map(F.lit("click"), F.lit("LARGE"), F.lit("view"), F.lit("MISSING")), F.col("run_id")))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without their texts, cut once."""
+    return saved(texts.chunks(spark, sf_dir).drop("text"), "chunks")
+
+
+def incidents(spark: SparkSession, sf_dir: str, chunks: DataFrame | None = None, waveforms: DataFrame | None = None) -> DataFrame:
+    """Incidents of the recordings, written once."""
+    index = saved(_index(_waveforms(spark, sf_dir) if waveforms is None else waveforms), "window-index")
     labels = detection.with_severity(index.select("incident_id", "amplitude")).select("incident_id", "severity_label")
     clips = _clips(spark, sf_dir)
     matched = matching.matched_clips(index.select("incident_id", "regime_label"), clips, SEED, idle="SMALL").select("incident_id", "video_file", "alignment_method")
     matched = matched.join(clips.select("video_file", "video_fps", "duration_s"), "video_file", "left")
-    return matching.assembled(index.drop("amplitude"), labels, matched, _best(spark, sf_dir), splits.greedy(index, "source_dataset"))
+    best = saved(_best(spark, sf_dir, _chunks(spark, sf_dir) if chunks is None else chunks), "best-chunks")
+    return saved(matching.assembled(index.drop("amplitude"), labels, matched, best, splits.greedy(index, "source_dataset")), "incidents")
+
+
+def incident_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the incidents break of their contract: the regimes of these tables aren't those in use."""
+    told = contracts.with_violations(incidents(spark, sf_dir), contracts.incident_rules())
+    return told.select("incident_id", F.array_join("violations", ",").alias("violations"))
+
+
+def assembly_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.assembly_notes(incidents(spark, sf_dir), least=2)
+
+
+def clip_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips seen, written and left out for having no duration, and how many have one out of bounds."""
+    rows = _probes(spark, sf_dir).withColumn("clip", sc.probe(F.col("document")))
+    told = contracts.with_violations(rows, {"duration": F.col("clip.duration_s") > 1.5})
+    return contracts.counters(told, duration_flagged=~F.col("clip.duration_s").between(5.0, 30.0))
 
 
 def assemble_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,14 +189,29 @@ def quality_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a row for each incident, aggregated five ways
-    waveforms = detection.carved(spark, sf_dir).select(F.col("run_id").alias("source_dataset"), "incident_id")
-    return quality.measures(incidents(spark, sf_dir).persist(), _clips(spark, sf_dir), texts.chunks(spark, sf_dir).select("chunk_id", "n_tokens"), detection.PRE, detection.POST, waveforms)
+    chunks, waveforms = _chunks(spark, sf_dir), _waveforms(spark, sf_dir)
+    built = incidents(spark, sf_dir, chunks, waveforms)
+    waveforms = waveforms.select(F.col("run_id").alias("source_dataset"), "incident_id")
+    return saved(quality.measures(built, _clips(spark, sf_dir), chunks.select("chunk_id", "n_tokens"), detection.PRE, detection.POST, waveforms), "measures")
 
 
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The measures that the SQL lists; the three that it doesn't count in the violations and the grade."""
-    return rounded(_measures(spark, sf_dir).where(~F.col("metric").isin("pct_missing_sensor_file", "pct_missing_video_file", "pct_malformed_json")))
+    return rounded(_measures(spark, sf_dir))
+
+
+def hard_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven gates over incidents with lost files, broken lists, spans out of order, repeated ids and odd rates."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    rows = _read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("inc_"), (k - k % 2).cast("string")).alias("incident_id"), F.col("o_orderstatus").alias("source_dataset"), F.lit("unknown").alias("failure_family"), F.lit(0.0).alias("window_start_s"), F.lit(5.0).alias("window_end_s"),
+        F.when(k % 50 == 0, 5.0).otherwise(100.0).alias("fs_hz"), F.concat(F.lit("w/"), c).alias("sensor_file"), F.when(k % 3 == 0, F.concat(F.lit("v/"), c)).alias("video_file"), F.lit("none").alias("alignment_method"),
+        F.when(k % 10 == 0, '["k1').when(k % 10 != 1, '["k1","k2"]').alias("sop_chunk_ids"), F.lit("[]").alias("maintenance_chunk_ids"), F.when(k % 8 == 0, '[{"start_s":2.0,"end_s":1.0}]').otherwise('[{"start_s":-1.0,"end_s":1.0}]').alias("sensor_relevant_spans"),
+    )
+    customers = _read(spark, sf_dir, "customer")
+    there = lambda kind, n: customers.where(F.col("c_custkey") % n != 0).select(F.concat(F.lit(kind), F.col("c_custkey").cast("string")).alias("path"))
+    chunks = customers.select(F.when(F.col("c_custkey") % 2 == 1, "k1").otherwise("other").alias("chunk_id"), F.lit(1).cast("long").alias("n_tokens")).distinct()
+    metrics = quality.measures(saved(rows, "gated"), _clips(spark, sf_dir), chunks, detection.PRE, detection.POST, files=there("w/", 5).unionByName(there("v/", 7)))
+    return rounded(quality.violations(metrics).where(F.col("metric").isin(*quality.HARD)).select("metric", "value", "level"))
 
 
 def quality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +229,8 @@ def span_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dangling_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = texts.chunks(spark, sf_dir).where("n_tokens < 175")
-    found = matching.dangling(incidents(spark, sf_dir), known)
+    chunks = _chunks(spark, sf_dir)
+    found = matching.dangling(incidents(spark, sf_dir, chunks), chunks.where("n_tokens < 175"))
     return found.groupBy("chunk_id").agg(F.count("*").alias("n"))
 
 
@@ -189,11 +246,48 @@ def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.readers import files_below
-
-    asked = _read(spark, sf_dir, "region").select(F.concat(F.col("r_name"), F.lit(".parquet")).alias("path")).unionByName(spark.createDataFrame([("region.parquet",), ("nation.parquet",), (None,)], "path string"))
-    there = files_below(spark, sf_dir, "*.parquet").select(F.substring_index("path", "/", -1).alias("path"))
-    return matching.missing(asked, there)
+    """What orders refer to and isn't among the files, and how often."""
+    name = F.element_at(F.array(*map(F.lit, REFERRED)), (F.col("o_orderkey") % len(REFERRED) + 1).cast("int"))
+    asked = _read(spark, sf_dir, "orders").select(F.concat(name, F.lit(".parquet")).alias("path"))
+    there = readers.files_below(spark, sf_dir, "*.parquet").select(F.substring_index("path", "/", 1).alias("path")).distinct()
+    return matching.missing(asked, there).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as a file for each source and read again as documents."""
+    path = new_path(spark, "document-files")
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.length("text").cast("string")).alias("line"))
+    rows.repartition("source").sortWithinPartitions("source", "doc_id").select("line", "source").write.partitionBy("source").text(path)
+    back = readers.read_documents(spark, path)
+    sound = F.col("doc_id") == sc.document_id(F.col("path"))
+    return back.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.md5(F.regexp_replace("text", "\n$", "")).alias("text_md5"), sound.alias("sound_id"))
+
+
+def tag_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags written as CSV, read again and counted, beside the empty table that stands for no tags."""
+    path = new_path(spark, "tags")
+    _read(spark, sf_dir, "part").select(F.col("p_name").alias("video_file"), F.col("p_type").alias("regime"), F.lit("normal").alias("condition"), F.col("p_brand").alias("source")).write.option("header", True).csv(path)
+    told = readers.read_tags(spark, path).unionByName(readers.read_tags(spark, None))
+    return told.groupBy("regime", "condition").agg(F.count("*").alias("n"), F.count_distinct("video_file").alias("n_files"))
+
+
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written, read again with its lists as JSON text, one only rehearsed, and one that isn't there."""
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("incident_id"), F.array("p_brand", "p_type").alias("sop_chunk_ids"))
+    path, dry = new_path(spark, "index"), new_path(spark, "index")
+    sinks.write_index(rows, path)
+    sinks.write_index(rows, dry, dry_run=True)
+    schema = "incident_id string, sop_chunk_ids string"
+    parts = [readers.read_index(spark, p, schema).withColumn("side", F.lit(side)) for side, p in (("written", path), ("dry", dry))]
+    return parts[0].unionByName(parts[1])
+
+
+def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures written as a report and read again."""
+    path = new_path(spark, "report")
+    row = quality.balance(_read(spark, sf_dir, "orders"), "o_orderpriority", "4-NOT SPECIFIED")
+    sinks.write_report(quality.long_form(row), path)
+    return rounded(spark.read.schema("metric string, value double").json(path))
 
 
 def _bucket(name: str, n: str) -> str:
@@ -231,18 +325,19 @@ avg((sop_chunk_ids <> '' AND maintenance_chunk_ids <> '')::INT) AS pct_with_sop_
 (count(*) - count(DISTINCT incident_id)) / count(*)::DOUBLE AS pct_duplicate_incident_id, avg((end_s < start_s)::INT) AS pct_bad_span, avg(least((end_s - start_s) / (window_end_s - window_start_s), 1)) AS mean_sensor_span_frac, 1.0::DOUBLE AS mean_sensor_span_count, 1.0::DOUBLE AS pct_with_sensor_span, avg((start_s <= 0 AND end_s >= 0)::INT) AS pct_event_near_zero, avg((abs(window_end_s - window_start_s - 5) > 1)::INT) AS pct_window_len_mismatch, 0.0::DOUBLE AS fs_hz_plausible_violations, avg((alignment_method = 'label_match')::INT) AS pct_label_match_alignment FROM inc),
 two AS (SELECT max(n / total::DOUBLE) AS dominant_class_share, 0.0::DOUBLE AS pct_unknown_failure, CASE WHEN max(classes) > 1 THEN -sum(n / total::DOUBLE * ln(n / total::DOUBLE)) / ln(max(classes)) ELSE 0 END AS entropy_failure FROM fam),
 three AS (SELECT coalesce(avg((c.chunk_id IS NULL)::INT), 0) AS pct_dangling_chunk_id FROM named LEFT JOIN chunks c USING (chunk_id)),
+gates AS (SELECT avg((incident_id NOT IN (SELECT incident_id FROM wave))::INT) AS pct_missing_sensor_file, coalesce(avg((video_file NOT IN (SELECT video_file FROM clips))::INT), 0) AS pct_missing_video_file, 0.0::DOUBLE AS pct_malformed_json FROM inc),
 four AS (SELECT count(*)::DOUBLE AS n_video_clips FROM clips), five AS (SELECT sum(n_tokens) / 500::DOUBLE AS text_pages_equiv FROM chunks),
-metrics AS (UNPIVOT (SELECT one.*, two.*, three.*, four.*, five.* FROM one, two, three, four, five) ON COLUMNS(*) INTO NAME metric VALUE value)"""
+metrics AS (UNPIVOT (SELECT one.*, two.*, three.*, gates.*, four.*, five.* FROM one, two, three, gates, four, five) ON COLUMNS(*) INTO NAME metric VALUE value)"""
 
 
 def _missed(k: int) -> str:
     rows = [(m, "=", 0.0, "FAIL") for m in quality.HARD] + [(t[0], t[1], t[k], t[4]) for t in quality.TARGETS] + [("n_incidents", ">=", 1.0, "FAIL")]
-    return f"{_METRICS}, targets AS (SELECT * FROM (VALUES {', '.join(f'({m!r}, {o!r}, {t}::DOUBLE, {lv!r})' for m, o, t, lv in rows)}) v(metric, op, target, level)), missed AS (SELECT metric, value, op, target, level FROM metrics JOIN targets USING (metric) WHERE CASE op WHEN '=' THEN value <> target WHEN '>=' THEN value < target ELSE value > target END)"
+    return f"{_METRICS}, targets AS (SELECT * FROM (VALUES {', '.join(f'({m!r}, {o!r}, {t}::DOUBLE, {lv!r})' for m, o, t, lv in rows)}) v(metric, op, target, level)), missed AS (SELECT metric, value, op, target, level FROM targets LEFT JOIN metrics USING (metric) WHERE value IS NULL OR CASE op WHEN '=' THEN value <> target WHEN '>=' THEN value < target ELSE value > target END)"
 
 
 _EDGES = [sum(list(splits.FRACTIONS.values())[: i + 1]) for i in range(3)]
 _RULES = f"list_filter([CASE WHEN NOT o_orderstatus IN {STATUS!r} THEN 'status' END, CASE WHEN o_totalprice < 1000 THEN 'price' END, CASE WHEN NOT o_orderpriority IN {PRIORITY!r} THEN 'priority' END], lambda x: x IS NOT NULL)"
-_TAG_KEYS = "tags AS (SELECT n_nationkey || '.mp4' AS video_file, NULL::VARCHAR AS clip, n_name AS regime, n_nationkey::BIGINT AS seq FROM nation UNION ALL SELECT 'elsewhere/' || p_partkey || '.mp4', CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR END, p_type, p_partkey + 1000 FROM part WHERE p_partkey % 3 = 0), keys AS (SELECT key, arg_max(regime, seq) AS regime, max(seq) AS seq FROM (SELECT unnest([video_file, regexp_extract(video_file, '[^/]*$'), clip]) AS key, regime, seq FROM tags) WHERE key IS NOT NULL GROUP BY key)"
+_TAG_KEYS = "tags AS (SELECT n_nationkey || '.mp4' AS video_file, NULL::VARCHAR AS clip, n_name AS regime, n_nationkey::BIGINT AS seq FROM nation UNION ALL SELECT 'elsewhere/' || CASE WHEN p_partkey % 3 <> 0 THEN 'none/x' ELSE '' END || p_partkey || '.mp4', CASE WHEN p_partkey % 6 = 0 THEN p_partkey::VARCHAR END, p_type, p_partkey + 1000 FROM part), keys AS (SELECT key, arg_max(regime, seq) AS regime, max(seq) AS seq FROM (SELECT unnest([video_file, regexp_extract(video_file, '[^/]*$'), clip]) AS key, regime, seq FROM tags) WHERE key IS NOT NULL GROUP BY key)"
 
 SQL = {
     "row_contract": f"SELECT o_orderkey, array_to_string({_RULES}, ',') AS violations FROM orders",
@@ -254,7 +349,7 @@ SELECT p_partkey, 'vid_' || substr(sha1(concat_ws(chr(31), 'part', f)), 1, 12) A
     "tag_lookup": f"WITH {_TAG_KEYS}, c AS (SELECT 'clips/' || p_brand || '/' || p_partkey || '.mp4' AS video_file, p_partkey FROM part) SELECT c.video_file, coalesce(b.regime, s.regime, 'unknown') AS regime, coalesce(b.seq, s.seq) AS seq FROM c LEFT JOIN keys b ON b.key = c.p_partkey || '.mp4' LEFT JOIN keys s ON s.key = c.p_partkey::VARCHAR",
     "video_match_reuse": f"WITH {_CLIPS}, {_RANKED}, {_ASKING}, {_OWN}, {_MATCHED} SELECT incident_id, video_file, alignment_method FROM matched",
     "video_match_strict": f"WITH {_CLIPS}, {_RANKED}, {_ASKING}, {_OWN} SELECT incident_id, video_file, CASE WHEN video_file IS NULL THEN 'none' ELSE 'label_match' END AS alignment_method FROM own",
-    "video_match_once": f"""WITH {_CLIPS.replace('FROM part)', 'FROM part WHERE p_size <= 20)')}, {_RANKED}, {_ASKING}, placed AS (SELECT *, md5('{SEED}|' || incident_id) AS h, row_number() OVER (PARTITION BY regime_label ORDER BY md5('{SEED}|' || incident_id), incident_id) - 1 AS place FROM asking),
+    "video_match_once": f"""WITH {_CLIPS}, {_RANKED}, {_ASKING}, placed AS (SELECT *, md5('{SEED}|' || incident_id) AS h, row_number() OVER (PARTITION BY regime_label ORDER BY md5('{SEED}|' || incident_id), incident_id) - 1 AS place FROM asking),
 first AS (SELECT p.*, r.video_file FROM placed p LEFT JOIN ranked r ON r.regime_label = p.regime_label AND r.place = p.place AND p.regime_label <> 'SMALL'),
 rest AS (SELECT incident_id, regime_label, row_number() OVER (ORDER BY h, incident_id) - 1 AS place FROM first WHERE video_file IS NULL)
 SELECT incident_id, video_file, 'label_match' AS alignment_method FROM first WHERE video_file IS NOT NULL UNION ALL SELECT t.incident_id, i.video_file, CASE WHEN i.video_file IS NULL THEN 'none' WHEN t.regime_label = 'SMALL' THEN 'label_match' ELSE 'idle_fallback' END FROM rest t LEFT JOIN ranked i ON i.regime_label = 'SMALL' AND i.place = t.place""",
@@ -262,7 +357,19 @@ SELECT incident_id, video_file, 'label_match' AS alignment_method FROM first WHE
     "split_greedy": f"WITH RECURSIVE {_greedy('customer', 'c_nationkey')} SELECT g AS c_nationkey, split FROM split_of",
     "split_greedy_sources": f"WITH RECURSIVE {_greedy('documents', 'source')} SELECT g AS source, split FROM split_of",
     "split_prefix": f"WITH s AS (SELECT o_custkey, count(*) AS n, md5('42|' || o_custkey) AS h FROM orders GROUP BY 1), m AS (SELECT o_custkey, (sum(n) OVER (ORDER BY h, o_custkey) - n / 2::DOUBLE) / sum(n) OVER () AS x FROM s) SELECT o_custkey, CASE WHEN x < {_EDGES[0]!r}::DOUBLE THEN 'train' WHEN x < {_EDGES[1]!r}::DOUBLE THEN 'val' WHEN x < {_EDGES[2]!r}::DOUBLE THEN 'test' ELSE 'human_eval' END AS split FROM m",
-    "split_leakage": "SELECT 0::BIGINT AS n_leaking_groups",
+    "split_leakage": "SELECT 'by_group' AS side, 0::BIGINT AS n_leaking_groups UNION ALL SELECT 'by_row', count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1)",
+    "split_shares": "WITH s AS (SELECT o_custkey, count(*) AS n, md5('42|' || o_custkey) AS h FROM orders GROUP BY 1), m AS (SELECT o_custkey, (sum(n) OVER (ORDER BY h, o_custkey) - n / 2::DOUBLE) / sum(n) OVER () AS x FROM s) SELECT CASE WHEN x < 0.5 THEN 'train' WHEN x < 0.8 THEN 'val' ELSE 'test' END AS split, count(*) AS n_groups FROM m GROUP BY 1",
+    "incident_contract": f"WITH RECURSIVE {_INCIDENTS} SELECT incident_id, concat_ws(',', CASE WHEN regime_label <> 'unknown' THEN 'regime' END, CASE WHEN end_s < start_s THEN 'sensor_spans' END) AS violations FROM inc",
+    "assembly_notes": f"WITH RECURSIVE {_INCIDENTS} SELECT count(*) AS written, count(*) FILTER (video_file IS NULL) AS no_video, count(*) FILTER (len(list_filter(string_split(sop_chunk_ids, ','), lambda x: x <> '')) < 2 OR len(list_filter(string_split(maintenance_chunk_ids, ','), lambda x: x <> '')) < 2) AS short_text, count(DISTINCT source_dataset) AS split_groups FROM inc",
+    "clip_notes": "WITH d AS (SELECT CASE WHEN p_size % 11 = 0 THEN 1 WHEN p_size % 5 = 0 THEN p_size / 2::DOUBLE ELSE p_size END::DOUBLE AS d FROM part) SELECT count(*) AS discovered, count(*) FILTER (d > 1.5) AS written, count(*) FILTER (d <= 1.5) AS errors, count(*) FILTER (NOT d BETWEEN 5 AND 30) AS duration_flagged FROM d",
+    "hard_gates": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), m AS (SELECT avg((c NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0))::INT) AS pct_missing_sensor_file, avg((c NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0))::INT) FILTER (k % 3 = 0) AS pct_missing_video_file,
+0.5::DOUBLE AS pct_dangling_chunk_id, avg((k % 10 = 0)::INT) AS pct_malformed_json, avg((k % 8 = 0)::INT) AS pct_bad_span, (count(*) - count(DISTINCT k - k % 2)) / count(*)::DOUBLE AS pct_duplicate_incident_id, count(*) FILTER (k % 50 = 0)::DOUBLE AS fs_hz_plausible_violations FROM o)
+SELECT metric, round(value, 6) AS value, 'FAIL' AS level FROM (UNPIVOT m ON COLUMNS(*) INTO NAME metric VALUE value) WHERE value <> 0""",
+    "missing_files": f"SELECT path, count(*) AS n FROM (SELECT [{', '.join(repr(x) for x in REFERRED)}][o_orderkey % {len(REFERRED)} + 1] || '.parquet' AS path FROM orders) WHERE path IN ('clips.parquet', 'chunks.parquet', 'windows.parquet') GROUP BY 1",
+    "document_files": "SELECT source, md5(string_agg(doc_id || ': ' || length(text), chr(10) ORDER BY doc_id)) AS text_md5, true AS sound_id FROM documents GROUP BY source",
+    "tag_files": "SELECT p_type AS regime, 'normal' AS condition, count(*) AS n, count(DISTINCT p_name) AS n_files FROM part GROUP BY 1",
+    "index_files": """SELECT p_partkey::VARCHAR AS incident_id, '["' || p_brand || '","' || p_type || '"]' AS sop_chunk_ids, 'written' AS side FROM part""",
+    "report_file": "WITH c AS (SELECT o_orderpriority AS v, count(*) AS n, sum(count(*)) OVER () AS t FROM orders GROUP BY 1) SELECT metric, round(value, 6) AS value FROM (UNPIVOT (SELECT max(n / t::DOUBLE) AS dominant_class_share, sum(CASE WHEN v = '4-NOT SPECIFIED' THEN n / t::DOUBLE ELSE 0 END) AS pct_unknown_failure, -sum(n / t::DOUBLE * ln(n / t::DOUBLE)) / ln(count(*)) AS entropy_failure FROM c) ON COLUMNS(*) INTO NAME metric VALUE value)",
     "assemble_incidents": f"WITH RECURSIVE {_INCIDENTS} SELECT incident_id, source_dataset, failure_family, round(window_start_s, 6) AS window_start_s, round(window_end_s, 6) AS window_end_s, n_samples, video_file, clip_end_s, alignment_method, severity_label, regime_label, phase_label, sop_chunk_ids, maintenance_chunk_ids, split FROM inc",
     "quality_distribution": f"WITH RECURSIVE {_INCIDENTS} SELECT 'failure_family' AS dimension, failure_family AS value, count(*) AS n FROM inc GROUP BY 2 UNION ALL SELECT 'regime_label', regime_label, count(*) FROM inc GROUP BY 2 UNION ALL SELECT 'severity_label', severity_label, count(*) FROM inc GROUP BY 2 UNION ALL SELECT 'split', split, count(*) FROM inc GROUP BY 2",
     "quality_entropy": "WITH c AS (SELECT o_orderpriority AS v, count(*) AS n, sum(count(*)) OVER () AS t FROM orders GROUP BY 1) SELECT round(max(n / t::DOUBLE), 6) AS dominant_class_share, round(sum(CASE WHEN v = '4-NOT SPECIFIED' THEN n / t::DOUBLE ELSE 0 END), 6) AS pct_unknown_failure, round(-sum(n / t::DOUBLE * ln(n / t::DOUBLE)) / ln(count(*)), 6) AS entropy_failure FROM c",
@@ -275,4 +382,4 @@ SELECT incident_id, video_file, 'label_match' AS alignment_method FROM first WHE
     "json_lists": """SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN '["' || p_brand || '","' || p_type || '"]' END AS j, CASE WHEN p_size % 7 <> 0 THEN 2 ELSE 0 END AS n, CASE WHEN p_size % 7 <> 0 THEN p_brand || '/' || p_type ELSE '' END AS items FROM part""",
 }
 
-QUERIES = {name: globals()[name] for name in SQL} | {"missing_files": missing_files}
+QUERIES = {name: globals()[name] for name in SQL}

@@ -17,6 +17,11 @@ def _below(root: str, path: Column) -> Column:
     return F.substring_index(path, base, -1)
 
 
+def _plain(uri: Column) -> Column:
+    """A file's path from its URI, where a plus sign is itself."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def quality_of(path: Column) -> Column:
     """The parent folder's name if it is a label of quality."""
     folder = F.lower(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
@@ -25,13 +30,25 @@ def quality_of(path: Column) -> Column:
 
 def read_runs(spark: SparkSession, root: str, schema: str | T.StructType) -> DataFrame:
     """Recordings in CSV files below a folder, with run_id (the relative path), quality, and i, the row's place in
-    its file. Unreadable files are passed over; files must share a header."""
+    its file. Unreadable files are passed over (``unread_runs`` lists them); files must share a header.
+
+    Rows of one block of a file lie in a row, so only the blocks' sizes are needed to number a file of any length.
+    """
     options = {"header": True, "recursiveFileLookup": True, "pathGlobFilter": "*.csv", "ignoreCorruptFiles": True, "mode": "PERMISSIVE"}
     rows = spark.read.options(**options).schema(schema).csv(root)
     rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
-    place = F.row_number().over(Window.partitionBy("__file").orderBy("__block", "__at")) - 1
-    out = rows.withColumn("i", place).withColumn("run_id", _below(root, F.url_decode(F.col("__file")))).withColumn("quality", quality_of(F.col("__file")))
-    return out.drop("__file", "__block", "__at")
+    blocks = rows.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("__file", "__block", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    placed = rows.join(starts, ["__file", "__block"]).withColumn("i", F.col("__at") + F.col("__shift"))
+    out = placed.withColumn("run_id", _below(root, _plain(F.col("__file")))).withColumn("quality", quality_of(_plain(F.col("__file"))))
+    return out.drop("__file", "__block", "__at", "__shift")
+
+
+def unread_runs(spark: SparkSession, root: str, runs: DataFrame) -> DataFrame:
+    """path of the CSV files below ``root`` of which ``runs`` has no row: those that can't be read or hold a header alone.
+    Files of no bytes at all are never listed by Spark."""
+    return files_below(spark, root, "*.csv").join(runs.select(F.col("run_id").alias("path")).distinct(), "path", "left_anti")
 
 
 def array_runs(table: DataFrame, key: str, data: str, attributes: str | None = None) -> DataFrame:
@@ -70,7 +87,7 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, path, text of the md, markdown and txt files below a folder."""
     from ..functions.scalars import document_id
 
-    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), _below(root, F.url_decode("_metadata.file_path")).alias("path"))
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), _below(root, _plain(F.col("_metadata.file_path"))).alias("path"))
     kept = rows.where(F.col("path").rlike(r"(?i)\.(md|markdown|txt)$"))
     return kept.select(document_id(F.col("path")).alias("doc_id"), "path", "text")
 

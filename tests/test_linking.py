@@ -185,6 +185,29 @@ def test_csv_runs(spark, tmp_path):
     assert readers.files_below(spark, str(tmp_path), "*.csv").count() == 2
 
 
+def test_file_names_stay_themselves(spark, tmp_path):
+    (tmp_path / "a+b").mkdir()
+    (tmp_path / "a+b" / "x y%41.csv").write_text("x\n1\n2\n")
+    (tmp_path / "a+b" / "empty.csv").write_text("x\n")
+    (tmp_path / "a+b" / "t+é.md").write_text("t")
+    rows = readers.read_runs(spark, str(tmp_path), "x double")
+    assert sorted((r.run_id, r.i, r.x) for r in rows.collect()) == [("a+b/x y%41.csv", 0, 1.0), ("a+b/x y%41.csv", 1, 2.0)]
+    assert [r.path for r in readers.unread_runs(spark, str(tmp_path), rows).collect()] == ["a+b/empty.csv"]
+    assert [r.path for r in readers.read_documents(spark, str(tmp_path)).collect()] == ["a+b/t+é.md"]
+
+
+def test_long_files_are_numbered_by_blocks(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("x\n" + "".join(f"{k}\n" for k in range(50_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        rows = readers.read_runs(spark, str(tmp_path), "x double")
+        assert rows.rdd.getNumPartitions() > 1
+        got = sorted((r.i, r.x) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(k, float(k)) for k in range(50_000)]
+
+
 def test_array_runs_need_three_numbers(spark):
     rows = spark.createDataFrame([("a", [[1.0, 2.0, 3.0, 4.0]]), ("b", [[1.0, 2.0]])], "k string, d array<array<double>>")
     assert [tuple(r) for r in readers.array_runs(rows, "k", "d").collect()] == [("a", 0, 1.0, 2.0, 3.0)]

@@ -51,7 +51,3 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert entry.oracle_sql().keys() <= entry.queries().keys()
-
-
-def test_missing_files(spark):
-    assert {r.path for r in linking.missing_files(spark, SF).collect()}.isdisjoint({"region.parquet", "nation.parquet"})

@@ -54,6 +54,27 @@ def test_rms_is_that_of_each_window(spark):
     assert max(abs(got[k] - want[k]) for k in want) < 1e-9
 
 
+def test_each_run_has_its_own_rate_and_axes(spark):
+    fast, slow = recording(spark, fs=200, run="fast"), recording(spark, fs=80, run="slow").withColumn("az", F.col("ax") * 0 + F.col("az"))
+    lacking = slow.withColumn("run_id", F.lit("lacking")).withColumn("ay", F.col("az")).withColumn("az", F.lit(None).cast("double"))
+    rows = fast.unionByName(slow).unionByName(lacking)
+    rates = ts.chosen_rate(ts.median_rate(rows).withColumnRenamed("fs_hz", "median_fs").withColumn("meta_fs", F.lit(None).cast("double")))
+    events = ts.detected(rows, Detection(**HOW), rates)
+    for run in ("fast", "slow", "lacking"):
+        times = found(events.where(F.col("run_id") == run))
+        assert len(times) == 3 and np.abs(np.asarray(times) - [5, 10, 15]).max() < 1
+    size = ts.sliding_rms(rows, Detection(**HOW | {"channel": "magnitude"}), rates).groupBy("run_id").agg(F.max("rms").alias("most")).collect()
+    assert len(size) == 3 and all(r.most > 1 for r in size)
+    index = ts.window_index(ts.carved(rows, events, 1.0, 1.0), rates)
+    assert {(r.run_id, round(r.fs_hz, 6)) for r in index.collect()} == {("fast", 200.0), ("slow", 80.0), ("lacking", 80.0)}
+
+
+def test_magnitude_is_over_the_axes_there_are(spark):
+    rows = spark.createDataFrame([("r", i, i / 10, None, 3.0 * (i % 2), 4.0 * (i % 2)) for i in range(8)], "run_id string, i long, time_s double, ax double, ay double, az double")
+    how = Detection(fs_hz=10.0, window_s=0.2, hop_s=0.2, channel="magnitude")
+    assert [r.rms for r in ts.sliding_rms(rows, how).collect()] == pytest.approx([2.5] * 4)
+
+
 def test_a_run_shorter_than_the_window_has_no_grid(spark):
     assert ts.sliding_rms(recording(spark, seconds=0.2), Detection(**HOW)).count() == 0
 
