@@ -211,16 +211,11 @@ def prefixes(docs: DataFrame, order: Order, frequent: bool, percent: int = PERCE
 
 def short_lists(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
     """leader, doc_id of the lists of infrequent shingles. Spark sorts the entries, and a list's leader is its first
-    text, so a task holds one batch and the leader of the list that goes on into it."""
+    text, so a task holds one batch and the leader of the list that goes on into it. A pair is given for each
+    shingle that its texts share; Spark keeps one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, waiting, held = None, [], 0  # last: token, leader and n of the entry before this batch
-
-        def pairs() -> pa.RecordBatch:
-            pair = np.unique(np.concatenate(waiting), axis=0)
-            waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["leader", "doc_id"])
-
+        last = None  # token, leader and n of the entry before this batch
         for batch in batches:
             token, name, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
             if last is not None:
@@ -231,14 +226,8 @@ def short_lists(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
             new = np.concatenate(([True], (token[1:] != token[:-1]) | (percent * n[1:] > 100 * n[:-1])))
             leader = name[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
             apart = leader != name
-            waiting.append(np.stack([leader[apart], name[apart]], axis=1))
-            held += len(waiting[-1])
             last = (token[-1], leader[-1], n[-1])
-            if held > 400_000:
-                yield pairs()
-                held = 0
-        if held:
-            yield pairs()
+            yield pa.RecordBatch.from_arrays([pa.array(leader[apart]), pa.array(name[apart])], names=["leader", "doc_id"])
 
     return entries.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(freed(run), "leader long, doc_id long")
 
