@@ -2,8 +2,8 @@
 
 A word's symbols form a doubly linked list; a heap holds the adjacent pairs that have a merge rank.  The
 lowest-ranked pair is popped and merged until none is left, so the word's tokens are its first symbols minus
-the merges made, and no token identifiers are ever produced.  Each worker keeps the counts of words it has
-seen in a table of bounded size, since words repeat far more often than they differ.
+the merges made, and no token identifiers are ever produced.  Each worker keeps the counts of words, and of
+pieces between spaces, that it has seen in tables of bounded size, since words repeat far more often than they differ.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; texts of any length are read whole; repeated
 rows give repeated rows; input columns named like an output column are replaced; an empty table gives no rows.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from .rows import append
 
-#: Words whose counts a worker remembers before it starts anew.
+#: Words, and pieces, whose counts a worker remembers before it starts anew.
 CACHE_WORDS = 400_000
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+", regex.V1)
@@ -83,45 +84,54 @@ class Merges:
         return n
 
 
-class WordCounts(dict):
-    """Tokens of a piece of text without spaces or line feeds, worked out on first use.
+class Remembered(dict):
+    """What ``of`` gives for a key, worked out on first use.
 
-    When the table is full it becomes the old one, from which words still in use are taken over; so its size is
-    bounded and frequent words stay.
+    When the table is full it becomes the old one, from which keys still in use are taken over; so its size is
+    bounded and frequent keys stay.
     """
 
-    def __init__(self, merges: list[str], specials: list[str]) -> None:
+    def __init__(self, of: Callable[[str], int]) -> None:
         super().__init__()
-        self.merges, self.old = Merges(merges), {}
-        self.symbols = byte_symbols()
-        self.specials = regex.compile("|".join(map(regex.escape, specials))) if specials else None
+        self.of, self.old = of, {}
 
-    def __missing__(self, piece: str) -> int:
-        total = self.old.get(piece)
+    def __missing__(self, key: str) -> int:
+        total = self.old.get(key)
         if total is None:
-            total = self.count(piece)
-        if len(piece) < 200:
+            total = self.of(key)
+        if len(key) < 200:
             if len(self) >= CACHE_WORDS:
                 self.old = dict(self)
                 self.clear()
-            self[piece] = total
+            self[key] = total
         return total
 
+
+class WordCounts(Remembered):
+    """Tokens of a piece of text without spaces or line feeds. Pieces that differ in case or in the marks around a
+    word share what is remembered of the word."""
+
+    def __init__(self, merges: list[str], specials: list[str]) -> None:
+        super().__init__(self.count)
+        self.merges, self.words = Merges(merges), Remembered(self.count_word)
+        self.symbols = byte_symbols()
+        self.specials = regex.compile("|".join(map(regex.escape, specials))) if specials else None
+
+    def count_word(self, word: str) -> int:
+        symbols = list(word) if word.isascii() and word.isalpha() else [self.symbols[b] for b in word.encode()]
+        symbols[-1] += "</w>"
+        return self.merges.count(symbols)
+
     def count(self, piece: str) -> int:
         if piece.isascii() and piece.isalpha():  # one word of plain letters
-            symbols = list(piece.lower())
-            symbols[-1] += "</w>"
-            return self.merges.count(symbols)
+            return self.words[piece.lower()]
         total, parts = 0, [piece]
         if self.specials is not None and self.specials.search(piece):
             total, parts = len(self.specials.findall(piece)), self.specials.split(piece)
         for part in parts:
             # lower-casing is by character: a final sigma stays a plain one
             low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in _SPLIT.findall(low):
-                symbols = [self.symbols[b] for b in word.encode()]
-                symbols[-1] += "</w>"
-                total += self.merges.count(symbols)
+            total += sum(map(self.words.__getitem__, _SPLIT.findall(low)))
         return total
 
 
