@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_quotes, decontaminate, html_extract, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, token_count, url_filter, warc
+from . import chat_quotes, decontaminate, html_extract, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, token_count, url_filter, warc, whitening
 from .storage import table
 
 
@@ -51,6 +51,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     texts = docs.select("doc_id", periodic_runs.rewritten(docs.doc_id, docs.text).alias("text"))
@@ -70,7 +74,7 @@ def _pipeline_sql() -> str | None:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_decontamination, op3_token_counts, op4_warc, op5_url_filter, op6_quality_classifier, op7_ngram_join, op8_quality_rules, op9_chat_quotes, op10_packing, op13_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_html_text, op2_decontamination, op3_token_counts, op4_warc, op5_url_filter, op6_quality_classifier, op7_ngram_join, op8_quality_rules, op9_chat_quotes, op10_packing, op12_whitening, op13_periodic_runs, pipeline)}
 
 
 #: Words of both sides, their windows, and every occurrence's words.
