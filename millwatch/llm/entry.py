@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_quotes, decontaminate, html_extract, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, token_count, url_filter, warc, whitening
+from . import chat_quotes, decontaminate, exact_dedup, html_extract, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, token_count, url_filter, warc, whitening
 from .storage import table
 
 
@@ -51,6 +51,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
 
@@ -74,7 +78,7 @@ def _pipeline_sql() -> str | None:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_decontamination, op3_token_counts, op4_warc, op5_url_filter, op6_quality_classifier, op7_ngram_join, op8_quality_rules, op9_chat_quotes, op10_packing, op12_whitening, op13_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_html_text, op2_decontamination, op3_token_counts, op4_warc, op5_url_filter, op6_quality_classifier, op7_ngram_join, op8_quality_rules, op9_chat_quotes, op10_packing, op11_exact_dedup, op12_whitening, op13_periodic_runs, pipeline)}
 
 
 #: Words of both sides, their windows, and every occurrence's words.
@@ -110,5 +114,13 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS narrow FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY narrow ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY narrow) AS group_size,
+  doc_id = first_value(doc_id) OVER (PARTITION BY narrow ORDER BY chars DESC, doc_id) AS kept, sha256(narrow) AS text_sha256
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_warc": OP4_SQL, "op7_ngram_join": OP7_SQL} | ({"pipeline": sql} if (sql := _pipeline_sql()) else {})
+    return {"op2_decontamination": OP2_SQL, "op4_warc": OP4_SQL, "op7_ngram_join": OP7_SQL, "op11_exact_dedup": OP11_SQL} | ({"pipeline": sql} if (sql := _pipeline_sql()) else {})
