@@ -72,6 +72,36 @@ def csv_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(back.select(F.regexp_extract("run_id", "run=([^/]+)/", 1).alias("run"), F.regexp_extract("run_id", "/quality=([^/]+)/", 1).alias("quality"), "i", "az"))
 
 
+def _mixed_headers(spark: SparkSession, sf_dir: str) -> str:
+    """A CSV file for each run: its columns in another order, with one more, or without one; those of errors end with a
+    row of too many fields."""
+    path = new_path(spark, "csv-headers")
+    rows = samples(spark, sf_dir).select("run_id", F.col("i"), F.col("i").cast("string").alias("n"), *[F.col(c).cast("string").alias(c) for c in ("time_s", "ax", "ay", "az")])
+    size = F.length("run_id") % 3
+    layout = lambda f: F.when(size == 0, F.array(*map(f, ("az", "ax", "time_s", "ay")))).when(size == 1, F.array(*map(f, ("n", "time_s", "ax", "ay", "az")))).otherwise(F.array(*map(f, ("time_s", "az", "ay"))))
+    line = lambda f: F.array_join(layout(f), ",", "")
+    lines = rows.select("run_id", "i", line(F.col).alias("line")).unionAll(rows.groupBy("run_id").agg(F.lit(-1).cast("long").alias("i")).select("run_id", "i", line(F.lit)))
+    last = rows.where("run_id = 'error'").groupBy("run_id").agg((F.max("i") + 1).alias("i")).withColumn("line", F.lit("1,2,3,4,5,6,7"))
+    spread = lines.unionAll(last).repartition("run_id").sortWithinPartitions("run_id", "i")
+    spread.select("line", F.col("run_id").alias("run")).write.partitionBy("run").option("sep", "\x01").csv(path)  # commas are text here
+    return path
+
+
+AXIS_SCHEMA = "time_s double, ax double, ay double, az double"
+
+
+def csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns by name from files whose headers differ."""
+    back = readers.read_runs(spark, _mixed_headers(spark, sf_dir), AXIS_SCHEMA)
+    return rounded(back.select(F.regexp_extract("run_id", "run=([^/]+)/", 1).alias("run"), "i", "time_s", "ax", "ay", "az"))
+
+
+def csv_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are left out as a whole."""
+    path = _mixed_headers(spark, sf_dir)
+    return readers.unread_runs(spark, path, readers.read_runs(spark, path, AXIS_SCHEMA)).select(F.regexp_extract("path", "run=([^/]+)/", 1).alias("run"))
+
+
 def waveform_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows written as waveforms and read again."""
     path = new_path(spark, "waveforms")
@@ -289,6 +319,8 @@ SQL = {
     "events_mixed_rates": f"WITH {_found(_windowed(_OWN_CHANNEL, 'fs'), _STAT['quantile'], 0.95, 0.15)} {_EV}",
     "magnitude_of_axes": f"WITH {_windowed('sqrt(coalesce(ax * ax, 0) + coalesce(ay * ay, 0) + coalesce(az * az, 0))', '100')} SELECT run_id, k, round(t_s, 6) AS t_s, round(rms, 6) AS rms FROM grid",
     "csv_runs": f"WITH {NORM} SELECT run_id AS run, 'good' AS quality, i, round(az, 6) AS az FROM norm",
+    "csv_headers": f"WITH {NORM} SELECT run_id AS run, i, round(time_s, 6) AS time_s, CASE WHEN length(run_id) % 3 <> 2 THEN ax END AS ax, ay, round(az, 6) AS az FROM norm WHERE run_id <> 'error'",
+    "csv_unread": "SELECT DISTINCT event_type AS run FROM events WHERE event_type = 'error'",
     "waveform_table": f"WITH {CARVED} SELECT 'recordings' AS source_dataset, incident_id, count(*) AS n, round(min(t_rel_s), 6) AS from_s, round(max(t_rel_s), 6) AS to_s, round(sum(az), 6) AS sum_az FROM wave GROUP BY 2",
     "incremental_stamp": "SELECT DISTINCT event_type AS incident_id FROM events WHERE event_type IN ('click', 'view')",
     "sliding_rms": f"WITH {_rms()} SELECT run_id, k, round(t_s, 6) AS t_s, round(rms, 6) AS rms FROM grid",

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import csv
+import functools
+import re
+from collections.abc import Iterator, Mapping
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,25 +33,75 @@ def quality_of(path: Column) -> Column:
     return F.when(folder.isin(*QUALITY_FOLDERS), folder)
 
 
-def read_runs(spark: SparkSession, root: str, schema: str | T.StructType) -> DataFrame:
-    """Recordings in CSV files below a folder, with run_id (the relative path), quality, and i, the row's place in
-    its file. Unreadable files are passed over (``unread_runs`` lists them); files must share a header.
+def headers(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """path (a URI) and line, the first one, of each file below a folder.
 
-    Rows of one block of a file lie in a row, so only the blocks' sizes are needed to number a file of any length.
+    Each file is a task of its own that ends after its first lines, whatever the file's length.
     """
-    options = {"header": True, "recursiveFileLookup": True, "pathGlobFilter": "*.csv", "ignoreCorruptFiles": True, "mode": "PERMISSIVE"}
-    rows = spark.read.options(**options).schema(schema).csv(root)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
-    blocks = rows.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("__file", "__block", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
-    placed = rows.join(starts, ["__file", "__block"]).withColumn("i", F.col("__at") + F.col("__shift"))
+    session, alone = spark.newSession(), str(1 << 40)
+    for name, value in {"spark.sql.files.openCostInBytes": alone, "spark.sql.files.maxPartitionBytes": alone, "spark.sql.execution.arrow.maxRecordsPerBatch": "8"}.items():
+        session.conf.set(name, value)
+    one_file = session.conf.get("spark.sql.files.openCostInBytes") == alone
+    rows = session.read.options(recursiveFileLookup=True, pathGlobFilter=pattern, ignoreCorruptFiles=True).text(root)
+    rows = rows.where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for batch in batches:
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                if path != seen:
+                    yield batch.slice(k, 1)
+                    if one_file:
+                        return
+                    seen = path
+
+    return rows.mapInArrow(first, rows.schema)
+
+
+def read_runs(spark: SparkSession, root: str, schema: str | T.StructType, bound: int = 1000) -> DataFrame:
+    """Recordings in CSV files below a folder: the columns of ``schema`` by the names in each file's header, with run_id
+    (the relative path), quality, and i, the row's place in its file.
+
+    Files that share a header are one scan; columns that a file lacks are null, others aren't read. Of a name that a
+    header repeats the first counts. What isn't of a column's type is null. A file with a row of more fields than
+    its header, or with bytes that aren't text in these columns, is left out as a whole, as one that can't be read
+    (``unread_runs`` lists them). More than ``bound`` different headers are an error. Rows of one block of a file lie in
+    a row, so only the blocks' sizes are needed to number a file of any length.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    found = headers(spark, root).groupBy("line").agg(F.collect_list("path").alias("paths")).limit(bound + 1).collect()
+    if len(found) > bound:
+        raise ValueError(f"over {bound} different headers below {root}")
+    parts = [_scan(spark, next(csv.reader([r.line.removeprefix("\ufeff")]), []), r.paths, wanted) for r in sorted(found, key=lambda r: r.line)]
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*wanted.fields, *(T.StructField(c, t) for c, t in (("i", T.LongType()), ("run_id", T.StringType()), ("quality", T.StringType())))]))
+    rows = functools.reduce(DataFrame.unionAll, parts)
+    blocks = rows.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"), F.bool_or("__odd").alias("__odd"))
+    whole, earlier = Window.partitionBy("__file"), Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("__file", "__block", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"), F.bool_or("__odd").over(whole).alias("__unfit"))
+    placed = rows.join(starts.where("NOT __unfit").drop("__unfit"), ["__file", "__block"]).withColumn("i", F.col("__at") + F.col("__shift"))
     out = placed.withColumn("run_id", _below(root, _plain(F.col("__file")))).withColumn("quality", quality_of(_plain(F.col("__file"))))
-    return out.drop("__file", "__block", "__at", "__shift")
+    return out.drop("__file", "__block", "__at", "__shift", "__odd")
+
+
+def _scan(spark: SparkSession, header: list[str], paths: list[str], wanted: T.StructType) -> DataFrame:
+    """The files of one header: the wanted columns, where a row lies, and whether it can't belong to such a file."""
+    place = {name: k for k, name in reversed(list(enumerate(header)))}
+    texts = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(header) + 1)])  # one more than there should be
+    rows = spark.read.options(header=True, ignoreCorruptFiles=True, mode="PERMISSIVE").schema(texts).csv([_plain_path(p) for p in paths])
+    read = [F.col(f"c{place[f.name]}") for f in wanted if f.name in place]
+    odd = functools.reduce(Column.__or__, [c.contains("\ufffd") for c in read], F.col(f"c{len(header)}").isNotNull())
+    columns = [(F.col(f"c{place[f.name]}").try_cast(f.dataType) if f.name in place else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted]
+    return rows.select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), F.coalesce(odd, F.lit(False)).alias("__odd"))
+
+
+def _plain_path(uri: str) -> str:
+    """A path to read: decoded, and what would be a pattern as it stands."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(uri))
 
 
 def unread_runs(spark: SparkSession, root: str, runs: DataFrame) -> DataFrame:
-    """path of the CSV files below ``root`` of which ``runs`` has no row: those that can't be read or hold a header alone.
+    """path of the CSV files below ``root`` of which ``runs`` has no row: those that can't be read, are left out as unfit, or hold a header alone.
     Files of no bytes at all are never listed by Spark."""
     return files_below(spark, root, "*.csv").join(runs.select(F.col("run_id").alias("path")).distinct(), "path", "left_anti")
 
