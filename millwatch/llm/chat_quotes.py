@@ -2,10 +2,11 @@
 
 A line's quote level is the number of `>` before it.  Quoted lines, and all lines of one level together, are
 normalised (lower case, single spaces) and hashed; joined by conversation and hash to the message that first
-wrote such a line or such a text, they tell which message is answered.  Long matches speak first, short ones where
-a message has no other; among them the lowest level, then the number of matches, then the later message.  Replies get the place of their message, their depth and the first
-message of their thread, and keep only what they say themselves; all messages get their position in their
-conversation in order of reply, counted over a range-sorted table, so that a conversation of any size spreads over
+wrote such a line or such a text, they tell which message is answered.  The lowest level found decides, since deeper
+ones are what the answered message quoted itself; within it a passage that is a message's whole own text, of any
+length, speaks before single lines, then the number of matched characters, of matches, and the later message.  Replies
+get the place of their message, their depth and the first message of their thread, and keep only what they say
+themselves; all messages get their position in their conversation in order of reply, counted over a range-sorted table, so that a conversation of any size spreads over
 many tasks.  Everything is DataFrame work; what a
 conversation wrote is reduced to the first writer of each hash before the join, so that no line, however common,
 meets all its repeats, and no conversation is ever gathered in one task.
@@ -13,8 +14,7 @@ meets all its repeats, and no conversation is ever gathered in one task.
 Defined results: a null text is an empty message; a message without quotes, or whose quotes are found nowhere
 earlier, begins a thread; an attribution line before a quotation goes with it; messages of any length are read
 whole; repeated rows give repeated rows, which share a position; a message without conv_id or turn has no position;
-matches shorter than ``LEAST_CHARS`` decide only where a message has no longer one; extra columns are kept, those
-named like an output column replaced; an empty table gives no rows.
+extra columns are kept, those named like an output column replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from .storage import saved
 
 KEY = ["conv_id", "turn"]
-#: Shorter lines ("yes", "thanks") say little of where they come from; they count after all longer ones.
-LEAST_CHARS = 12
 _MARK = r"^[ \t]*((?:>[ \t]?)+)"
 _ATTRIBUTION = r"(?i)^(?:on|am|le|el)\b.*\b(?:wrote|schrieb|a écrit|escribió)\s?:\s*$"
 
@@ -51,29 +49,31 @@ def own_text(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["words"]), "\n"), r"^\s+|\s+$", "")
 
 
-def _hashes(texts: Column) -> Column:
-    """Hashes of the normalised texts that aren't empty, and whether they are long."""
-    there = F.filter(F.transform(texts, normalised), lambda x: x != "")
-    return F.array_distinct(F.transform(there, lambda x: F.struct(F.xxhash64(x, F.length(x)).alias("hash"), (F.length(x) >= LEAST_CHARS).alias("long"))))
+def _hashes(lines: Column) -> Column:
+    """hash and chars of each different line, normalised, and of all of them together (``whole``); none of empty ones."""
+    there = F.filter(F.transform(lines, normalised), lambda x: x != "")
+    every = F.array_join(there, " ")
+    told = lambda x: F.struct(F.xxhash64(x, F.length(x)).alias("hash"), F.length(x).cast("long").alias("chars"), (x == every).alias("whole"))
+    return F.array_distinct(F.transform(F.filter(F.concat(there, F.array(every)), lambda x: x != ""), told))
 
 
 def links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to, matches: the earlier message that each message's quotations come from."""
     rows = _with_lines(messages.select(*KEY, "text"))
     own = F.transform(F.filter("__lines", lambda x: x["level"] == 0), lambda x: x["words"])
-    wrote = rows.select(*KEY, F.explode(_hashes(F.concat(own, F.array(F.array_join(own, " "))))).alias("x")).select(*KEY, "x.hash")
+    wrote = rows.select(*KEY, F.explode(_hashes(own)).alias("x")).select(*KEY, "x.hash", "x.whole")
     quoted_at = lambda k: F.transform(F.filter("__lines", lambda x: x["level"] == k), lambda x: x["words"])
     levels = F.array_distinct(F.filter(F.transform("__lines", lambda x: x["level"]), lambda x: x > 0))
     quoting = rows.where(F.exists("__lines", lambda x: x["level"] > 0)).select(*KEY, "__lines", F.explode(levels).alias("level"))
-    quotes = quoting.select(*KEY, "level", F.explode(_hashes(F.concat(quoted_at(F.col("level")), F.array(F.array_join(quoted_at(F.col("level")), " "))))).alias("x")).select(*KEY, "level", "x.*")
+    quotes = quoting.select(*KEY, "level", F.explode(_hashes(quoted_at(F.col("level")))).alias("x")).select(*KEY, "level", "x.hash", "x.chars")
     quotes = saved(quotes, "chat-quotes")
     # only hashes that are quoted at all need their first writer
     asked = quotes.select("conv_id", "hash").distinct()
-    first = wrote.join(asked, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
+    first = wrote.join(asked, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min(F.struct("turn", (~F.col("whole")).alias("part"))).alias("x"))
+    first = first.select("conv_id", "hash", F.col("x.turn").alias("source"), (~F.col("x.part")).alias("whole"))
     found = quotes.join(saved(first, "chat-first"), ["conv_id", "hash"]).where("source < turn")
-    lowest = F.coalesce(F.min(F.when(F.col("long"), F.col("level"))), F.min("level"))
-    votes = found.groupBy(*KEY, "source").agg(lowest.alias("level"), F.count_if("long").alias("long"), F.count("*").alias("matches"))
-    best = F.max_by(F.struct("source", "matches"), F.struct(F.col("long") > 0, -F.col("level"), F.col("long"), F.col("matches"), F.col("source")))
+    votes = found.groupBy(*KEY, "source", "level").agg(F.bool_or("whole").alias("whole"), F.sum("chars").alias("chars"), F.count("*").alias("matches"))
+    best = F.max_by(F.struct("source", "matches"), F.struct(-F.col("level"), "whole", "chars", "matches", "source"))
     return votes.groupBy(*KEY).agg(best.alias("best")).select(*KEY, F.col("best.source").alias("reply_to"), F.col("best.matches").alias("matches"))
 
 

@@ -123,7 +123,27 @@ def test_quotes_lead_to_their_messages(spark):
 
 def test_short_quotes_lead_to_their_messages(spark):
     rows = [(1, 0, "a", "Thanks!\nShall we meet on the third floor?"), (1, 1, "b", "Same."), (1, 2, "c", "> Same.\nWhy?"), (1, 3, "d", ">\n> Why?\nSo."), (1, 4, "e", "> Thanks!\n\nYou too."), (1, 5, "f", "> Same.\n> > Shall we meet on the third floor?\nYes."), (1, 6, "g", "> Never.\n>\nNo."), (1, 7, "h", "> Later.\n"), (1, 8, "i", "Later.")]
-    assert {r.turn: (r.reply_to, r.thread, r.depth) for r in ordered(spark, rows).collect()} == {0: (None, 0, 0), 1: (None, 1, 0), 2: (1, 1, 1), 3: (2, 1, 2), 4: (0, 0, 1), 5: (0, 0, 1), 6: (None, 6, 0), 7: (None, 7, 0), 8: (None, 8, 0)}
+    assert {r.turn: (r.reply_to, r.thread, r.depth) for r in ordered(spark, rows).collect()} == {0: (None, 0, 0), 1: (None, 1, 0), 2: (1, 1, 1), 3: (2, 1, 2), 4: (0, 0, 1), 5: (1, 1, 1), 6: (None, 6, 0), 7: (None, 7, 0), 8: (None, 8, 0)}
+
+
+@pytest.mark.parametrize("answer", ["fine", "I am fine thanks"])
+def test_nested_quotes_answer_the_lowest_level(spark, answer):
+    rows = [(1, 1, "a", "hello my friend how are you"), (1, 2, "b", f"> hello my friend how are you\n{answer}"), (1, 3, "c", f"> > hello my friend how are you\n> {answer}\nok then")]
+    assert {r.turn: (r.reply_to, r.depth) for r in ordered(spark, rows).collect()} == {1: (None, 0), 2: (1, 1), 3: (2, 2)}
+
+
+def test_replies_that_quote_all_of_their_message(spark):
+    """Threads are grown, as mail programs do it: a reply has all lines of its message with one more mark, so who is answered is known."""
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for conv in range(8):
+        shown = []
+        for turn in range(30):
+            own = [" ".join(f"w{rng.integers(0, 10**6)}"[: rng.integers(2, 8)] + f"c{turn}x{k}" for k in range(rng.integers(1, 6))) for _ in range(rng.integers(1, 4))]
+            parent = int(rng.integers(0, turn)) if turn and rng.random() < 0.8 else None
+            want[conv, turn] = (parent, 0 if parent is None else want[conv, parent][1] + 1)
+            shown.append(([] if parent is None else [("> " if rng.random() < 0.5 else ">") + x for x in shown[parent]]) + own)
+            rows.append((conv, turn, "r", "\n".join(shown[-1])))
+    assert {(r.conv_id, r.turn): (r.reply_to, r.depth) for r in ordered(spark, rows).collect()} == want
 
 
 def plain_order(rows):
