@@ -3,10 +3,11 @@
 Texts count as equal when they are identical without the characters of ``[\\x20\\x09-\\x0D]``.  Tasks of the stream
 cut that white space, write each different text of some MB of input once to a content file in the shared folder, and
 send on its digest, the id that would stay, the number of copies and a locator of its bytes, never the text.  State
-keyed by digest (RocksDB, checkpointed, without expiry) holds for each text under the digest the id that stays, its
-length, the number of copies and the locator of the bytes seen first.  On every hit the bytes of both locators are read
-and compared in full, so two texts with one digest are two classes.  A group of copies of any size sends one row for
-each some MB of input to its key.
+keyed by digest (a streaming aggregate in RocksDB, checkpointed, without expiry) holds the id that stays, the number of
+copies and the locator of the bytes seen first.  After each batch all locators that came for a digest that was there
+already are read and their bytes compared in full with those seen first.  Should two texts share a digest, that digest
+is noted, and its rows are told apart by their bytes.  A group of copies of any size sends one row for each some MB of
+input to its key.
 
 ``absorb`` may run again on the same folder: new files are matched with all that came before.  ``judge`` gives every
 row its class: classes that hold over 1 / 4096 of all rows, at most 4095 then, are broadcast, the rest joined.
@@ -19,20 +20,18 @@ texts of any length are read whole; other columns are not read, whatever they ar
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import posixpath
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState
 
 from .rows import freed
 from .storage import new_path, saved
@@ -45,8 +44,7 @@ WINDOW_BYTES, PIECE_BYTES = 32 << 20, 128 << 10
 LARGE_SHARE = 4096
 
 LOCATOR = "file string, offset long, size long, start long, length long"
-FOUND = f"digest string, id long, has_id boolean, chars long, copies long, {LOCATOR}"
-CLASSES = f"digest string, variant int, id long, has_id boolean, chars long, copies long, {LOCATOR}"
+FOUND = f"digest string, id long, has_id boolean, chars long, copies long, at long, {LOCATOR}"
 
 
 class Contents:
@@ -83,12 +81,6 @@ class Contents:
         return self.pieces[file, offset][start : start + length]
 
 
-@functools.lru_cache(maxsize=4)
-def _contents(folder: str) -> Contents:
-    """One for a worker and folder: pieces stay for the keys that follow."""
-    return Contents(folder)
-
-
 def _uri(folder: str) -> str:
     return folder if ":/" in folder else f"file://{folder}"
 
@@ -103,22 +95,28 @@ def _rank(chars: int, has_id: bool, i: int) -> tuple[int, bool, int]:
 
 
 def _told(rows: DataFrame, folder: str, bits: int) -> DataFrame:
-    """A row for each different text of some MB of input, its bytes written."""
+    """A row for each different text of some MB of input, its bytes written, and the row itself to an index of the batch
+    (``at``), by which ``_checked`` finds it. What a task that ran twice left there is compared twice."""
     schema = T._parse_datatype_string(FOUND)
+    types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contents, held, size = Contents(folder), {}, 0
+        contents, held, size = Contents(f"{folder}/texts"), {}, 0
 
-        def sent() -> pa.RecordBatch:
+        def sent(at: int) -> pa.RecordBatch:
             places = contents.write(list(held))
             digests = [hashlib.sha256(t).hexdigest()[: bits // 4] for t in held]
-            rows = [(d, i, not none, -chars, n, *p) for d, ((chars, none, i), n), p in zip(digests, held.values(), places, strict=True)]
-            types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=schema.names)
-
+            rows = [(d, i, not none, -chars, n, at, *p) for d, ((chars, none, i), n), p in zip(digests, held.values(), places, strict=True)]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=schema.names)
+            index = f"{contents.root.removesuffix('/texts')}/index/at={at}"
+            contents.store.create_dir(index, recursive=True)
+            pq.write_table(pa.Table.from_batches([out]).drop(["at"]), f"{index}/{uuid.uuid4().hex}.parquet", filesystem=contents.store)
+            return out
+
+        at = 0
         for big in batches:
             for batch in small_batches(big, 1):
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i, text, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                     # as a key of a dict a text is compared byte by byte
                     key, rank = _narrow(text), _rank(len(text or ""), i is not None, i or 0)
                     if (before := held.get(key)) is None:
@@ -126,61 +124,69 @@ def _told(rows: DataFrame, folder: str, bits: int) -> DataFrame:
                     else:
                         before[0], before[1] = min(before[0], rank), before[1] + 1
                 if size >= WINDOW_BYTES:
-                    yield sent()
+                    yield sent(at)
                     held, size = {}, 0
         if held:
-            yield sent()
+            yield sent(at)
 
     return rows.mapInArrow(freed(run), schema)
 
 
-def _keyed(folder: str):  # noqa: ANN202
-    """What state does with the rows of one digest."""
-    names = [c.split()[0] for c in CLASSES.split(", ")]
-
-    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        contents = _contents(folder)
-        # id, has_id, chars, copies and the locator of each different text under this digest
-        texts = [list(v) for v in zip(*state.get, strict=True)] if state.exists else []
-        touched = set()
-        for frame in frames:
-            for i, has_id, chars, copies, *place in zip(*(frame[c].tolist() for c in names[2:]), strict=True):
-                new = contents.read(*place) if texts else b""
-                k = next((k for k, t in enumerate(texts) if t[8] == place[4] and contents.read(*t[4:]) == new), len(texts))
-                if k == len(texts):
-                    texts.append([i, has_id, chars, copies, *place])
-                else:
-                    t = texts[k]
-                    if _rank(chars, has_id, i) < _rank(t[2], t[1], t[0]):
-                        t[:3] = i, has_id, chars
-                    t[3] += copies
-                touched.add(k)
-        state.update(tuple(map(list, zip(*texts, strict=True))))
-        changed = sorted(touched)
-        yield pd.DataFrame(dict(zip(names, ([key[0]] * len(changed), changed, *zip(*(texts[k] for k in changed), strict=True)), strict=True)), columns=names)
-
-    return run
-
-
-def absorb(stream: DataFrame, folder: str, text: str = "text", row_id: str = "doc_id", bits: int = 256) -> DataFrame:
-    """Match all rows that ``stream`` has now; ``folder`` holds state, contents and classes. Returns all classes.
+def _unequal(pairs: DataFrame, folder: str) -> DataFrame:
+    """The digests of rows whose two locators lead to different bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contents = Contents(f"{folder}/texts")
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            other = {d for d, *places in rows if places[4] != places[9] or contents.read(*places[:5]) != contents.read(*places[5:])}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(other), pa.string())], names=["digest"])
+
+    return pairs.mapInArrow(freed(run), "digest string")
+
+
+def _checked(spark: SparkSession, folder: str, updates: DataFrame, batch: int) -> None:
+    """Keep the classes that a batch changed, and compare the bytes of its hits. A batch that runs again replaces both."""
+    updates.write.mode("overwrite").parquet(f"{folder}/classes/batch={batch}")
+    classes = spark.read.schema(updates.schema).parquet(f"{folder}/classes/batch={batch}")
+    at = classes.agg(F.max("at")).first()[0]
+    if at is None:
+        spark.createDataFrame([], "digest string").write.mode("overwrite").parquet(f"{folder}/unequal/batch={batch}")
+        return
+    before = spark.read.schema(f"{CLASSES}, batch long").parquet(f"{folder}/classes").where(F.col("batch") < batch).agg(F.max("at")).first()[0]
+    if before is not None and before >= at:
+        raise ValueError("the clock went back: which bytes came first isn't known")
+    place = [c.split()[0] for c in LOCATOR.split(", ")]
+    hits = classes.where("parts > 1").select("digest", *[F.col(f"seen.{c}").alias(f"seen_{c}") for c in place])
+    came = spark.read.schema(FOUND.replace("at long, ", "")).parquet(f"{folder}/index/at={at}").select("digest", *place)
+    pairs = came.join(hits, "digest").where("file <> seen_file OR offset <> seen_offset OR start <> seen_start")
+    _unequal(pairs.select("digest", *place, *[f"seen_{c}" for c in place]), _uri(folder)).write.mode("overwrite").parquet(f"{folder}/unequal/batch={batch}")
+
+
+CLASSES = f"digest string, best struct<less_chars:long,no_id:boolean,id:long>, copies long, parts long, at long, seen struct<at:long,{LOCATOR.replace(' ', ':').replace(',:', ',')}>"
+
+
+def absorb(stream: DataFrame, folder: str, text: str = "text", row_id: str = "doc_id", bits: int = 256) -> None:
+    """Match all rows that ``stream`` has now; ``folder`` holds state, contents and classes.
 
     Called again with a stream of the same source it goes on where it stopped.
     """
-    schema = T._parse_datatype_string(CLASSES)
-    state = ", ".join(f"{f.name}s array<{f.dataType.simpleString()}>" for f in schema.fields[2:])
-    told = _told(stream.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")), f"{_uri(folder)}/contents", bits)
-    classes = told.groupBy("digest").applyInPandasWithState(_keyed(f"{_uri(folder)}/contents"), CLASSES, state, "append", "NoTimeout")
-    query = classes.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/classes")
-    query.awaitTermination()
-    return classes_of(stream.sparkSession, folder)
+    spark = stream.sparkSession
+    rows = stream.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"), F.unix_micros(F.current_timestamp()).alias("at"))
+    rank = F.struct((-F.col("chars")).alias("less_chars"), (~F.col("has_id")).alias("no_id"), F.col("id").alias("id"))
+    place = [c.split()[0] for c in LOCATOR.split(", ")]
+    kept = _told(rows, _uri(folder), bits).groupBy("digest").agg(
+        F.min(rank).alias("best"), F.sum("copies").alias("copies"), F.count("*").alias("parts"), F.max("at").alias("at"), F.min(F.struct("at", *place)).alias("seen"),
+    )
+    query = kept.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    query.foreachBatch(lambda updates, batch: _checked(spark, folder, updates, batch)).start().awaitTermination()
 
 
 def classes_of(spark: SparkSession, folder: str) -> DataFrame:
-    """The classes in ``folder``: of each the last state."""
+    """digest, id (the one that stays), has_id, copies: the last state of each digest."""
     rows = spark.read.schema(CLASSES).parquet(f"{folder}/classes")
-    values = [c for c in rows.columns if c not in ("digest", "variant")]
-    return rows.groupBy("digest", "variant").agg(F.max_by(F.struct(*values), "copies").alias("last")).select("digest", "variant", "last.*")
+    last = rows.groupBy("digest").agg(F.max_by(F.struct("best", "copies"), "copies").alias("last"))
+    return last.select("digest", F.col("last.best.id").alias("id"), (~F.col("last.best.no_id")).alias("has_id"), "last.copies")
 
 
 def stream_of(spark: SparkSession, path: str, batch_bytes: int = 1 << 40) -> DataFrame:
@@ -198,50 +204,44 @@ def stream_of(spark: SparkSession, path: str, batch_bytes: int = 1 << 40) -> Dat
     return session.readStream.schema(rows.schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
 
 
-def _digested(docs: DataFrame, text: str, row_id: str, with_text: bool = False) -> DataFrame:
-    """Id, digest and, if asked, the text without white space of each row."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_sha256", T.StringType())] + [T.StructField("narrow", T.BinaryType())] * with_text)
+def _digested(docs: DataFrame, text: str, row_id: str, bits: int, with_text: bool = False) -> DataFrame:
+    """Id, text_sha256, digest and, if asked, length and the text without white space of each row."""
+    more = [T.StructField("chars", T.LongType()), T.StructField("narrow", T.BinaryType())] * with_text
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_sha256", T.StringType()), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in small_batches(big, 1):
-                texts = [_narrow(t) for t in batch.column(1).to_pylist()]
+                whole = batch.column(1).to_pylist()
+                texts = [_narrow(t) for t in whole]
                 columns = [batch.column(0), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.binary())] * with_text, names=schema.names)
-
-    return docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(freed(run), schema)
-
-
-def _with_bytes(classes: DataFrame, folder: str) -> DataFrame:
-    schema = T.StructType([*classes.schema.fields, T.StructField("narrow", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contents = Contents(folder)
-        for batch in batches:
-            places = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("file", "offset", "size", "start", "length")), strict=True)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([contents.read(*p) for p in places], pa.binary())], names=schema.names)
+                if with_text:
+                    columns += [pa.array([len(t or "") for t in whole], pa.int64()), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return classes.mapInArrow(freed(run), schema)
+    rows = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(freed(run), schema)
+    return rows.withColumn("digest", F.substring("text_sha256", 1, bits // 4))
 
 
 def judge(docs: DataFrame, folder: str, text: str = "text", row_id: str = "doc_id", bits: int = 256) -> DataFrame:
     """id, keep_id, group_size, kept and text_sha256 of every row of ``docs``, all of which ``folder`` has absorbed."""
-    classes = saved(classes_of(docs.sparkSession, folder), "classes")
-    told = classes.agg(F.sum("copies").alias("n"), F.max("variant").alias("most")).first()
-    rows = saved(_digested(docs, text, row_id), "digests").withColumn("digest", F.substring("text_sha256", 1, bits // 4))
-    one = classes
-    if told.most:  # different texts with one digest: their rows are matched by their bytes
-        shared = classes.where("variant > 0").select("digest").distinct()
-        one, several = classes.join(shared, "digest", "left_anti"), classes.join(shared, "digest", "left_semi")
-        whole = _digested(docs, text, row_id, with_text=True).withColumn("digest", F.substring("text_sha256", 1, bits // 4)).join(shared, "digest", "left_semi")
-        by_bytes = whole.join(_with_bytes(several, f"{_uri(folder)}/contents").withColumnRenamed("id", "keep"), ["digest", "narrow"]).select(*_verdict())
-    one = one.select("digest", F.col("id").alias("keep"), "has_id", "copies")
-    large = F.col("copies") * LARGE_SHARE > (told.n or 0)
+    spark = docs.sparkSession
+    shared = spark.read.schema("digest string").parquet(f"{folder}/unequal").distinct()
+    several = not shared.isEmpty()
+    rows, classes = saved(_digested(docs, text, row_id, bits), "digests"), classes_of(spark, folder)
+    if several:  # different texts with one digest: told apart by their bytes
+        whole = _digested(docs, text, row_id, bits, with_text=True).join(shared, "digest", "left_semi")
+        best = F.min(F.struct(-F.col("chars"), F.col("id").isNull(), F.col("id"))).alias("best")
+        groups = whole.groupBy("digest", "narrow").agg(best, F.count("*").alias("copies"))
+        by_bytes = whole.join(groups.select("digest", "narrow", F.col("best.id").alias("keep"), F.col("best.id").isNotNull().alias("has_id"), "copies"), ["digest", "narrow"]).select(*_verdict())
+        rows, classes = rows.join(shared, "digest", "left_anti"), classes.join(shared, "digest", "left_anti")
+    one = saved(classes.withColumnRenamed("id", "keep"), "classes")
+    large = F.col("copies") * LARGE_SHARE > (one.agg(F.sum("copies")).first()[0] or 0)
     # at most LARGE_SHARE - 1 classes can hold that share of the rows each
     met = rows.join(F.broadcast(one.where(large)), "digest").select(*_verdict())
     rest = rows.join(F.broadcast(one.where(large).select("digest")), "digest", "left_anti").join(one.where(~large), "digest").select(*_verdict())
     out = met.unionAll(rest)
-    return out.unionAll(by_bytes) if told.most else out
+    return out.unionAll(by_bytes) if several else out
 
 
 def _verdict() -> list[Column]:
