@@ -194,7 +194,8 @@ def stream_of(spark: SparkSession, path: str, batch_bytes: int = 1 << 40) -> Dat
     session = spark.newSession()
     for name, value in {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),
     }.items():
         session.conf.set(name, value)
