@@ -1,20 +1,27 @@
 """Detection of events in long recordings, and the windows around them.
 
-Recordings are rows (run_id, i, time_s, channels).  Neighbouring samples meet by joins on their numbers, and what
-needs the order of a run works on a grid of hops, to which samples are summed first; samples themselves are grouped,
-joined on equal keys, and ordered within buckets of time at most, never a whole run in one place.
+Recordings are rows (run_id, i, time_s, channels).  Neighbouring samples meet within blocks of a run, to which the last
+sample of the block before is lent.  What needs the order of a run works on a grid of hops, to which samples are
+summed first, and there too within segments: rolling figures with lent neighbours, stretches and merged events by
+summaries of segments, of which a run has one for thousands of rows.  Quantiles are selected by histograms.  So
+neither samples nor grid rows of a run are ordered in one place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import incident_id
+from ..sources.shared import saved
+from .selection import quantiles
 
 AXES = ("ax", "ay", "az")
+#: Samples of a block, and points of the grid in a segment, which one window orders; seconds of events in one.
+BLOCK, SEGMENT, SPAN_S = 1 << 16, 1 << 13, 3600.0
 
 
 @dataclass(frozen=True)
@@ -37,16 +44,28 @@ class Detection:
         return max(1, round(self.baseline_s / self.hop_s))
 
 
+def lent(rows: DataFrame, order: str, size: Column | int, before: int, after: int) -> DataFrame:
+    """``rows`` with block and own: each run is cut by ``order`` into blocks of ``size``, and the rows of a block's first
+    ``after`` and last ``before`` places are lent (not own) to the block before and after."""
+    block, place = F.floor(F.col(order) / size).cast("bigint"), F.col(order) % size
+    to = F.array_compact(F.array(block, F.when(place >= size - before, block + 1), F.when(place < after, block - 1)))
+    return rows.withColumn("__own", block).withColumn("block", F.explode(to)).withColumn("own", F.col("block") == F.col("__own")).drop("__own")
+
+
 def _before(samples: DataFrame) -> DataFrame:
     """``samples`` with before, the time of sample i - 1 of the run."""
-    return samples.join(samples.select("run_id", (F.col("i") + 1).alias("i"), F.col("time_s").alias("before")), ["run_id", "i"], "left")
+    near = Window.partitionBy("run_id", "block").orderBy("i")
+    last = F.lag(F.struct("i", "time_s")).over(near)
+    rows = lent(samples, "i", BLOCK, 1, 0).withColumn("before", last)
+    return rows.where("own").withColumn("before", F.when(F.col("before.i") == F.col("i") - 1, F.col("before.time_s"))).drop("block", "own")
 
 
 def median_rate(samples: DataFrame) -> DataFrame:
     """run_id, fs_hz: one over the median of the positive time steps; null if there are none."""
-    steps = _before(samples.select("run_id", "i", "time_s")).withColumn("dt", F.col("time_s") - F.col("before"))
-    usual = F.expr("percentile(CASE WHEN dt > 0 AND NOT isnan(dt) AND dt < double('infinity') THEN dt END, 0.5)")
-    return steps.groupBy("run_id").agg((1 / usual).alias("fs_hz"))
+    steps = _before(samples.select("run_id", "i", "time_s")).select("run_id", (F.col("time_s") - F.col("before")).alias("dt"))
+    sound = F.when((F.col("dt") > 0) & (F.col("dt") < float("inf")), F.col("dt"))  # NaN is above infinity
+    usual = quantiles(saved(steps.select("run_id", sound.alias("dt")), "steps"), ["run_id"], "dt", [0.5])
+    return usual.select("run_id", (1 / F.col("q0")).alias("fs_hz"))
 
 
 def chosen_rate(runs: DataFrame, method: str = "median_dt", dataset_fs: float | None = None, low: float = 10.0, high: float = 200_000.0) -> DataFrame:
@@ -83,10 +102,19 @@ def resampled(samples: DataFrame, fs: float, target: float | None, channels: tup
     return both.select("run_id", F.col("k").alias("i"), (F.col("t0") + F.col("k") / F.lit(target)).alias("time_s"), *[(F.col(c) + F.coalesce(F.col("share") * (F.col(f"{c}_next") - F.col(c)), F.lit(0.0))).alias(c) for c in channels])
 
 
+def _untimed() -> Column:
+    return F.col("time_s").isNull() | F.isnan("time_s") | (F.abs("time_s") == float("inf"))
+
+
+def untimed(samples: DataFrame) -> DataFrame:
+    """Samples without a time, for quarantine: they have no place in the order of time."""
+    return samples.where(_untimed())
+
+
 def in_order_of_time(samples: DataFrame, bucket_s: float = 60.0) -> DataFrame:
-    """``samples`` with j, the place in the run by time_s: places within buckets of time, and the sizes of the buckets
-    before added."""
-    keyed = samples.withColumn("__b", F.floor(F.col("time_s") / bucket_s))
+    """``samples`` that have a time with j, the place in the run by time_s: places within buckets of time, and the sizes
+    of the buckets before added. ``untimed`` gives the others."""
+    keyed = samples.where(~_untimed()).withColumn("__b", F.floor(F.col("time_s") / bucket_s))
     sizes = keyed.groupBy("run_id", "__b").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("run_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("run_id", "__b", F.coalesce(before, F.lit(0)).alias("__start"))
@@ -119,9 +147,9 @@ def usable_channel(samples: DataFrame, channel: str = "az") -> DataFrame:
     return _channels(samples, channel).select("run_id", "channel").where("channel IS NOT NULL")
 
 
-def _channels(samples: DataFrame, channel: str) -> DataFrame:
-    """run_id, channel (as ``usable_channel``), and how many values of each axis there are."""
-    has = samples.groupBy("run_id").agg(*[F.count(_value(a)).alias(f"n_{a}") for a in AXES])
+def _channels(samples: DataFrame, channel: str, more: Sequence[Column] = ()) -> DataFrame:
+    """run_id, channel (as ``usable_channel``), how many values of each axis there are, and ``more`` of each run."""
+    has = samples.groupBy("run_id").agg(*[F.count(_value(a)).alias(f"n_{a}") for a in AXES], *more)
     wanted = F.col(f"n_{channel}") > 0 if channel in AXES else sum((F.col(f"n_{a}") for a in AXES), F.lit(0)) > 0
     return has.withColumn("channel", F.coalesce(F.when(wanted, F.lit(channel)), *[F.when(F.col(f"n_{a}") > 0, F.lit(a)) for a in ("az", "ay", "ax")]))
 
@@ -132,10 +160,28 @@ def energy() -> Column:
     return F.when(F.col("channel") == "magnitude", F.sqrt(sum(squares[1:], squares[0]))).otherwise(F.coalesce(*[F.when(F.col("channel") == a, _value(a)) for a in AXES]))
 
 
+def _means(channel: str) -> tuple[list[Column], Column]:
+    """Sums over a run, and from them the mean of its energy: that of its channel, or of the magnitude over its axes."""
+    if channel != "magnitude":
+        of = [F.when(F.col("channel") == a, F.try_divide(F.col(f"sum_{a}"), F.col(f"n_{a}"))) for a in AXES]
+        return [F.sum(_value(a)).alias(f"sum_{a}") for a in AXES], F.coalesce(*of, F.lit(0.0))
+    sums, of = [], []
+    for k in range(1, 8):  # which axes a run has shows only when it is read: sums for each set of them
+        axes = [a for j, a in enumerate(AXES) if k >> j & 1]
+        size = F.sqrt(sum((_value(a) * _value(a) for a in axes[1:]), _value(axes[0]) * _value(axes[0])))
+        sums += [F.sum(size).alias(f"sum_{k}"), F.count(size).alias(f"count_{k}")]
+        has = [(F.col(f"n_{a}") > 0) == (a in axes) for a in AXES]
+        of.append(F.when((F.col("channel") == "magnitude") & has[0] & has[1] & has[2], F.try_divide(F.col(f"sum_{k}"), F.col(f"count_{k}"))))
+    return sums, F.coalesce(*of, F.lit(0.0))
+
+
 def run_plan(samples: DataFrame, how: Detection, rates: DataFrame | None = None) -> DataFrame:
-    """A row for each run that can be searched: channel, fs_hz, samples of its window and hop, and their greatest
-    common divisor. ``rates``: run_id, fs_hz; runs without a rate there are left out."""
-    runs = _channels(samples, how.channel).where("channel IS NOT NULL")
+    """A row for each run that can be searched: channel, the mean of its energy, fs_hz, samples of its window and hop, and
+    their greatest common divisor, by one pass over the samples. ``rates``: run_id, fs_hz; runs without a rate there are
+    left out."""
+    sums, mean = _means(how.channel)
+    runs = _channels(samples, how.channel, sums).where("channel IS NOT NULL").withColumn("mean", mean)
+    runs = runs.select("run_id", "channel", *[f"n_{a}" for a in AXES], "mean")
     runs = runs.withColumn("fs_hz", F.lit(float(how.fs_hz))) if rates is None else runs.join(rates.select("run_id", "fs_hz").where("fs_hz IS NOT NULL"), "run_id")
     size = lambda seconds: F.greatest(F.lit(1), F.bround(F.col("fs_hz") * float(seconds))).cast("bigint")
     runs = runs.withColumn("window", size(how.window_s)).withColumn("hop", size(how.hop_s))
@@ -146,19 +192,19 @@ def run_plan(samples: DataFrame, how: Detection, rates: DataFrame | None = None)
 
 def centred(samples: DataFrame, runs: DataFrame) -> DataFrame:
     """run_id, i, x, and the columns of ``runs``: energy with gaps filled by the run's mean, less that mean."""
-    told = samples.join(runs, "run_id").withColumn("x", energy())
-    means = told.groupBy("run_id").agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("mean"))
-    return told.drop(*AXES).join(means, "run_id").withColumn("x", F.coalesce("x", "mean") - F.col("mean")).drop("mean")
+    told = samples.select("run_id", "i", *AXES).join(runs, "run_id")
+    return told.withColumn("x", F.coalesce(energy(), "mean") - F.col("mean")).drop(*AXES)
 
 
 def sliding_rms(samples: DataFrame, how: Detection, rates: DataFrame | None = None) -> DataFrame:
     """run_id, k, t_s, rms on each run's own hop grid; only windows that lie within the run.
 
     Samples are summed to buckets of the common divisor of window and hop; each bucket then counts in every window
-    that it lies in, so a run of any length and rate is sums by equal keys.
+    that it lies in, so a run of any length and rate is sums by equal keys.  The plan of the runs is written first, so
+    Spark knows its size: where that is small, samples stay where they are.
     """
     by = ["run_id", "window", "hop", "step", "fs_hz"]
-    rows = centred(samples, run_plan(samples, how, rates))
+    rows = centred(samples, saved(run_plan(samples, how, rates), "runs"))
     sums = rows.groupBy(*by, F.floor(F.col("i") / F.col("step")).alias("b")).agg(F.sum(F.col("x") * F.col("x")).alias("e"), F.count("*").alias("n"))
     start = F.col("b") * F.col("step")
     first = F.greatest(F.lit(0), F.ceil((start + F.col("step") - F.col("window")) / F.col("hop"))).cast("bigint")
@@ -171,37 +217,62 @@ def sliding_rms(samples: DataFrame, how: Detection, rates: DataFrame | None = No
 
 
 def scored(grid: DataFrame, how: Detection) -> DataFrame:
-    """The grid with stat and threshold by the method."""
+    """The grid with stat and threshold by the method. It is read more than once: give one that is written."""
     if how.method == "absolute":
         return grid.withColumn("stat", F.col("rms")).withColumn("threshold", F.lit(float(how.threshold)))
     if how.method == "quantile":
-        cut = grid.groupBy("run_id").agg(F.percentile("rms", how.threshold).alias("threshold"))
-        return grid.join(cut, "run_id").withColumn("stat", F.col("rms"))
+        cut = quantiles(grid, ["run_id"], "rms", [how.threshold]).withColumnRenamed("q0", "threshold")
+        return grid.join(saved(cut, "thresholds"), "run_id").withColumn("stat", F.col("rms"))
     if how.method != "zscore":
         raise ValueError(f"unknown method {how.method}")
     n = how.baseline
-    frame = Window.partitionBy("run_id").orderBy("k").rowsBetween(-(n // 2), (n - 1) // 2)
-    whole = grid.groupBy("run_id").agg(((F.percentile("rms", 0.5) - F.percentile("rms", 0.1)) / 1.2816).alias("global_sd"), F.stddev_pop("rms").alias("run_sd"))
-    local = grid.withColumn("median", F.percentile("rms", 0.5).over(frame)).withColumn("q10", F.percentile("rms", 0.1).over(frame)).join(whole, "run_id")
+    frame = Window.partitionBy("run_id", "block").orderBy("k").rowsBetween(-(n // 2), (n - 1) // 2)
+    spread = grid.groupBy("run_id").agg(F.stddev_pop("rms").alias("run_sd"))
+    whole = quantiles(grid, ["run_id"], "rms", [0.5, 0.1]).join(spread, "run_id").select("run_id", ((F.col("q0") - F.col("q1")) / 1.2816).alias("global_sd"), "run_sd")
+    rows = lent(grid, "k", max(SEGMENT, 4 * n), n // 2, (n - 1) // 2)
+    local = rows.withColumn("median", F.percentile("rms", 0.5).over(frame)).withColumn("q10", F.percentile("rms", 0.1).over(frame)).where("own").drop("block", "own")
+    local = local.join(saved(whole, "run-spreads"), "run_id")
     positive = lambda x: F.when((x > 0) & ~F.isnan(x), x)
     sd = F.coalesce(positive((F.col("median") - F.col("q10")) / 1.2816), positive(F.col("global_sd")), positive(F.col("run_sd")), F.lit(1.0))
     return local.withColumn("stat", (F.col("rms") - F.col("median")) / sd).withColumn("threshold", F.lit(float(how.threshold))).drop("median", "q10", "global_sd", "run_sd")
 
 
 def islands(stats: DataFrame) -> DataFrame:
-    """run_id, t_event_s, t_start_s, t_end_s, score of each stretch of grid points over the threshold."""
-    over = stats.where(F.col("stat") > F.col("threshold"))
-    over = over.withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy("run_id").orderBy("k")))
-    peak = F.max_by("t_s", F.struct(F.col("stat"), -F.col("k")))
-    return over.groupBy("run_id", "island").agg(peak.alias("t_event_s"), F.min("t_s").alias("t_start_s"), F.max("t_s").alias("t_end_s"), F.max("stat").alias("score")).drop("island")
+    """run_id, t_event_s, t_start_s, t_end_s, score of each stretch of grid points over the threshold.
+
+    Stretches are found within segments; only those that touch a segment's end, two a segment at most, are ordered
+    over the run and joined where they meet.
+    """
+    over = stats.where(F.col("stat") > F.col("threshold")).withColumn("segment", F.floor(F.col("k") / SEGMENT))
+    place = F.row_number().over(Window.partitionBy("run_id", "segment").orderBy("k"))
+    peak = F.max_by(F.struct("t_s", "stat", "k"), F.struct(F.col("stat"), -F.col("k")))
+    parts = over.withColumn("island", F.col("k") - place).groupBy("run_id", "segment", "island").agg(peak.alias("peak"), F.min("t_s").alias("t_start_s"), F.max("t_s").alias("t_end_s"), F.min("k").alias("first"), F.max("k").alias("last"))
+    parts = saved(parts.drop("segment", "island"), "stretches")
+    touching = (F.col("first") % SEGMENT == 0) | (F.col("last") % SEGMENT == SEGMENT - 1)
+    order = Window.partitionBy("run_id").orderBy("first")
+    begins = F.when(F.lag("last").over(order) == F.col("first") - 1, 0).otherwise(1)
+    joined = parts.where(touching).withColumn("begins", begins).withColumn("g", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.max_by("peak", F.struct(F.col("peak.stat"), -F.col("peak.k")))
+    joined = joined.groupBy("run_id", "g").agg(best.alias("peak"), F.min("t_start_s").alias("t_start_s"), F.max("t_end_s").alias("t_end_s"))
+    columns = ["run_id", F.col("peak.t_s").alias("t_event_s"), "t_start_s", "t_end_s", F.col("peak.stat").alias("score")]
+    return parts.where(~touching).select(*columns).unionByName(joined.select(*columns))
 
 
 def merged(events: DataFrame, min_separation_s: float) -> DataFrame:
-    """Events closer than the separation are one; the higher score gives its peak, the earlier among equals."""
-    order = Window.partitionBy("run_id").orderBy("t_start_s")
-    last = F.max("t_end_s").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = events.withColumn("begins", F.when(last.isNull() | (F.col("t_start_s") - last >= min_separation_s), 1).otherwise(0))
-    grouped = begins.withColumn("g", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """Events closer than the separation are one; the higher score gives its peak, the earlier among equals.
+
+    Events are ordered within spans of time; of each span only its latest end and its number of beginnings are carried
+    on, by a scan of the spans' summaries.
+    """
+    rows = saved(events.withColumn("span", F.floor(F.col("t_start_s") / SPAN_S)), "events-apart")
+    inside = Window.partitionBy("run_id", "span").orderBy("t_start_s", "t_end_s", "t_event_s")
+    earlier = Window.partitionBy("run_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("run_id", "span").agg(F.max("t_end_s").alias("end")).withColumn("end", F.max("end").over(earlier))
+    last = F.greatest(F.max("t_end_s").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("end"))
+    begun = rows.join(ends, ["run_id", "span"]).withColumn("before", last).withColumn("begins", F.when(F.col("before").isNull() | (F.col("t_start_s") - F.col("before") >= min_separation_s), 1).otherwise(0))
+    begun = saved(begun.drop("end", "before"), "events-begun")
+    counts = begun.groupBy("run_id", "span").agg(F.sum("begins").alias("n")).withColumn("n", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    grouped = begun.join(counts, ["run_id", "span"]).withColumn("g", F.col("n") + F.sum("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     peak = F.max_by("t_event_s", F.struct(F.col("score"), -F.col("t_start_s")))
     return grouped.groupBy("run_id", "g").agg(peak.alias("t_event_s"), F.min("t_start_s").alias("t_start_s"), F.max("t_end_s").alias("t_end_s"), F.max("score").alias("score")).drop("g")
 
@@ -209,7 +280,7 @@ def merged(events: DataFrame, min_separation_s: float) -> DataFrame:
 def detected(samples: DataFrame, how: Detection, rates: DataFrame | None = None) -> DataFrame:
     """Events of all runs, each at its own rate (``rates``: run_id, fs_hz; ``how.fs_hz`` without) and by the channel
     that it has."""
-    found = merged(islands(scored(sliding_rms(samples, how, rates), how)), how.min_separation_s)
+    found = merged(islands(scored(saved(sliding_rms(samples, how, rates), "grid"), how)), how.min_separation_s)
     return found.where(F.lit(how.min_duration_s <= 0) | (F.col("t_end_s") - F.col("t_start_s") >= how.min_duration_s))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import number, severity, stable_hash
 from ..operators import timeseries as ts
 from ..operators.contracts import renamed
+from ..operators.selection import quantiles
 from ..sources import readers, sinks
 from ..sources.shared import new_path, saved
 
@@ -204,8 +205,8 @@ def incident_amplitude(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_severity(amplitudes: DataFrame) -> DataFrame:
     """A cut may be one of the amplitudes: rounded, it stays equal to it however sums are ordered."""
     amplitudes = amplitudes.withColumn("amplitude", F.round("amplitude", 9))
-    cuts = amplitudes.agg(F.percentile("amplitude", [1 / 3, 2 / 3])).scalar()
-    return amplitudes.withColumn("severity_label", severity(F.col("amplitude"), F.get(cuts, F.lit(0)), F.get(cuts, F.lit(1))))
+    cuts = saved(quantiles(amplitudes.withColumn("all", F.lit(0)), ["all"], "amplitude", [1 / 3, 2 / 3]), "cuts")
+    return amplitudes.withColumn("severity_label", severity(F.col("amplitude"), cuts.select("q0").scalar(), cuts.select("q1").scalar()))
 
 
 def incident_severity(spark: SparkSession, sf_dir: str) -> DataFrame:

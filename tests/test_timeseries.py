@@ -1,7 +1,10 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millwatch.operators import selection
 from millwatch.operators import timeseries as ts
 from millwatch.operators.timeseries import Detection
 
@@ -140,3 +143,80 @@ def test_channels_fall_back(spark):
 def test_caps_take_the_first_events(spark):
     events = spark.createDataFrame([("a", float(t)) for t in (3, 1, 2)] + [("b", 9.0)], "run_id string, t_event_s double")
     assert sorted(map(tuple, ts.capped(events, 2).collect())) == [("a", 1.0), ("a", 2.0), ("b", 9.0)]
+
+
+def plain_islands(points, apart):
+    """Stretches over the threshold of (k, t, stat), then merged when closer than ``apart``."""
+    found, run = [], []
+    for k, t, stat in [*sorted(points), (10**9, 0, -1)]:
+        if run and (stat <= 1 or k != run[-1][0] + 1):
+            best = max(run, key=lambda p: (p[2], -p[0]))
+            found.append([best[1], run[0][1], run[-1][1], best[2]])
+            run = []
+        if stat > 1:
+            run.append((k, t, stat))
+    return found, plain_merged(found, apart)
+
+
+def plain_merged(found, apart):
+    out = []
+    for event in sorted(found, key=lambda e: (e[1], e[2], e[0])):
+        if out and event[1] - max(e[2] for e in out[-1]) < apart:
+            out[-1].append(event)
+        else:
+            out.append([event])
+    return [(max(g, key=lambda e: (e[3], -e[1]))[0], min(e[1] for e in g), max(e[2] for e in g), max(e[3] for e in g)) for g in out]
+
+
+@pytest.mark.parametrize("segment,span", [(3, 1.0), (8192, 3600.0)])
+def test_stretches_and_events_across_segments(spark, monkeypatch, segment, span):
+    monkeypatch.setattr(ts, "SEGMENT", segment)
+    monkeypatch.setattr(ts, "SPAN_S", span)
+    rng = random.Random(segment)
+    runs = {f"r{n}": [(k, k / 4, rng.choice([0.5, 1.5, 2.0, 2.5] if k // 20 % 2 else [0.5, 3.0])) for k in range(120) if rng.random() < 0.97] for n in range(3)} | {"all": [(k, k / 4, 2.0) for k in range(50)]}
+    grid = spark.createDataFrame([(r, *p, 1.0) for r, points in runs.items() for p in points], "run_id string, k long, t_s double, stat double, threshold double").repartition(3)
+    found = ts.islands(grid)
+    for name, got, pick in (("islands", found, 0), ("merged", ts.merged(found, 1.1), 1)):
+        rows = {}
+        for r in got.select("run_id", "t_event_s", "t_start_s", "t_end_s", "score").collect():
+            rows.setdefault(r[0], set()).add(tuple(r)[1:])
+        assert rows == {r: {tuple(e) for e in plain_islands(points, 1.1)[pick]} for r, points in runs.items()}, name
+
+
+def test_events_that_reach_over_spans_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(ts, "SPAN_S", 2.0)
+    rng = random.Random(4)
+    events = [[s + 0.1, s, s + rng.choice([0.5, 0.5, 0.5, 9.0]), float(rng.randint(0, 5))] for s in (rng.randint(0, 400) / 4 for _ in range(60))]
+    got = ts.merged(spark.createDataFrame([("r", *e) for e in events], "run_id string, t_event_s double, t_start_s double, t_end_s double, score double"), 1.0)
+    assert sorted((r.t_start_s, r.t_end_s, r.score) for r in got.collect()) == sorted(e[1:] for e in plain_merged(events, 1.0))
+
+
+@pytest.mark.parametrize("kind", ["equal", "wide"])
+def test_quantiles_are_exact_whatever_the_groups_size(spark, monkeypatch, kind):
+    monkeypatch.setattr(selection, "SMALL", 20)
+    monkeypatch.setattr(selection, "CELLS", 32)
+    rng = random.Random(kind)
+    value = {"plain": lambda: rng.gauss(0, 1), "equal": lambda: rng.choice([1.0, 1.0, 1.0, 2.0, 1e9]), "wide": lambda: rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 308), "two": lambda: rng.choice([0.1, 0.1 + 1e-17, 0.3])}[kind]
+    groups = {"a": [value() for _ in range(400)], "b": [value() for _ in range(19)], "c": [value() for _ in range(21)] + [None, float("nan")], "d": [None]}
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double").repartition(3)
+    shares = [0.5, 1 / 3, 1.0]
+    got = {r.g: tuple(r)[1:] for r in selection.quantiles(df, ["g"], "v", shares).collect()}
+    for g, values in groups.items():
+        x = sorted(v for v in values if v is not None and v == v)
+        for share, have in zip(shares, got[g], strict=True):
+            if not x:
+                assert have is None
+                continue
+            at = share * (len(x) - 1)
+            low, high = x[int(at)], x[-int(-at // 1)]
+            assert have == pytest.approx(low + (at - int(at)) * (high - low), rel=1e-12, abs=1e-300)
+
+
+def test_neighbours_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ts, "BLOCK", 4)
+    rows = [("r", i, i * i / 10) for i in range(30) if i != 12] + [("s", i, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "run_id string, i long, time_s double").repartition(4)
+    got = {(r.run_id, r.i): r.before for r in ts._before(df).collect()}
+    times = {(r, i): t for r, i, t in rows}
+    assert got == {(r, i): times.get((r, i - 1)) for r, i, _ in rows}
+    assert ts.untimed(df).count() == 5
