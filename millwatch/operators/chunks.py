@@ -22,14 +22,25 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
 
 
-def token_windows(text: Column, target: int = 175, most: int = 220, overlap: int = 20, respect_headings: bool = True) -> Column:
-    """Chunks of a text as (text, n_tokens): windows of tokens that overlap, none across a heading."""
+def token_windows(text: Column, target: int = 175, most: int = 220, overlap: int = 20, respect_headings: bool = True, least: int = 0) -> Column:
+    """Chunks of a text as (text, n_tokens): windows of tokens that overlap, none across a heading.
+
+    A last window of a section with fewer than ``least`` tokens goes with the one before where both have ``most`` at
+    most; else it begins earlier, so that it has ``least``. A section of fewer tokens altogether stays as it is.
+    """
     size = min(target, most)
+    if least > size:
+        raise ValueError(f"at least {least} tokens don't fit windows of {size}")
     step = max(1, size - overlap)
 
     def cut(words: Column) -> Column:
         last = F.greatest(F.lit(0), F.ceil((F.size(words) - size) / F.lit(step))).cast("int")
         windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * step + 1, size))
+        if least > 0:
+            n, tail = F.size(words), F.size(words) - last * step
+            short, joined = (last > 0) & (tail < least), n - (last - 1) * step <= most
+            ending = F.when(joined, F.slice(words, (last - 1) * step + 1, F.lit(most))).otherwise(F.slice(words, n - least + 1, F.lit(least)))
+            windows = F.when(short, F.concat(F.slice(windows, F.lit(1), F.when(joined, last - 1).otherwise(last)), F.array(ending))).otherwise(windows)
         chunks = F.transform(windows, lambda x: F.struct(F.array_join(x, " ").alias("text"), F.size(x).cast("long").alias("n_tokens")))
         return F.filter(chunks, lambda x: x["n_tokens"] > 0)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import REGIMES, SPLITS, number
@@ -53,3 +53,16 @@ def counters(df: DataFrame, **notes: Column) -> DataFrame:
     """One row: discovered, written and errors of rows with ``violations``, and how many rows each note holds for."""
     valid = F.size("violations") == 0
     return df.agg(F.count("*").alias("discovered"), F.count_if(valid).alias("written"), F.count_if(~valid).alias("errors"), *[F.count_if(c).alias(name) for name, c in notes.items()])
+
+
+def observed(df: DataFrame, **notes: Column) -> tuple[DataFrame, Observation]:
+    """``df`` (rows with ``violations``) and what ``counters`` says of it once an action has gone over all of it: the
+    write itself counts, with no pass of its own. ``counts_of`` waits for the action."""
+    seen, valid = Observation(), F.size("violations") == 0
+    told = [F.count(F.lit(1)).alias("discovered"), F.count_if(valid).alias("written"), F.count_if(~valid).alias("errors"), *[F.count_if(c).alias(name) for name, c in notes.items()]]
+    return df.observe(seen, *told), seen
+
+
+def counts_of(df: DataFrame, seen: Observation) -> DataFrame:
+    """What was counted, as one row."""
+    return df.sparkSession.createDataFrame([tuple(seen.get.values())], ", ".join(f"`{c}` bigint" for c in seen.get))

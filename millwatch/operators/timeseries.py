@@ -284,6 +284,16 @@ def detected(samples: DataFrame, how: Detection, rates: DataFrame | None = None)
     return found.where(F.lit(how.min_duration_s <= 0) | (F.col("t_end_s") - F.col("t_start_s") >= how.min_duration_s))
 
 
+def labelled(labels: DataFrame, how: Detection) -> DataFrame:
+    """Events from intervals that people marked (run_id, start_s, end_s), in place of detection: merged and long enough as
+    detected ones, with their middle as the event and a score of 1. Intervals without a bound, or that end before they
+    start, are left out."""
+    sound = labels.where("start_s <= end_s").where(~F.isnan("start_s") & (F.abs("start_s") < float("inf")) & ~F.isnan("end_s") & (F.abs("end_s") < float("inf")))
+    marked = sound.select("run_id", F.lit(0.0).alias("t_event_s"), F.col("start_s").alias("t_start_s"), F.col("end_s").alias("t_end_s"), F.lit(1.0).alias("score"))
+    found = merged(marked, how.min_separation_s).withColumn("t_event_s", (F.col("t_start_s") + F.col("t_end_s")) / 2)
+    return found.where(F.lit(how.min_duration_s <= 0) | (F.col("t_end_s") - F.col("t_start_s") >= how.min_duration_s))
+
+
 def capped(events: DataFrame, most: int) -> DataFrame:
     """The first events of each run, by time: the cap that a user asks for."""
     return events.withColumn("nth", F.row_number().over(Window.partitionBy("run_id").orderBy("t_event_s"))).where(F.col("nth") <= most).drop("nth")
@@ -323,6 +333,27 @@ def with_spans(index: DataFrame, pad_s: float = 0.5, most: int = 5) -> DataFrame
     return index.withColumn("sensor_relevant_spans", F.slice(F.when(end >= start, span).otherwise(F.array().cast("array<struct<start_s:double,end_s:double>>")), 1, most))
 
 
+def with_energy_spans(index: DataFrame, grid: DataFrame, window_s: float, pad_s: float = 0.5, most: int = 5) -> DataFrame:
+    """sensor_relevant_spans: up to ``most`` windows of the RMS grid with the most energy, none of which overlap, padded,
+    cut to the incident's window, relative to the peak and in order of time. Among equals the earlier comes first.
+
+    Grid points and incidents meet in buckets of time; an incident has as many points as its window has hops.
+    """
+    spread = F.greatest(F.lit(1e-9), F.lit(float(window_s)))
+    reach = 60.0
+    keys = index.select("incident_id", "run_id", "window_start_s", "window_end_s").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("window_start_s") / reach), F.floor(F.col("window_end_s") / reach))))
+    inside = grid.withColumn("bucket", F.floor(F.col("t_s") / reach)).join(keys, ["run_id", "bucket"]).where("t_s BETWEEN window_start_s AND window_end_s")
+    # RMS falls, then time rises, in an array sorted upwards
+    points = inside.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct((-F.round("rms", 9)).alias("less"), "t_s"))).alias("points"))
+    none = F.array().cast("array<double>")
+    fits = lambda kept, p: (F.size(kept) < most) & F.forall(kept, lambda t: F.round(F.abs(t - p["t_s"]), 9) >= spread)
+    best = F.aggregate("points", none, lambda kept, p: F.when(fits(kept, p), F.concat(kept, F.array(p["t_s"]))).otherwise(kept))
+    event, half = F.col("t_event_s"), window_s / 2 + pad_s
+    span = lambda t: F.struct((F.greatest(t - half, F.col("window_start_s")) - event).alias("start_s"), (F.least(t + half, F.col("window_end_s")) - event).alias("end_s"))
+    told = index.join(points.select("incident_id", F.array_sort(best).alias("best")), "incident_id", "left")
+    return told.withColumn("sensor_relevant_spans", F.transform(F.coalesce("best", none), span)).drop("best")
+
+
 def _amplitude() -> Column:
     def largest(name: str) -> Column:
         x = F.when(~F.isnan(name), F.col(name))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number, severity, stable_hash
+from ..operators import intervals
 from ..operators import timeseries as ts
 from ..operators.contracts import renamed
 from ..operators.selection import quantiles
@@ -111,6 +112,52 @@ def waveform_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(back.groupBy("source_dataset", "incident_id").agg(F.count("*").alias("n"), F.min("t_rel_s").alias("from_s"), F.max("t_rel_s").alias("to_s"), F.sum("az").alias("sum_az")))
 
 
+def waveform_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waveforms written, then written again: all of them, and some with other values."""
+    path, rows = new_path(spark, "waveforms"), saved(carved(spark, sf_dir).withColumn("source_dataset", F.lit("recordings")), "carved")
+    sinks.write_waveforms(rows, path)
+    sinks.write_waveforms(rows, path)
+    sinks.write_waveforms(rows.where("run_id = 'click'").withColumn("az", F.lit(1.0)), path)
+    back = spark.read.parquet(path)
+    return rounded(back.groupBy("source_dataset", "incident_id").agg(F.count("*").alias("n"), F.sum("az").alias("sum_az")))
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals around the highest values, taken for what people marked; some overlap, some run backwards or lack an end."""
+    i, t = F.col("i"), F.col("i") / F.lit(FS)
+    rows = samples(spark, sf_dir).where("az > 250")
+    return rows.select("run_id", (t - 0.4).alias("start_s"), F.when(i % 11 == 0, t - 0.5).when(i % 13 != 0, t + 0.6).alias("end_s"))
+
+
+def events_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ts.labelled(_marked(spark, sf_dir), HOW))
+
+
+def detection_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected events against marked intervals."""
+    bounds = lambda rows: rows.select("run_id", F.round("t_start_s", 6).alias("start_s"), F.round("t_end_s", 6).alias("end_s"))
+    return rounded(intervals.graded(bounds(events(spark, sf_dir)), bounds(ts.labelled(_marked(spark, sf_dir), HOW))))
+
+
+def evidence_spans_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the most energy in each window."""
+    rows = saved(samples(spark, sf_dir), "samples")
+    grid = saved(ts.sliding_rms(rows, HOW), "grid")
+    found = saved(ts.detected(rows, HOW), "events")
+    told = ts.with_energy_spans(saved(ts.window_index(ts.carved(rows, found, PRE, POST), FS), "window-index"), grid, HOW.window_s, 0.1, 3)
+    return rounded(told.select("incident_id", F.explode("sensor_relevant_spans").alias("s")).select("incident_id", "s.start_s", "s.end_s"))
+
+
+def dataset_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each dataset, counted as the union is written, and which are disabled or unknown."""
+    datasets = {"events": samples(spark, sf_dir).drop("time_s"), "arrays": array_samples(spark, sf_dir), "off": samples(spark, sf_dir)}
+    asked = {"off": False, "nowhere": True}
+    seen = Observation()
+    union = readers.union_datasets(datasets, asked)
+    union.observe(seen, *[F.count_if(F.col("source_dataset") == name).alias(name) for name in datasets]).write.parquet(new_path(spark, "union"))
+    return readers.dataset_counters(spark, datasets, asked, seen.get)
+
+
 def incremental_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs whose last sample is newer than what was built of them."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("incident_id")).agg(F.max("ts").alias("stamp"))
@@ -304,6 +351,34 @@ spans AS (SELECT incident_id, greatest(t_start_s - t_event_s - 0.5, window_start
 amp AS (SELECT incident_id, round(coalesce(max(abs(az - m)), 0), 9) AS amplitude FROM (SELECT incident_id, az, avg(az) OVER (PARTITION BY incident_id) AS m FROM wave) GROUP BY incident_id),
 sev AS (SELECT incident_id, amplitude, CASE WHEN amplitude <= lo THEN 'low' WHEN amplitude <= hi THEN 'med' ELSE 'high' END AS severity_label FROM amp, (SELECT quantile_cont(amplitude, 1/3::DOUBLE) AS lo, quantile_cont(amplitude, 2/3::DOUBLE) AS hi FROM amp))"""
 
+_LABELLED = f"""{NORM},
+marks AS (SELECT run_id, i / 100::DOUBLE - 0.4 AS s, CASE WHEN i % 11 = 0 THEN i / 100::DOUBLE - 0.5 WHEN i % 13 <> 0 THEN i / 100::DOUBLE + 0.6 END AS e FROM norm WHERE az > 250),
+sound AS (SELECT * FROM marks WHERE s <= e),
+m1 AS (SELECT *, max(e) OVER (PARTITION BY run_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM sound),
+m2 AS (SELECT *, sum(CASE WHEN p IS NULL OR s - p >= 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY s, e) AS g FROM m1),
+ev AS (SELECT run_id, (min(s) + max(e)) / 2 AS t_event_s, min(s) AS t_start_s, max(e) AS t_end_s, 1.0::DOUBLE AS score FROM m2 GROUP BY run_id, g HAVING max(e) - min(s) >= 0.1)"""
+
+
+def _folded(pairs: str, state: str) -> str:
+    """The greedy choice among ranked rows (key, r, a, b, w): each is taken if neither a nor b is."""
+    return f"""fold AS (SELECT DISTINCT {state} AS key, 0::BIGINT AS r, []::DOUBLE[] AS xs, []::DOUBLE[] AS ys, []::DOUBLE[] AS ws FROM {pairs}
+UNION ALL SELECT f.key, p.r, CASE WHEN list_contains(xs, p.a) OR list_contains(ys, p.b) THEN xs ELSE list_append(xs, p.a) END, CASE WHEN list_contains(xs, p.a) OR list_contains(ys, p.b) THEN ys ELSE list_append(ys, p.b) END, CASE WHEN list_contains(xs, p.a) OR list_contains(ys, p.b) THEN ws ELSE list_append(ws, p.w) END FROM fold f JOIN {pairs} p ON p.{state} = f.key AND p.r = f.r + 1)"""
+
+
+_GRADE = f"""RECURSIVE det AS (WITH {events_cte()} SELECT run_id, round(t_start_s, 6) AS s, round(t_end_s, 6) AS e FROM ev WHERE round(t_start_s, 6) < round(t_end_s, 6)),
+lab AS (WITH {_LABELLED} SELECT run_id, round(t_start_s, 6) AS s, round(t_end_s, 6) AS e FROM ev WHERE round(t_start_s, 6) < round(t_end_s, 6)),
+met AS (SELECT d.run_id, d.s AS a, l.s AS b, round((least(d.e, l.e) - greatest(d.s, l.s)) / (greatest(d.e, l.e) - least(d.s, l.s)), 9) AS w FROM det d JOIN lab l ON d.run_id = l.run_id AND least(d.e, l.e) > greatest(d.s, l.s)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY w DESC, a, b) AS r FROM met),
+{_folded('ranked', 'run_id')},
+won AS (SELECT key AS run_id, max_by(ws, r) AS ws FROM fold GROUP BY 1),
+nd AS (SELECT run_id, count(*) AS n_events FROM det GROUP BY 1), nl AS (SELECT run_id, count(*) AS n_labels FROM lab GROUP BY 1)"""
+
+_ENERGY = f"""{CARVED.replace("spans AS (", "old_spans AS (", 1)},
+pts AS (SELECT incident_id, t_event_s, window_start_s, window_end_s, g.t_s, row_number() OVER (PARTITION BY incident_id ORDER BY round(rms, 9) DESC, g.t_s) AS r FROM idx JOIN grid g ON g.run_id = idx.run_id AND g.t_s BETWEEN window_start_s AND window_end_s),
+fold AS (SELECT DISTINCT incident_id, 0::BIGINT AS r, []::DOUBLE[] AS kept FROM pts
+UNION ALL SELECT f.incident_id, p.r, CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda t: round(abs(t - p.t_s), 9) < 0.5)) = 0 THEN list_append(kept, p.t_s) ELSE kept END FROM fold f JOIN pts p ON p.incident_id = f.incident_id AND p.r = f.r + 1),
+picked AS (SELECT incident_id, unnest(max_by(kept, r)) AS t FROM fold GROUP BY 1)"""
+
 _EV = "SELECT run_id, round(t_event_s, 6) AS t_event_s, round(t_start_s, 6) AS t_start_s, round(t_end_s, 6) AS t_end_s, round(score, 6) AS score FROM ev"
 _OWN_CHANNEL = "CASE WHEN run_id = 'click' THEN ay ELSE az END"
 _ARRAYS = "arr AS (SELECT vec_id::VARCHAR AS run_id, u AS i, embedding[u * 3 + 1]::DOUBLE AS ax, embedding[u * 3 + 2]::DOUBLE AS ay, embedding[u * 3 + 3]::DOUBLE AS az FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 3)) AS u FROM embeddings))"
@@ -323,6 +398,11 @@ SQL = {
     "csv_headers": f"WITH {NORM} SELECT run_id AS run, i, round(time_s, 6) AS time_s, CASE WHEN length(run_id) % 3 <> 2 THEN ax END AS ax, ay, round(az, 6) AS az FROM norm WHERE run_id <> 'error'",
     "csv_unread": "SELECT DISTINCT event_type AS run FROM events WHERE event_type = 'error'",
     "waveform_table": f"WITH {CARVED} SELECT 'recordings' AS source_dataset, incident_id, count(*) AS n, round(min(t_rel_s), 6) AS from_s, round(max(t_rel_s), 6) AS to_s, round(sum(az), 6) AS sum_az FROM wave GROUP BY 2",
+    "waveform_rewrite": f"WITH {CARVED} SELECT 'recordings' AS source_dataset, incident_id, count(*) AS n, round(sum(CASE WHEN run_id = 'click' THEN 1.0::DOUBLE ELSE az END), 6) AS sum_az FROM wave GROUP BY 2",
+    "events_labelled": f"WITH {_LABELLED} {_EV}",
+    "detection_grade": f"WITH {_GRADE} SELECT run_id, coalesce(n_events, 0) AS n_events, coalesce(n_labels, 0) AS n_labels, coalesce(len(ws), 0) AS n_matched, round(coalesce(len(ws), 0) / n_events, 6) AS \"precision\", round(coalesce(len(ws), 0) / n_labels, 6) AS recall, round(list_avg(ws), 6) AS mean_share FROM nd FULL JOIN nl USING (run_id) LEFT JOIN won USING (run_id)",
+    "evidence_spans_energy": f"WITH RECURSIVE {_ENERGY} SELECT incident_id, round(greatest(t - 0.35, window_start_s) - t_event_s, 6) AS start_s, round(least(t + 0.35, window_end_s) - t_event_s, 6) AS end_s FROM picked JOIN idx USING (incident_id)",
+    "dataset_states": "SELECT 'events' AS source_dataset, 'enabled' AS state, count(*) AS n FROM events UNION ALL SELECT 'arrays', 'enabled', sum(len(embedding) // 3)::BIGINT FROM embeddings UNION ALL SELECT 'off', 'disabled', 0 UNION ALL SELECT 'nowhere', 'unknown', 0",
     "incremental_stamp": "SELECT DISTINCT event_type AS incident_id FROM events WHERE event_type IN ('click', 'view')",
     "sliding_rms": f"WITH {_rms()} SELECT run_id, k, round(t_s, 6) AS t_s, round(rms, 6) AS rms FROM grid",
     "magnitude_rms": f"WITH {_rms('sqrt(ax * ax + ay * ay + az * az)')} SELECT run_id, k, round(t_s, 6) AS t_s, round(rms, 6) AS rms FROM grid",

@@ -43,6 +43,13 @@ def stage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.counters(_checked(spark, sf_dir), urgent=F.col("o_orderpriority") == "1-URGENT", no_clerk=F.col("o_orderkey").isNull())
 
 
+def stage_counters_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``stage_counters``, counted by the stage's own write."""
+    rows, seen = contracts.observed(_checked(spark, sf_dir), urgent=F.col("o_orderpriority") == "1-URGENT", no_clerk=F.col("o_orderkey").isNull())
+    contracts.kept(rows).write.parquet(new_path(spark, "orders-kept"))
+    return contracts.counts_of(rows, seen)
+
+
 def label_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations")
     label = sc.one_of(F.concat(F.lit("  "), F.upper("role"), F.lit(" ")), ("user", "assistant"))
@@ -378,6 +385,7 @@ SQL = {
     "row_contract": f"SELECT o_orderkey, array_to_string({_RULES}, ',') AS violations FROM orders",
     "quarantine": f"SELECT o_orderstatus, count(*) AS n, CASE WHEN len(v) = 0 THEN 'kept' ELSE 'quarantined' END AS side FROM (SELECT o_orderstatus, {_RULES} AS v FROM orders) GROUP BY 1, 3",
     "stage_counters": f"SELECT count(*) AS discovered, count(*) FILTER (len(v) = 0) AS written, count(*) FILTER (len(v) > 0) AS errors, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderkey IS NULL) AS no_clerk FROM (SELECT *, {_RULES} AS v FROM orders)",
+    "stage_counters_written": f"SELECT count(*) AS discovered, count(*) FILTER (len(v) = 0) AS written, count(*) FILTER (len(v) > 0) AS errors, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderkey IS NULL) AS no_clerk FROM (SELECT *, {_RULES} AS v FROM orders)",
     "label_normalization": "SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'unknown' END AS label FROM conversations",
     "clip_index": """WITH p AS (SELECT p_partkey, 'clips/' || p_brand || '/' || p_partkey || '.mp4' AS f, p_size AS s, p_size % 11 = 0 AS lone FROM part), q AS (SELECT *, CASE WHEN lone THEN 0 WHEN s % 4 <= 1 THEN 30 ELSE 30000 / 1001::DOUBLE END AS fps0, CASE WHEN lone THEN 1 WHEN s % 5 = 0 THEN s / 2::DOUBLE ELSE s END::DOUBLE AS dur, CASE WHEN lone THEN 'aac' WHEN s % 3 = 0 THEN 'h264' ELSE 'vp9' END AS codec, CASE WHEN lone THEN 0 ELSE 1280 END AS width, CASE WHEN lone THEN 0 WHEN s % 2 = 0 THEN 720 ELSE 1080 END AS height FROM p)
 SELECT p_partkey, 'vid_' || substr(sha1(concat_ws(chr(31), 'part', f)), 1, 12) AS video_id, round(fps0, 6) AS fps, round(dur, 6) AS duration_s, codec, width, height, height = 720 AND abs(fps0 - 30) < 0.5 AND codec = 'h264' AS conformant, NOT dur BETWEEN 5 AND 30 AS duration_flagged FROM q""",

@@ -127,8 +127,17 @@ def numbered_runs(rows: DataFrame, run: Column, at: Column, tie: Column, bucket_
     return keyed.withColumn("__in", inner).join(starts, ["run_id", "__b"]).withColumn("i", (F.col("__start") + F.col("__in")).cast("bigint")).drop("__at", "__tie", "__b", "__in", "__start")
 
 
+def dataset_counters(spark: SparkSession, datasets: Mapping[str, DataFrame], enabled: Mapping[str, bool], rows: Mapping[str, int]) -> DataFrame:
+    """source_dataset, state, n of every dataset that is there or asked for: enabled, disabled, or unknown where none is
+    there by that name. ``rows``: counted when the union was written."""
+    state = lambda name: "unknown" if name not in datasets else "enabled" if enabled.get(name, True) else "disabled"
+    told = [(name, state(name), rows.get(name, 0) if state(name) == "enabled" else 0) for name in dict.fromkeys([*datasets, *enabled])]
+    return spark.createDataFrame(told, "source_dataset string, state string, n bigint")
+
+
 def union_datasets(datasets: Mapping[str, DataFrame], enabled: Mapping[str, bool] | None = None) -> DataFrame:
-    """All enabled datasets in one table with source_dataset; columns that one lacks are null there."""
+    """All enabled datasets in one table with source_dataset; columns that one lacks are null there. Names asked for that
+    no dataset has are passed over; ``dataset_counters`` tells them."""
     parts = [df.withColumn("source_dataset", F.lit(name)) for name, df in datasets.items() if (enabled or {}).get(name, True)]
     if not parts:
         raise ValueError("no dataset is enabled")
