@@ -7,7 +7,8 @@ region is then the innermost element that holds (nearly) all text of content lin
 if there is one; all its lines belong to the text, short ones too, except those in parts that by element, role
 or class are menus, headers, footers, sidebars, notices, adverts, forms, reader comments or no text at all.  The
 class or id of an element that holds most text of content lines is no such mark, nor is a form that does: ratios
-overrule it.  Where a page names its parts, names and ratios mostly agree; where it doesn't, ratios alone decide.
+overrule it.  A name that only contains a word of many uses ("share-of-market") is evidence, not a verdict: its part goes
+only where less than half of its text is in content lines.  Where a page names its parts, names and ratios mostly agree; where it doesn't, ratios alone decide.
 
 Defined results: null or empty html gives an empty text; html without any tag is one block; unclosed and
 stray tags are borne as browsers do; pages of any length are read whole; repeated rows give repeated rows; input
@@ -34,10 +35,14 @@ OUT = frozenset("script style noscript template head title nav footer aside form
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark such parts.
 OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup share sharing social related recommended comment comments commentlist reply replies respond disqus discussion widget toolbar pager pagination".split())
+#: Those of them that mark a part whatever else its name says; the others do where all of a name is such words or plain
+#: ones of layout.
+SURE_WORDS = frozenset("ads adv advert adverts advertisement advertising navbar breadcrumb breadcrumbs sidebar footer masthead cookie cookies gdpr popup modal newsletter disqus commentlist pagination".split())
+LAYOUT_WORDS = frozenset("active area article articles bar block body bottom box btn button buttons center closed col column container content count email entry feed fixed form global group has head header heading holder icon icons inner is item items js left link links list mail main message more msg news no open outer overlay page pane panel post posts primary right row secondary section set side single site slot sticky stories story text thread threads title tools top unit us widgets with wrap wrapper your zone".split())
 #: What class and id say, and forms, which may wrap a whole page: the ratios can overrule these.
 SOFT = ("comments", "class", "form")
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
-_SPLIT_NAME = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT_NAME = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 #: What an open element closes by itself when one of these starts.
 CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 #: Numbers of so many digits that the standard library doesn't read them; no character has one over 0x10ffff.
@@ -65,6 +70,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, int, str]] = []  # element, its number, why its text is out ("" if it isn't)
         self.count, self.tags, self.pending, self.lines, self.kinds = 0, 0, [], [], {}
         self.marked: dict[int, str] = {}  # elements that class or id takes out, and forms
+        self.hinted: set[int] = set()  # elements whose class or id has such a word beside others
 
     def flush(self) -> None:
         if any(not data.isspace() for data, _ in self.pending if data):
@@ -90,15 +96,19 @@ class Lines(HTMLParser):
         if found.get("role", "").lower() in OUT_ROLES:
             return "role"
         if tag not in ("html", "body", "article", "main") or found.keys() & {"class", "id"}:
-            names = set()
-            for name in (found.get("class", ""), found.get("id", "")):
-                names.update(x.lower() for x in _SPLIT_NAME.split(name) if x)
+            names, hints = set(), set()
+            for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+                words = {x.lower() for x in _SPLIT_NAME.split(name) if x}
+                (names if words & SURE_WORDS or words <= OUT_WORDS | LAYOUT_WORDS else hints).update(words)
             if names & COMMENT_WORDS:
                 self.marked[self.count] = "comments"
                 return "comments"
-            if names & OUT_WORDS and tag not in ("html", "body", "article", "main"):
-                self.marked[self.count] = "class"
-                return "class"
+            if tag not in ("html", "body", "article", "main"):
+                if names & OUT_WORDS:
+                    self.marked[self.count] = "class"
+                    return "class"
+                if hints & OUT_WORDS:
+                    self.hinted.add(self.count)
         return ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -189,16 +199,17 @@ def told(lines: list[Line], ignored: frozenset[int]) -> list[Line]:
     return out
 
 
-def content_of(lines: list[tuple[Line, int]], sigma: float, own: bool = False) -> list[Line]:
-    """Lines that aren't out and whose smoothed ratio makes them content; ``own``: without those that owe it to their
-    neighbours alone, if others don't: they are as often the edge of a menu as a heading."""
+def content_of(lines: list[tuple[Line, int]], sigma: float, own: float = 0.0) -> list[Line]:
+    """Lines that aren't out and whose smoothed ratio makes them content; ``own``: without those whose own ratio is under
+    that share of the least smoothed one, if others aren't: such owe it to their neighbours alone, and are as often the
+    edge of a menu as a heading."""
     if not lines:
         return []
     ratios = np.asarray([0.0 if x.out else len(x.text) / tags for x, tags in lines])
     smoothed = smooth(ratios, sigma)
     content = clustered(smoothed) & np.asarray([not x.out for x, _ in lines])
-    strong = content & (ratios >= smoothed[content].min(initial=np.inf))
-    return [x for (x, _), c in zip(lines, strong if own and strong.any() else content, strict=True) if c]
+    strong = content & (ratios >= own * smoothed[content].min(initial=np.finfo(float).max))
+    return [x for (x, _), c in zip(lines, strong if strong.any() else content, strict=True) if c]
 
 
 def _marked(x: Line) -> Counter:
@@ -236,6 +247,20 @@ def wrappers(parser: Lines, sigma: float) -> frozenset[int]:
     return frozenset(parser.marked.keys() - left)
 
 
+def drop_hinted(parser: Lines, lines: list[tuple[Line, int]], sigma: float) -> None:
+    """Take out the parts that a name hints at and ratios don't hold: of whose text less than half is content."""
+    if not parser.hinted:
+        return
+    content, size, held = set(map(id, content_of(lines, sigma, own=0.25))), Counter(), Counter()
+    for x, _ in lines:
+        for n in parser.hinted.intersection(x.path) if not x.out else ():
+            size[n] += len(x.text)
+            held[n] += len(x.text) * (id(x) in content)
+    gone = {n for n in size if 2 * held[n] < size[n]}
+    for x, _ in lines:
+        x.out = x.out or not gone.isdisjoint(x.path)
+
+
 def main_text(html: str | None, sigma: float = 1.0, whole: float = 0.95) -> str:
     """The blocks of the content region, joined by line feeds. ``whole``: share of the content lines' text that
     the region must hold."""
@@ -246,10 +271,11 @@ def main_text(html: str | None, sigma: float = 1.0, whole: float = 0.95) -> str:
     parser.close()
     parser.flush()
     every = told(parser.lines, wrappers(parser, sigma))
+    drop_hinted(parser, every, sigma)
     lines = [x for x, _ in every if not x.out]
     if not lines:
         return ""
-    chosen = content_of(every, sigma, own=True) or lines
+    chosen = content_of(every, sigma, own=1.0) or lines
     held: dict[int, int] = {}
     for x in chosen:
         for n in x.path:

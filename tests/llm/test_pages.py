@@ -68,6 +68,21 @@ def test_ratios_overrule_names(page):
     assert main_text(page) == WRAPPED[page]
 
 
+HINTED = {
+    f"<article><p>{BODY}</p><div class='share-of-market'><p>{BODY}</p></div><p>end</p></article>": f"{BODY}\n{BODY}\nend",
+    f"<article><p>{BODY}</p><p class='notice-period'>The notice period is four weeks.</p><p>{BODY}</p></article>": f"{BODY}\nThe notice period is four weeks.\n{BODY}",
+    f"<article><p>{BODY * 3}</p><div class='related-work'><h2>Related work</h2><p>{BODY}</p></div><p>{BODY}</p></article>": f"{BODY * 3}\nRelated work\n{BODY}\n{BODY}",
+    f"<article><p>{BODY * 2}</p><p>{BODY * 2}</p><div class='share-the-love'><a>fb</a><a>x</a><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul></div></article>": f"{BODY * 2}\n{BODY * 2}",
+    f"<article><p>{BODY}</p><div class='share-buttons'><p>{BODY}</p></div><div class='advert-acme'><p>{BODY}</p></div><div id='relatedPosts'><p>{BODY}</p></div></article>": BODY,
+    f"<article><p>{BODY}</p><div class='reply-brief big'><p>{BODY}</p></div></article>": f"{BODY}\n{BODY}",
+}
+
+
+@pytest.mark.parametrize("page", HINTED)
+def test_names_that_hint_are_weighed(page):
+    assert main_text(page) == HINTED[page]
+
+
 LINKS = "".join(f"<div><a href=/{k}>Item {k}</a> <a href=/x{k}>more</a></div>" for k in range(12))
 UNNAMED = {
     f"<body><div>{LINKS}</div><div><h1>T</h1><p>{BODY}</p><p>{BODY}</p></div><div>{LINKS}</div></body>": f"T\n{BODY}\n{BODY}",
