@@ -1,11 +1,14 @@
 """Deterministic sharded WARC archives.
 
-Records are put in order of a 64-bit key of their identity, whose equal ranges are the shards; so shards are
-even whatever host, url or payload is frequent, and the same rows give the same bytes.  A task writes the shards
-dealt to it record by record (each a gzip member of its own), rolls to a new file where the compressed size
-passes a bound, and builds headers and digests anew.  Files are written under temporary names and moved to their
-own when whole; the manifest, a table that Spark commits last, names the files that count.  A task that is run
-again writes the same files, and readers look at no file outside the manifest.
+Records are sorted by ranges of url, page_id and digest.  The borders of the ranges, which are the shards, come from the
+records alone: of each as many hundredths of a shard as it has bytes, as a hash of it tells, is a mark, and every
+so manieth mark in order is a border.  So shards are even in bytes whatever host, url or payload is frequent, and the
+same rows give the same bytes on any cluster; only rows that repeat another with its page_id can't be parted.  A task
+writes a shard record by record (each a gzip member of its own), rolls to a new file where the compressed size passes a
+bound, and builds headers and digests anew.  Files are written under temporary names and moved to their own when whole;
+the manifest, a table that Spark commits last, names the files that count.  A task that is run again writes the same
+files, and readers look at no file outside the manifest.  In the manifest's order an archive reads in order of its
+records.
 
 Of the records with equal payloads of ``least`` bytes or more, the one with the smallest page_id is a response
 and the others revisit it.
@@ -17,6 +20,7 @@ any length are one record; extra columns aren't archived; an empty table gives a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import posixpath
@@ -24,6 +28,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +39,10 @@ from .rows import freed
 from .storage import new_path, saved
 
 LEAST, ROLL_BYTES, SHARD_BYTES = 100, 256 << 20, 512 << 20
+#: An archive of less than SHARD_BYTES for each of so many shards has so many, but none planned under LEAST_SHARD_BYTES.
+USUAL_SHARDS, LEAST_SHARD_BYTES = 64, 1 << 20
+#: Marks for each shard, and characters of a url that count in the order: those of borders reach the driver.
+MARKS, URL_CHARS = 64, 200
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "shard long, file string, records long, bytes long, sha256 string"
 RECORD = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("file", T.StringType())])
@@ -105,16 +114,53 @@ class ShardFiles:
         self.number, self.out = self.number + 1, None
 
 
-def write(pages: DataFrame, folder: str, least: int = LEAST, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Archive ``pages`` under ``folder`` (a URI that all executors reach); returns the manifest."""
+ORDER = ["head", "page_id", "payload_digest"]
+
+
+def _sorted_key(head: str | None, page_id: float | None, digest: str) -> tuple:
+    """Rows without url, or without page_id, come last, as in Spark's order."""
+    return (head is None, head or "", page_id is None, page_id or 0, digest)
+
+
+def borders(rows: DataFrame, shard_bytes: int) -> list[tuple]:
+    """Keys at which shards of about ``shard_bytes`` begin, but for the first: one for each shard, whatever the number of
+    records."""
+    chance = F.least(F.lit(1.0), F.col("weight") * (MARKS / shard_bytes))
+    hashed = F.shiftright(F.xxhash64(*ORDER), 11) / float(1 << 53) + 0.5
+    order = [F.asc_nulls_last(c) for c in ORDER]
+    marks = rows.where(hashed < chance).select(*ORDER, "weight")
+    # of a record of many marks only one is here: it counts for all of them
+    marks = marks.withColumn("marks", F.greatest(F.lit(1.0), F.col("weight") * (MARKS / shard_bytes)))
+    marks = marks.repartitionByRange(*order).sortWithinPartitions(*order)
+    marks = saved(marks.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "warc-marks")
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sizes = marks.groupBy("part").agg(F.sum("marks").alias("size")).select("part", before.alias("before"))  # a row for each partition
+    upto = F.col("before") + F.sum("marks").over(Window.partitionBy("part").orderBy("at"))
+    placed = marks.join(F.broadcast(sizes), "part").withColumn("upto", F.round(upto, 6))
+    found = placed.where(F.floor(F.col("upto") / MARKS) > F.floor(F.round(F.col("upto") - F.col("marks"), 6) / MARKS)).select(*ORDER).distinct().collect()
+    return sorted(_sorted_key(*r) for r in found)
+
+
+def write(pages: DataFrame, folder: str, least: int = LEAST, shard_bytes: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+    """Archive ``pages`` under ``folder`` (a URI that all executors reach); returns the manifest. ``shard_bytes``: of
+    payload in a shard, by default as the bytes of all pages tell."""
     spark = pages.sparkSession
-    size = pages.agg(F.sum(F.octet_length("html")).alias("n")).first().n or 0
-    shards = max(2 * spark.sparkContext.defaultParallelism, -(-size // shard_bytes))
-    rows = record_types(pages, least)
-    key = F.xxhash64(F.col("page_id"), F.coalesce(F.col("url"), F.lit("")), F.col("payload_digest"))
-    # the upper 31 bits of the key, scaled: equal ranges of keys in key order; a shard is a partition of its own
-    rows = rows.withColumn("record_key", F.shiftright(key, 1) + F.lit(1 << 62)).withColumn("shard", F.shiftright(F.shiftright(F.col("record_key"), 32) * F.lit(shards), 31)).withColumn("place", F.col("shard").cast("int"))
-    ordered = rows.repartitionById(shards, "place").sortWithinPartitions("shard", "record_key", "page_id", "url", "payload_digest").select("shard", "page_id", "url", "html", "payload_digest", "refers_to")
+    if shard_bytes is None:
+        size = pages.agg(F.sum(F.octet_length("html")).alias("n")).first().n or 0
+        shard_bytes = max(LEAST_SHARD_BYTES, min(SHARD_BYTES, size // USUAL_SHARDS))
+    rows = record_types(pages, least).withColumn("head", F.substring("url", 1, URL_CHARS))
+    # a record is 1 KB or so of headers besides its payload
+    starts = borders(rows.select(*ORDER, (F.col("payload_bytes") + 1024).alias("weight")), shard_bytes)
+
+    @F.pandas_udf("int")
+    def shard_of(head: pd.Series, page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        keys = zip(head, page_id.astype(object).where(page_id.notna(), None), digest, strict=True)
+        return pd.Series([bisect.bisect_right(starts, _sorted_key(h, None if i is None else int(i), d)) for h, i, d in keys], dtype="int32")
+
+    # ids are sent as text: as numbers a column with nulls would lose digits
+    rows = rows.withColumn("shard", shard_of("head", F.col("page_id").cast("string"), "payload_digest"))
+    order = [F.asc_nulls_last(c) for c in (*ORDER, "url")]
+    ordered = rows.repartitionById(len(starts) + 1, "shard").sortWithinPartitions(*order).select(F.col("shard").cast("long").alias("shard"), "page_id", "url", "html", "payload_digest", "refers_to")
     spark_schema = T._parse_datatype_string(MANIFEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

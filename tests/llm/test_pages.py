@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import json
 import html as escapes
 import re
 from collections import defaultdict
@@ -139,6 +140,30 @@ def test_archives_are_the_same_bytes_and_roll(spark, tmp_path):
     assert one == two and all(f.records == 1 for f in one)
 
 
+def test_archives_are_in_order_and_even_on_any_cluster(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), rng.choice(["http://hot/", f"http://h{i % 7}/{i}", None], p=[0.4, 0.5, 0.1]), "x" * int(rng.integers(0, 5000))) for i in rng.permutation(600)] + [(None, "http://h1/", "y" * 200), (2**62, "http://hot/", "z" * 200)]
+    pages = spark.createDataFrame([(i, None if u is None else str(u), h) for i, u, h in rows], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    told = []
+    try:
+        for parts, shuffled in ((1, "2"), (7, "5")):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+            folder = f"file://{tmp_path}/{parts}"
+            told.append(warc.write(pages.repartition(parts), folder, shard_bytes=100_000, roll_bytes=20_000).orderBy("file").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert told[0] == told[1] and len({f.shard for f in told[0]}) > 10
+    read = []
+    for f in told[0]:
+        with (tmp_path / "1" / f.file).open("rb") as stream:
+            read += [(f.shard, *(lambda p: (p["url"], p["id"], p["bytes"]))(json.loads(warc.parse(data)[0]["X-Page"]))) for data in warc.members(stream)]
+    order = [(u is None, u or "", i is None, i or 0) for _, u, i, _ in read]
+    assert order == sorted(order) and len(order) == len(rows)
+    sizes = [sum(n + 1024 for s, *_, n in read if s == shard) for shard in {s for s, *_ in read}]
+    assert max(sizes) < 2 * np.median(sizes)
+
+
 def test_damage_is_found(spark, tmp_path):
     data = warc.record(1, "http://a", "text", hashlib.sha256(b"text").hexdigest(), None)
     with pytest.raises(ValueError, match="damaged"):
