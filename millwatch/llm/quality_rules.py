@@ -135,18 +135,11 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 1000) -> Model:
-    """Expectation-maximisation over vote patterns (one row each) that ``counts`` texts share.
-
-    It starts from the view that texts with two or more votes against them are bad, which tells the two classes
-    apart; from there on nothing bounds what it believes of a rule. Should it end with more rules voting against good
-    texts than against bad ones, the classes have changed places, and are put back.
-    """
+def rested(votes: np.ndarray, counts: np.ndarray, good: np.ndarray, rounds: int = 1000) -> tuple[Model, float]:
+    """Expectation-maximisation from a first view of how likely each vote pattern is a good text's, until it rests, and the
+    logarithm of the votes' likelihood, imagined ones included. Nothing bounds what it believes of a rule. Should it end
+    with more rules voting against good texts than against bad ones, the classes have changed places, and are put back."""
     against, favour = (votes == -1).astype(float), (votes == 1).astype(float)
-    model = Model(0.5, (PRIOR_GOOD,) * len(RULES), (PRIOR_BAD,) * len(RULES))
-    if not len(votes):
-        return model
-    good = np.where(against.sum(axis=1) < 2, 0.95, 0.05)
     for _ in range(rounds):
         chance = lambda weight, prior: (weight @ against + PRIOR_VOTES * prior) / (weight @ (against + favour) + PRIOR_VOTES)
         share = (counts @ good + PRIOR_VOTES / 2) / (counts.sum() + PRIOR_VOTES)
@@ -155,9 +148,21 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 1000) -> Model:
         moved, good = np.abs(new - good).max(), new
         if moved < 1e-9:
             break
-    if sum(a > b for a, b in zip(model.against_good, model.against_bad, strict=True)) > len(RULES) / 2:
+    a, b = np.asarray(model.against_good), np.asarray(model.against_bad)
+    each = [np.log(share) + against @ np.log(x) + favour @ np.log(1 - x) for share, x in ((model.good, a), (1 - model.good, b))]
+    imagined = sum((p * np.log(x) + (1 - p) * np.log(1 - x)).sum() for p, x in ((PRIOR_GOOD, a), (PRIOR_BAD, b)))
+    if (a > b).sum() > len(RULES) / 2:
         model = Model(1 - model.good, model.against_bad, model.against_good)
-    return model
+    return model, float(counts @ np.logaddexp(*each) + PRIOR_VOTES * imagined)
+
+
+def fit(votes: np.ndarray, counts: np.ndarray) -> Model:
+    """The likeliest model of vote patterns (one row each) that ``counts`` texts share, of those that
+    expectation-maximisation reaches from each rule's own view: that texts it votes against are bad, all others good."""
+    if not len(votes):
+        return Model(0.5, (PRIOR_GOOD,) * len(RULES), (PRIOR_BAD,) * len(RULES))
+    found = [rested(votes, counts, np.where(votes[:, k] == -1, 0.05, 0.95)) for k in range(len(RULES))]
+    return max(found, key=lambda x: x[1])[0]
 
 
 def _votes(m: dict[str, np.ndarray]) -> np.ndarray:

@@ -164,6 +164,17 @@ def test_op8(spark):
         assert r.kept == (not failed and r.quality_posterior >= 0.5)
 
 
+def test_verdicts_do_not_rest_on_where_learning_starts(spark):
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    votes, counts = np.unique(quality_rules._votes(quality_rules.measures(pa.array(texts))), axis=0, return_counts=True)
+    want, rng = quality_rules.fit(votes, counts.astype(float)).posterior(votes), np.random.default_rng(1)
+    starts = [np.where((votes == -1).sum(axis=1) < n, 0.95, 0.05) for n in (1, 2, 3)] + [rng.uniform(0.05, 0.95, len(votes)) for _ in range(6)]
+    found = [quality_rules.rested(votes, counts.astype(float), s) for s in starts]
+    best = max(likelihood for _, likelihood in found)
+    likeliest = [m for m, likelihood in found if likelihood > best - 1e-3]
+    assert len(likeliest) >= 5 and all(np.abs(m.posterior(votes) - want).max() < 1e-4 for m in likeliest)
+
+
 def test_rules_part_good_from_bad(spark):
     rows = quality_rules.judge(table(spark, "/root/testdata/sf0.01", "documents")).join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("NOT base_failed")
     got = Counter((r.quality, r.kept) for r in rows.collect())
