@@ -5,7 +5,8 @@ and the layout of the page (lines, symbols, capitals, digits, how varied its wor
 both start from labelled rows.  Over some rounds every view labels all unlabelled documents that it is sure of, and
 the other view learns from them: what a feature says is worked out from class counts over labelled rows and the
 other view's labels.  Held-out labelled rows then calibrate the two views and weigh them against each other in one
-logistic model.  A round is one pass over the documents that shuffles only sums of a fixed size, and all documents are
+logistic model, tell for each target after which round it fits them best, and end the rounds when one betters no
+target.  A round is one pass over the documents that shuffles only sums of a fixed size, and all documents are
 scored where they lie.
 
 What is bounded: ``MOST_LABELLED`` labelled rows, those with the least hashes of doc_id.  The driver gets sums of a
@@ -15,7 +16,8 @@ fixed size, and of each labelled row those of its features that tell classes apa
 Defined results: a null or empty text has no text features and is judged by its metadata and the base rate; a
 null source, language or length is a value of its own; a target with fewer than ``LEAST_LABELS`` rows of one of
 its classes isn't learned and its probability is that of the other class (1 good, 0 toxic without labels);
-several labels of one doc_id: the worse counts; several rows of a labelled doc_id all carry its label; repeated rows
+several labels of one doc_id: the worse counts; of several rows of a labelled doc_id the one whose columns have the
+least hash is learned from; repeated rows
 give repeated rows; input columns named like an output column of ``classify`` are replaced, those of ``keep`` stay; an
 empty table gives no rows.
 """
@@ -369,24 +371,41 @@ def sampled(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELL
     known = _least(told.join(ids, "doc_id", "left_semi"), most_labelled).collect()
     rows = docs.sparkSession.createDataFrame([(r.doc_id, r.quality, r.toxic) for r in known], "doc_id long, quality int, toxic int")
     # at most ``most_labelled`` rows, small enough to be sent to every worker; a doc_id that many rows share counts once
-    sample = docs.select(*COLUMNS).join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"])
+    met = docs.select(*COLUMNS).join(F.broadcast(rows), "doc_id")
+    every = [c for c in met.columns if c != "doc_id"]
+    one = F.min_by(F.struct(*every), F.struct(F.xxhash64(*COLUMNS), *COLUMNS[2:], "text"))
+    sample = met.groupBy("doc_id").agg(one.alias("row")).select("doc_id", "row.*").select(*met.columns)
     held = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(5)) == 0
     return saved(sample.withColumn("held", held), "classifier-sample"), np.asarray([r.doc_id for r in known], np.int64)
 
 
+def held_loss(rows: Labelled, name: str, target: Target) -> float:
+    """How far a target's probabilities are from the held-out labels: the mean of minus their logarithm."""
+    at = np.flatnonzero(rows.held & ~np.isnan(rows.labels[name]))
+    p = np.clip(target.probability(rows.text.take(at), rows.page.take(at))[0], 1e-12, 1 - 1e-12)
+    y = rows.labels[name][at]
+    return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))) if len(at) else 0.0
+
+
 def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, rounds: int = ROUNDS, sure: float = SURE) -> Model:
-    """Both targets' views after ``rounds`` of exchange over all of ``docs``."""
+    """Both targets' views after up to ``rounds`` of exchange over all of ``docs``: of each target those of the round that
+    fits the held-out rows best."""
     sample, known = sampled(docs, labels, most_labelled)
     text, page = own_text, own_page = class_counts(sample.where("NOT held"))
+    best, least = {}, dict.fromkeys(TARGETS, np.inf)
     for turn in range(rounds + 1):
         says = {t: (ratios(*text[t]), ratios(*page[t])) for t in TARGETS}
         rows = labelled_rows(sample, np.any([a != 0 for a, _ in says.values()], axis=0))
         model = Model(*[fitted(rows, t, *says[t]) for t in TARGETS])
-        if turn == rounds or all(target.text is None for target in model):
-            return model
+        losses = {t: held_loss(rows, t, target) for t, target in zip(TARGETS, model, strict=True)}
+        better = [t for t in TARGETS if losses[t] < least[t]]
+        for t in better:
+            best[t], least[t] = getattr(model, t), losses[t]
+        if turn == rounds or not better or all(target.text is None for target in model):
+            break
         more_text, more_page = class_counts(docs, model, known, sure)
         text, page = ({t: own[t] + more[t] for t in TARGETS} for own, more in ((own_text, more_text), (own_page, more_page)))
-    return model
+    return Model(*[best[t] for t in TARGETS])
 
 
 FIELDS = [T.StructField(c, T.DoubleType()) for c in ("text_quality", "page_quality", "quality_prob", "toxic_prob")] + [T.StructField("kept", T.BooleanType())]
