@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import is_malformed, list_of_json
+from ..sources.shared import saved
 
 # Measure, comparison, target by tier, level if missed.
 HARD = ("pct_missing_sensor_file", "pct_missing_video_file", "pct_dangling_chunk_id", "pct_malformed_json", "pct_bad_span", "pct_duplicate_incident_id", "fs_hz_plausible_violations")
@@ -139,6 +142,33 @@ def measures(incidents: DataFrame, clips: DataFrame, chunks: DataFrame, pre_s: f
     return out
 
 
+def topic_link_relevance(incidents: DataFrame, chunks: DataFrame, family_topics: Mapping[str, Sequence[str]], k: int = 30, seed: int = 13) -> DataFrame:
+    """metric, value: how many links from incidents to chunks were looked at, and the share of them whose chunk has a topic
+    of the incident's failure family. Looked at are the ``k`` links whose seeded hashes are least: a sample that any
+    cluster draws alike, of which no more than ``k`` rows of a task move. ``chunks``: chunk_id, topic_tags."""
+    links = incidents.select("incident_id", "failure_family", F.explode(F.array_union("sop_chunk_ids", "maintenance_chunk_ids")).alias("chunk_id"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "incident_id", "chunk_id"))
+    looked = saved(links.orderBy(digest, "incident_id", "chunk_id").limit(k), "links")
+    topics = F.coalesce(F.element_at(F.create_map(*[x for f, t in family_topics.items() for x in (F.lit(f), F.array(*map(F.lit, t)).cast("array<string>"))]), F.col("failure_family")), F.array().cast("array<string>"))
+    # k rows look for theirs
+    met = chunks.select("chunk_id", "topic_tags").join(F.broadcast(looked), "chunk_id", "right")
+    return long_form(met.agg(F.count("*").cast("double").alias("n_links_sampled"), _share(F.arrays_overlap("topic_tags", topics)).alias("topic_link_relevance")))
+
+
+def spans_out_of_window(incidents: DataFrame) -> DataFrame:
+    """metric, value: the share of sensor spans (relative to t_event_s) that leave their incident's window."""
+    low, high = F.col("window_start_s") - F.col("t_event_s") - 1e-6, F.col("window_end_s") - F.col("t_event_s") + 1e-6
+    outside = F.size(F.filter("sensor_relevant_spans", lambda s: (s["start_s"] < low) | (s["end_s"] > high)))
+    return long_form(incidents.agg(F.coalesce(F.sum(outside) / F.greatest(F.lit(1), F.sum(F.size("sensor_relevant_spans"))), F.lit(0.0)).alias("pct_span_out_of_window")))
+
+
+def family_floors(incidents: DataFrame, floor: int = 1, unknown: str = "unknown", families: Sequence[str] = ()) -> DataFrame:
+    """failure_family, n, met of each known family there is or that should be: whether it has ``floor`` incidents."""
+    counts = incidents.where(F.col("failure_family").isNotNull() & (F.col("failure_family") != unknown)).groupBy("failure_family").agg(F.count("*").alias("n"))
+    wanted = incidents.sparkSession.createDataFrame([(f,) for f in families], "failure_family string")
+    return counts.join(wanted, "failure_family", "full").select("failure_family", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) >= floor).alias("met"))
+
+
 def violations(metrics: DataFrame, tier: str = "mvp") -> DataFrame:
     """metric, value, op, target, level of the targets that a tier sets and the measures miss; a target without a
     measure is missed, with a null value. An unknown tier is mvp, and having no incident violates a target too."""

@@ -115,7 +115,7 @@ def topic_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_retrieval_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``topic_retrieval``, by the words of a family's topics."""
     families = _read(spark, sf_dir, "events").select(F.col("event_type").alias("failure_family"))
-    best = retrieval.retrieved_by_words(families, saved(texts.chunks(spark, sf_dir), "chunks"), FAMILY_TOPICS, texts.KEYWORDS, 3)
+    best = retrieval.retrieved_by_words(families, texts.chunks(spark, sf_dir), FAMILY_TOPICS, texts.KEYWORDS, 3)
     return best.select("failure_family", "doc_type", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
@@ -210,6 +210,18 @@ def assemble_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(incidents(spark, sf_dir).select("incident_id", "source_dataset", "failure_family", "window_start_s", "window_end_s", "n_samples", "video_file", span["end_s"].alias("clip_end_s"), "alignment_method", "severity_label", "regime_label", "phase_label", F.array_join("sop_chunk_ids", ",").alias("sop_chunk_ids"), F.array_join("maintenance_chunk_ids", ",").alias("maintenance_chunk_ids"), "split"))
 
 
+def grounding_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of how incidents are grounded: links whose chunk has the family's topic, and spans within windows."""
+    chunks = _chunks(spark, sf_dir)
+    built = incidents(spark, sf_dir, chunks)
+    return rounded(quality.topic_link_relevance(built, chunks, FAMILY_TOPICS, 30, SEED).unionByName(quality.spans_out_of_window(built)))
+
+
+def family_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("failure_family"))
+    return quality.family_floors(rows.where("failure_family <> '2-HIGH'"), 3000, "4-NOT SPECIFIED", ("1-URGENT", "2-HIGH"))
+
+
 def quality_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.distribution(incidents(spark, sf_dir), "failure_family", "regime_label", "severity_label", "split")
 
@@ -404,6 +416,8 @@ SELECT incident_id, video_file, 'label_match' AS alignment_method FROM first WHE
     "split_prefix": f"WITH s AS (SELECT o_custkey, count(*) AS n, md5('42|' || o_custkey) AS h FROM orders GROUP BY 1), m AS (SELECT o_custkey, (sum(n) OVER (ORDER BY h, o_custkey) - n / 2::DOUBLE) / sum(n) OVER () AS x FROM s) SELECT o_custkey, CASE WHEN x < {_EDGES[0]!r}::DOUBLE THEN 'train' WHEN x < {_EDGES[1]!r}::DOUBLE THEN 'val' WHEN x < {_EDGES[2]!r}::DOUBLE THEN 'test' ELSE 'human_eval' END AS split FROM m",
     "split_leakage": "SELECT 'by_group' AS side, 0::BIGINT AS n_leaking_groups UNION ALL SELECT 'by_row', count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1)",
     "split_shares": "WITH s AS (SELECT o_custkey, count(*) AS n, md5('42|' || o_custkey) AS h FROM orders GROUP BY 1), m AS (SELECT o_custkey, (sum(n) OVER (ORDER BY h, o_custkey) - n / 2::DOUBLE) / sum(n) OVER () AS x FROM s) SELECT CASE WHEN x < 0.5 THEN 'train' WHEN x < 0.8 THEN 'val' ELSE 'test' END AS split, count(*) AS n_groups FROM m GROUP BY 1",
+    "family_floors": "WITH c AS (SELECT o_orderpriority AS failure_family, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('2-HIGH', '4-NOT SPECIFIED') GROUP BY 1) SELECT failure_family, n, n >= 3000 AS met FROM c UNION ALL SELECT '2-HIGH', 0, false",
+    "grounding_measures": f"WITH RECURSIVE {_INCIDENTS}, links AS (SELECT DISTINCT incident_id, failure_family, unnest(list_filter(string_split(sop_chunk_ids || ',' || maintenance_chunk_ids, ','), lambda x: x <> '')) AS chunk_id FROM inc), looked AS (SELECT * FROM links ORDER BY md5('13|' || incident_id || '|' || chunk_id), incident_id, chunk_id LIMIT 30), checked AS (SELECT len(list_intersect(t.topic_tags, f.topics)) > 0 AS good FROM looked l LEFT JOIN typed t USING (chunk_id) LEFT JOIN families f USING (failure_family)) SELECT 'n_links_sampled' AS metric, count(*)::DOUBLE AS \"value\" FROM checked UNION ALL SELECT 'topic_link_relevance', round(avg(CASE WHEN good THEN 1.0::DOUBLE ELSE 0 END), 6) FROM checked UNION ALL SELECT 'pct_span_out_of_window', round(avg(CASE WHEN s.start_s < i.window_start_s - i.t_event_s - 1e-6 OR s.end_s > i.window_end_s - i.t_event_s + 1e-6 THEN 1.0::DOUBLE ELSE 0 END), 6) FROM spans s JOIN idx i USING (incident_id)",
     "incident_contract": f"WITH RECURSIVE {_INCIDENTS} SELECT incident_id, concat_ws(',', CASE WHEN regime_label <> 'unknown' THEN 'regime' END, CASE WHEN end_s < start_s THEN 'sensor_spans' END) AS violations FROM inc",
     "assembly_notes": f"WITH RECURSIVE {_INCIDENTS} SELECT count(*) AS written, count(*) FILTER (video_file IS NULL) AS no_video, count(*) FILTER (len(list_filter(string_split(sop_chunk_ids, ','), lambda x: x <> '')) < 2 OR len(list_filter(string_split(maintenance_chunk_ids, ','), lambda x: x <> '')) < 2) AS short_text, count(DISTINCT source_dataset) AS split_groups FROM inc",
     "clip_notes": "WITH d AS (SELECT CASE WHEN p_size % 11 = 0 THEN 1 WHEN p_size % 5 = 0 THEN p_size / 2::DOUBLE ELSE p_size END::DOUBLE AS d FROM part) SELECT count(*) AS discovered, count(*) FILTER (d > 1.5) AS written, count(*) FILTER (d <= 1.5) AS errors, count(*) FILTER (NOT d BETWEEN 5 AND 30) AS duration_flagged FROM d",
