@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MAINTENANCE_WORDS, SOP_WORDS, chunk_id
+from ..functions.scalars import MAINTENANCE_WORDS, SOP_WORDS, TOPIC_KEYWORDS, chunk_id
 
 
 def sections(text: Column, respect_headings: bool = True) -> Column:
@@ -55,7 +55,7 @@ def chunked(documents: DataFrame, key: str = "doc_id", text: str = "text", **opt
     return cut.select("doc_id", chunk_id(F.col("doc_id"), F.col("ordinal")).alias("chunk_id"), "ordinal", "chunk.text", "chunk.n_tokens")
 
 
-def topics(text: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
+def topics(text: Column, keywords: Mapping[str, Sequence[str]] = TOPIC_KEYWORDS) -> Column:
     """Topics, in their order, of which the text contains a keyword."""
     low = F.lower(text)
 

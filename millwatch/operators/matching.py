@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SPAN, bucket_of, whole_clip
+from ..functions.scalars import CONDITIONS, REGIMES, SPAN, TOPICS, bucket_of, one_of, whole_clip
 
 TAG_KEYS = ("video_id", "video_file", "file", "filename", "clip")
 #: Rows of one numbering step that a window orders; positions over all rows are sums over such buckets.
@@ -38,6 +38,12 @@ def tagged(clips: DataFrame, tags: DataFrame, order: str, path: str = "video_fil
     return clips.join(best, path, "left")
 
 
+def clip_labels(tagged_clips: DataFrame) -> DataFrame:
+    """``tagged`` clips with regime_label and condition_label: what the tag says if it is a known label, else unknown."""
+    said = lambda name, known: F.coalesce(one_of(F.col(f"tag.{name}"), known), F.lit("unknown")) if name in tagged_clips.schema["tag"].dataType.names else F.lit("unknown")
+    return tagged_clips.withColumn("regime_label", said("regime", REGIMES)).withColumn("condition_label", said("condition", CONDITIONS))
+
+
 def numbered(df: DataFrame, group: str, order: Sequence[Column], spread: Column, name: str) -> DataFrame:
     """``df`` with its 0-based place in its group, ordered by ``order`` whose first part is ``spread``, a number in
     [0, RANK_BUCKETS): places within a bucket are counted in parallel and the buckets' sizes summed up."""
@@ -89,7 +95,7 @@ def matched_once(incidents: DataFrame, clips: DataFrame, seed: int = 13, pool: s
     return direct.select(*columns).unionByName(spare.withColumn("alignment_method", method).select(*columns))
 
 
-def retrieved(families: DataFrame, chunks: DataFrame, family_topics: Mapping[str, Sequence[str]], k: int, others: Sequence[str] = ()) -> DataFrame:
+def retrieved(families: DataFrame, chunks: DataFrame, family_topics: Mapping[str, Sequence[str]] = TOPICS, k: int = 3, others: Sequence[str] = ()) -> DataFrame:
     """failure_family, doc_type, chunk_ids: the k best chunks of each type for each family, by shared topics, then
     length, then chunk_id. Families are a closed list, those of ``family_topics`` and ``others`` without topics; each
     chunk is ranked once for each family that ``families`` has."""

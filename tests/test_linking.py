@@ -227,3 +227,10 @@ def test_indices(spark, tmp_path):
     sinks.write_waveforms(waves, str(tmp_path / "w"))
     assert spark.read.parquet(str(tmp_path / "w")).count() == 2
     assert readers.first_units(spark.range(9).select((F.col("id") % 3).alias("u")), "u", 2).count() == 6
+
+
+def test_tags_give_known_labels_only(spark):
+    tags = spark.createDataFrame([("a.mp4", " Roughing", "Chatter ", 1), ("b.mp4", "flying", None, 2)], "video_file string, regime string, condition string, seq long")
+    clips = spark.createDataFrame([("x/a.mp4",), ("x/b.mp4",), ("x/c.mp4",)], "video_file string")
+    got = {r.video_file: (r.regime_label, r.condition_label) for r in matching.clip_labels(matching.tagged(clips, tags, "seq")).collect()}
+    assert got == {"x/a.mp4": ("roughing", "chatter"), "x/b.mp4": ("unknown", "unknown"), "x/c.mp4": ("unknown", "unknown")}
