@@ -209,11 +209,11 @@ def quality_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sliding_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ts.sliding_rms(samples(spark, sf_dir), HOW))
+    return rounded(ts.sliding_rms(saved(samples(spark, sf_dir), "samples"), HOW))
 
 
 def magnitude_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ts.sliding_rms(samples(spark, sf_dir), ts.Detection(**{**HOW.__dict__, "channel": "magnitude"})))
+    return rounded(ts.sliding_rms(saved(samples(spark, sf_dir), "samples"), ts.Detection(**{**HOW.__dict__, "channel": "magnitude"})))
 
 
 def events_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
