@@ -8,12 +8,17 @@ blocks only those whose bounds reach it are read.  So the result is that of scor
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.scalars import TOPIC_KEYWORDS, TOPICS
 from ..sources.shared import saved
 
 K1, B = 1.2, 0.75
@@ -26,6 +31,25 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+#: As ``terms`` tells words, of text in lower case.
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, block, chunk_id, text to a row for each different term: with n_terms, the number of all, and tf."""
+    for big in batches:
+        for low in range(0, big.num_rows, 512):
+            batch = big.slice(low, 512)
+            words = [_WORD.findall(t or "") for t in batch.column(3).to_pylist()]
+            sizes = np.array([len(w) for w in words], np.int64)
+            coded = pa.array([t for w in words for t in w], pa.string()).dictionary_encode()
+            many, code = max(1, len(coded.dictionary)), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            pair, tf = np.unique(np.repeat(np.arange(batch.num_rows), sizes) * many + code, return_counts=True)
+            row, code = np.divmod(pair, many)
+            columns = [batch.column(k).take(pa.array(row)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes[row]), coded.dictionary.take(pa.array(code)), pa.array(tf)], names=["part", "block", "chunk_id", "n_terms", "term", "tf"])
+
+
 class InvertedIndex(NamedTuple):
     """postings: part, term, block, chunk_id, tf, n_terms; stats: part, n, mean (chunks and their mean length); dictionary:
     part, term, df; bounds: part, term, block, most (what a posting adds at most). A ``part`` is searched on its own."""
@@ -36,33 +60,40 @@ class InvertedIndex(NamedTuple):
     bounds: DataFrame
 
 
-def gain(k1: float = K1, b: float = B) -> Column:
-    """What a posting adds to a chunk's score."""
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("mean")))
+def idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def weight(k1: float = K1, b: float = B) -> Column:
+    """What a posting counts of its term's idf, by how often the chunk has the term and how long it is."""
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("mean")))
 
 
-def inverted(chunks: DataFrame, part: str = "doc_type", together: str = "doc_id", block_chunks: int = 256) -> InvertedIndex:
+def inverted(chunks: DataFrame, part: str = "doc_type", together: str = "doc_id", block_chunks: int = 4096) -> InvertedIndex:
     """The index of ``chunks`` (chunk_id, text, ``part``, and ``together``, whose chunks share a block), written to the
     shared folder. Blocks have about ``block_chunks`` chunks, more where one document has more."""
-    words = terms(F.col("text"))
-    rows = saved(chunks.select("chunk_id", F.col(part).alias("part"), F.col(together).alias("together"), words.alias("terms"), F.size(words).cast("long").alias("n_terms")), "terms")
-    stats = saved(rows.groupBy("part").agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean")), "stats")
+    rows = chunks.select("chunk_id", F.col(part).alias("part"), F.col(together).alias("together"), F.lower("text").alias("text"))
+    sizes = saved(rows.groupBy("part").agg(F.count("*").alias("n")), "part-sizes")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_chunks))
-    placed = rows.join(F.broadcast(stats), "part").withColumn("block", F.pmod(F.xxhash64("together"), blocks).cast("long"))
-    counted = placed.select("part", "block", "chunk_id", "n_terms", F.explode("terms").alias("term")).groupBy("part", "term", "block", "chunk_id", "n_terms").agg(F.count("*").alias("tf"))
-    # a frequent term's postings are spread by block, and lie together in their files
-    postings = saved(counted.repartition("term", "block").sortWithinPartitions("term", "part", "block"), "postings")
-    dictionary = saved(postings.groupBy("part", "term").agg(F.count("*").alias("df")), "dictionary")
-    most = postings.join(dictionary, ["part", "term"]).join(F.broadcast(stats), "part").groupBy("part", "term", "block").agg(F.max(gain()).alias("most"))
-    return InvertedIndex(postings, stats, dictionary, saved(most, "bounds"))
+    placed = rows.join(F.broadcast(sizes), "part").select("part", F.pmod(F.xxhash64("together"), blocks).cast("long").alias("block"), "chunk_id", "text")
+    fields = T.StructType([*placed.drop("text").schema, *(T.StructField(c, t) for c, t in (("n_terms", T.LongType()), ("term", T.StringType()), ("tf", T.LongType())))])
+    # counted and left where they are: sorted by term, a search reads of each file only what it asks for
+    postings = saved(placed.mapInArrow(_counted, fields).sortWithinPartitions("term"), "postings")
+    lengths = postings.groupBy("part").agg(F.sum("tf").alias("all"))
+    stats = saved(sizes.join(lengths, "part", "left").select("part", "n", (F.coalesce("all", F.lit(0)) / F.col("n")).alias("mean")), "stats")
+    # of a term's postings in a block only their number and the largest weight move
+    told = postings.join(F.broadcast(stats), "part").groupBy("part", "term", "block").agg(F.count("*").alias("in_block"), F.max(weight()).alias("largest"))
+    told = saved(told, "blocks")
+    dictionary = saved(told.groupBy("part", "term").agg(F.sum("in_block").alias("df")), "dictionary")
+    bounds = told.join(dictionary, ["part", "term"]).join(F.broadcast(stats), "part").select("part", "term", "block", (idf() * F.col("largest")).alias("most"))
+    return InvertedIndex(postings, stats, dictionary, bounds)
 
 
 def bm25(index: InvertedIndex, queries: DataFrame, k: int, seeds: int = 4) -> DataFrame:
     """query, part, nth, chunk_id, score: the ``k`` best chunks of each part for each query (``queries``: query, term;
     a repeated term counts once), by score to DIGITS digits, then chunk_id. Chunks with none of the terms have no score."""
     asked = saved(queries.select("query", "term").distinct(), "queries")
-    bounds = index.bounds.join(asked, "term").groupBy("query", "part", "block").agg(F.sum("most").alias("bound"))
+    bounds = saved(index.bounds.join(asked, "term").select("query", "part", "block", "most"), "bounds").groupBy("query", "part", "block").agg(F.sum("most").alias("bound"))
     promising = Window.partitionBy("query", "part").orderBy(F.desc("bound"), "block")
     first = saved(bounds.withColumn("nth", F.row_number().over(promising)).where(F.col("nth") <= seeds).select("query", "part", "block"), "first-blocks")
     before = saved(best_of(scores(index, asked, first), k), "first-chunks")
@@ -76,7 +107,7 @@ def scores(index: InvertedIndex, asked: DataFrame, blocks: DataFrame) -> DataFra
     """query, part, chunk_id, score of the chunks of these blocks (query, part, block) that have a term."""
     read = index.postings.join(asked, "term").join(blocks, ["query", "part", "block"])
     weighed = read.join(index.dictionary, ["part", "term"]).join(F.broadcast(index.stats), "part")
-    return weighed.groupBy("query", "part", "chunk_id").agg(F.round(F.sum(gain()), DIGITS).alias("score"))
+    return weighed.groupBy("query", "part", "chunk_id").agg(F.round(F.sum(idf() * weight()), DIGITS).alias("score"))
 
 
 def best_of(scored: DataFrame, k: int) -> DataFrame:
@@ -84,7 +115,7 @@ def best_of(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
 
 
-def retrieved_by_words(families: DataFrame, chunks: DataFrame, family_topics: Mapping[str, Sequence[str]], keywords: Mapping[str, Sequence[str]], k: int, least: int = 1) -> DataFrame:
+def retrieved_by_words(families: DataFrame, chunks: DataFrame, family_topics: Mapping[str, Sequence[str]] = TOPICS, keywords: Mapping[str, Sequence[str]] = TOPIC_KEYWORDS, k: int = 3, least: int = 1) -> DataFrame:
     """failure_family, doc_type, chunk_ids: the ``k`` best chunks of each type for the words of a family's topics; where
     none has such a word, the ``least`` longest, as ``matching.retrieved`` does."""
     spark = chunks.sparkSession
@@ -92,6 +123,7 @@ def retrieved_by_words(families: DataFrame, chunks: DataFrame, family_topics: Ma
     wanted = families.select(F.col("failure_family").alias("query")).distinct()
     asked = words.join(wanted, "query", "left_semi").select("query", F.explode(terms(F.col("word"))).alias("term"))
     found = saved(bm25(inverted(chunks), asked, k), "found").select("query", "part", "nth", "chunk_id")
+    chunks = saved(chunks.select("chunk_id", "doc_type", "n_tokens"), "chunk-sizes")  # texts are cut again rather than stored
     longest = Window.partitionBy("part").orderBy(F.desc("n_tokens"), "chunk_id")
     usual = chunks.select(F.col("doc_type").alias("part"), "chunk_id", "n_tokens").withColumn("nth", F.row_number().over(longest)).where(F.col("nth") <= least)
     lacking = wanted.crossJoin(chunks.select(F.col("doc_type").alias("part")).distinct()).join(found, ["query", "part"], "left_anti")  # families times types, both closed lists
