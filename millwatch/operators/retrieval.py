@@ -1,6 +1,6 @@
 """Retrieval of chunks by BM25 over an inverted index.
 
-The inverted index keeps postings in blocks, a block being the chunks of some documents,
+The inverted index keeps postings in blocks, a block being chunks that lie together,
 and for each term and block the most that a posting of it can add to a score.  A search scores the few most
 promising blocks of each query first; the score of the k-th best chunk there is a floor, and of all other
 blocks only those whose bounds reach it are read.  So the result is that of scoring every chunk.
@@ -9,11 +9,12 @@ blocks only those whose bounds reach it are read.  So the result is that of scor
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,19 +36,28 @@ def terms(text: Column) -> Column:
 _WORD = re.compile(r"[^\W_]+")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """part, block, chunk_id, text to a row for each different term: with n_terms, the number of all, and tf."""
-    for big in batches:
-        for low in range(0, big.num_rows, 512):
-            batch = big.slice(low, 512)
-            words = [_WORD.findall(t or "") for t in batch.column(3).to_pylist()]
-            sizes = np.array([len(w) for w in words], np.int64)
-            coded = pa.array([t for w in words for t in w], pa.string()).dictionary_encode()
-            many, code = max(1, len(coded.dictionary)), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            pair, tf = np.unique(np.repeat(np.arange(batch.num_rows), sizes) * many + code, return_counts=True)
-            row, code = np.divmod(pair, many)
-            columns = [batch.column(k).take(pa.array(row)) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes[row]), coded.dictionary.take(pa.array(code)), pa.array(tf)], names=["part", "block", "chunk_id", "n_terms", "term", "tf"])
+def _counted(block_chunks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """part, chunk_id, at, text to a row for each different term: with n_terms, the number of all, and tf. As many chunks
+    as ``block_chunks`` in a row, if a batch has them, are a block, named by the first one's ``at``, in order of terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for low in range(0, big.num_rows, block_chunks):
+                batch = big.slice(low, block_chunks)
+                words = [_WORD.findall(t or "") for t in batch.column(3).to_pylist()]
+                sizes = np.array([len(w) for w in words], np.int64)
+                coded = pa.array([t for w in words for t in w], pa.string()).dictionary_encode()
+                rank = np.empty(len(coded.dictionary), np.int64)
+                order = pc.sort_indices(coded.dictionary).to_numpy()
+                rank[order] = np.arange(len(order))
+                code = rank[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+                pair, tf = np.unique(code * batch.num_rows + np.repeat(np.arange(batch.num_rows), sizes), return_counts=True)
+                code, row = np.divmod(pair, batch.num_rows)
+                part, chunk_id, at = (batch.column(k).take(pa.array(row)) for k in range(3))
+                block = pa.array(np.full(len(row), batch.column(2)[0].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([part, block, chunk_id, pa.array(sizes[row]), coded.dictionary.take(pa.array(order[code])), pa.array(tf)], names=["part", "block", "chunk_id", "n_terms", "term", "tf"])
+
+    return run
 
 
 class InvertedIndex(NamedTuple):
@@ -69,16 +79,14 @@ def weight(k1: float = K1, b: float = B) -> Column:
     return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("mean")))
 
 
-def inverted(chunks: DataFrame, part: str = "doc_type", together: str = "doc_id", block_chunks: int = 4096) -> InvertedIndex:
-    """The index of ``chunks`` (chunk_id, text, ``part``, and ``together``, whose chunks share a block), written to the
-    shared folder. Blocks have about ``block_chunks`` chunks, more where one document has more."""
-    rows = chunks.select("chunk_id", F.col(part).alias("part"), F.col(together).alias("together"), F.lower("text").alias("text"))
-    sizes = saved(rows.groupBy("part").agg(F.count("*").alias("n")), "part-sizes")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_chunks))
-    placed = rows.join(F.broadcast(sizes), "part").select("part", F.pmod(F.xxhash64("together"), blocks).cast("long").alias("block"), "chunk_id", "text")
-    fields = T.StructType([*placed.drop("text").schema, *(T.StructField(c, t) for c, t in (("n_terms", T.LongType()), ("term", T.StringType()), ("tf", T.LongType())))])
-    # counted and left where they are: sorted by term, a search reads of each file only what it asks for
-    postings = saved(placed.mapInArrow(_counted, fields).sortWithinPartitions("term"), "postings")
+def inverted(chunks: DataFrame, part: str = "doc_type", block_chunks: int = 4096) -> InvertedIndex:
+    """The index of ``chunks`` (chunk_id, text, ``part``), written to the shared folder. A block has up to
+    ``block_chunks`` chunks that lie together, so nothing moves to make it, and its postings are in order of terms: a search
+    reads of a file only the pages that may hold what it asks for."""
+    rows = chunks.select(F.col(part).alias("part"), "chunk_id", F.monotonically_increasing_id().alias("at"), F.lower("text").alias("text"))
+    fields = T.StructType([rows.schema["part"], T.StructField("block", T.LongType()), rows.schema["chunk_id"], T.StructField("n_terms", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    postings = saved(rows.mapInArrow(_counted(block_chunks), fields), "postings")
+    sizes = chunks.groupBy(F.col(part).alias("part")).agg(F.count("*").alias("n"))
     lengths = postings.groupBy("part").agg(F.sum("tf").alias("all"))
     stats = saved(sizes.join(lengths, "part", "left").select("part", "n", (F.coalesce("all", F.lit(0)) / F.col("n")).alias("mean")), "stats")
     # of a term's postings in a block only their number and the largest weight move
