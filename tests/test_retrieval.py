@@ -53,6 +53,32 @@ def test_bounds_spare_blocks(spark, monkeypatch):
     assert sum(read) < index.bounds.where("term = 'rare'").count() / 2
 
 
+def test_chunks_are_cut_once_and_listed_by_term(spark, monkeypatch):
+    cut, kept = spark.sparkContext.accumulator(0), []
+
+    def count(batches):
+        for b in batches:
+            cut.add(b.num_rows)
+            yield b
+
+    plain = retrieval.inverted
+    monkeypatch.setattr(retrieval, "inverted", lambda *a, **b: kept.append(plain(*a, **b)) or kept[0])
+    rows = [(f"c{i:03d}", "ab"[i % 2], "worn dull mist" if i % 5 else "mist", 3 + i) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_type string, text string, n_tokens long").coalesce(1)
+    families = spark.createDataFrame([("tear",), ("none",)], "failure_family string")
+    got = retrieval.retrieved_by_words(families, chunks.mapInArrow(count, chunks.schema), {"tear": ["tool_wear"], "none": []}, {"tool_wear": ["worn"]}, 2)
+    assert {(r.failure_family, r.doc_type): r.chunk_ids for r in got.collect()} == {("tear", "a"): ["c002", "c004"], ("tear", "b"): ["c001", "c003"], ("none", "a"): ["c198"], ("none", "b"): ["c199"]}
+    assert cut.value == 200
+    assert kept[0].postings.count() == 2 * 3 and kept[0].dictionary.where("term = 'worn'").agg({"df": "sum"}).first()[0] == 160
+
+
+def test_equal_scores_of_many_blocks_go_by_chunk_id(spark):
+    rows = [(f"c{99 - i:02d}", "a", "w v") for i in range(100)] + [(f"b{i}", "a", "v") for i in range(30)] + [("c50", "a", "w v")]
+    index = retrieval.inverted(spark.createDataFrame(rows, "chunk_id string, doc_type string, text string"), block_chunks=3)
+    got = retrieval.bm25(index, spark.createDataFrame([("q", "w")], "query string, term string"), 60, 2)
+    assert [r.chunk_id for r in sorted(got.collect(), key=lambda r: r.nth)] == [f"c{i:02d}" for i in range(60)]
+
+
 def true_neighbours(rows, asked, k):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
